@@ -71,3 +71,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def own_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns, so extra columns of the input can clash with nothing."""
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as the Python worker, for caches that later tasks use again."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("keepsight_worker_state", types.ModuleType("keepsight_worker_state")).__dict__
