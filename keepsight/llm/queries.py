@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keepsight.llm.exactdedup import exact_dedup
 from keepsight.llm.mixing import mix_sources
+from keepsight.llm.packing import pack_documents
 from keepsight.llm.quality import quality_rules
+from keepsight.llm.simhash import simhash_components
 from keepsight.llm.tables import table
+from keepsight.llm.tokencount import count_tokens
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -88,7 +103,7 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_pack_documents, op8_token_counts, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
