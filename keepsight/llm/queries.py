@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keepsight.llm import licences
 from keepsight.llm.exactdedup import exact_dedup
+from keepsight.llm.katz import katz_scores
+from keepsight.llm.mainhtml import extract_main_text
 from keepsight.llm.mixing import mix_sources
 from keepsight.llm.packing import pack_documents
 from keepsight.llm.quality import quality_rules
 from keepsight.llm.simhash import simhash_components
 from keepsight.llm.tables import table
 from keepsight.llm.tokencount import count_tokens
+from keepsight.llm.warc import archive_round_trip
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -27,6 +39,14 @@ def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -65,6 +85,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+  FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM last_id THEN last_id END AS refers_to FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM r
+"""
+
 OP9_SQL = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -103,8 +133,8 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_quality_rules, op5_pack_documents, op8_token_counts, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_main_text, op4_quality_rules, op5_pack_documents, op6_warc_bundles, op7_katz_scores, op8_token_counts, op9_exact_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op2_license_scan": licences.oracle(), "op4_quality_rules": OP4_SQL, "op6_warc_bundles": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
