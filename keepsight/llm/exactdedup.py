@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.llm.tables import Table, answer_groups, own_columns
+from keepsight.llm.tables import Table, answer_groups, own_columns, text_key
 
 SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16384, 11
@@ -80,7 +80,7 @@ def recipes(key_bits: int = 64):
     def run(batches):
         pid, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            rows = {"pid": [], "lid": [], "doc_id": [], "text_sha256": [], "keys": [], "digests": []}
+            rows = {name: [] for name in SCHEMA.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 b = normalised(text)
                 digest = hashlib.sha256(b).digest()
@@ -95,19 +95,19 @@ def recipes(key_bits: int = 64):
                         start = end
                 else:
                     keys = digests = None
-                for name, value in zip(rows, (pid, lid, doc, digest.hex(), keys, digests), strict=True):
+                for name, value in zip(rows, (pid, lid, doc, text_key(text), digest.hex(), keys, digests), strict=True):
                     rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=SCHEMA)
 
     return run
 
 
-SCHEMA = pa.schema([("pid", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("text_sha256", pa.string()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
-SQL_SCHEMA = "pid long, lid long, doc_id long, text_sha256 string, keys array<long>, digests array<binary>"
+SCHEMA = pa.schema([("pid", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("text_sha256", pa.string()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
+SQL_SCHEMA = "pid long, lid long, doc_id long, text_key long, text_sha256 string, keys array<long>, digests array<binary>"
 
 
 def exact_dedup(docs: DataFrame, key_bits: int = 64) -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
+    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256, text_key (XXH64 of the text as it is).
 
     Of equal texts the row with the smallest doc_id is kept; if that doc_id
     itself is repeated within the group, all its rows are.
@@ -127,4 +127,4 @@ def exact_dedup(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     local = t.groupBy("pid", "lid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     groups = Table(ids.join(local, ["pid", "lid"]).groupBy("recipe").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size")), "groups").read()
     found = answer_groups(ids, groups, ["recipe"], ["keep_id", "group_size"])
-    return t.join(found, ["pid", "lid"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return t.join(found, ["pid", "lid"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key")

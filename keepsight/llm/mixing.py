@@ -79,17 +79,17 @@ def running_sums(batches):
 
 
 def mix_sources(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken, and source.
+    """A row for each document: doc_id, size, source_size, target, taken, and source, text_key (XXH64 of the text).
 
     taken counts words, repeats included: whole epochs times size, and what the
     last, partial epoch takes of the document.
     """
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = Table(own_columns(docs, ["doc_id", "source", "text"]).select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")), "sizes").read()
+    sizes = Table(own_columns(docs, ["doc_id", "source", "text"]).select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("text_key")), "sizes").read()
     targets = source_targets(sizes, weights, max_epochs)
-    order = ["source", "key", "doc_id", "size"]
-    sums = Table(sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running_sums, "doc_id long, source string, size long, key string, pid long, before long"), "running-sums").read()
+    order = ["source", "key", "doc_id", "size", "text_key"]
+    sums = Table(sizes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(running_sums, "doc_id long, source string, size long, key string, text_key long, pid long, before long"), "running-sums").read()
     earlier = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.groupBy("source", "pid").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     placed = Table(ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "r.pid", "r.start", "t.source_size", "t.target"), "ranges").read()
@@ -98,4 +98,4 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WE
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("before")))
-    return rows.select("s.doc_id", "s.size", "p.source_size", "p.target", (epochs * F.col("size") + part).cast("long").alias("taken"), "s.source")
+    return rows.select("s.doc_id", "s.size", "p.source_size", "p.target", (epochs * F.col("size") + part).cast("long").alias("taken"), "s.source", "s.text_key")

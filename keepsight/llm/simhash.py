@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsight.llm.components import connected_components
-from keepsight.llm.tables import Table, answer_groups, own_columns
+from keepsight.llm.tables import Table, answer_groups, own_columns, text_key
 
 SHINGLE, HASH_SEED, MAX_BITS = 3, 42, 3
 #: Fingerprints that one bucket may hold before its key is refined.
@@ -65,13 +65,18 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+ROWS = pa.schema([("pid", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64()), ("leads", pa.bool_()), ("least", pa.int64())])
+
+
 def fingerprints(batches):
     """For mapInArrow over (doc_id, text): pid, lid (the fingerprint's number in the task), doc_id, fp; leads: the first row of each fingerprint has its smallest doc_id."""
     pid, bits = TaskContext.get().partitionId(), byte_bit_table()
-    docs, fps = [], []
+    docs, fps, texts = [], [], []
     for batch in batches:
         docs += batch.column("doc_id").to_pylist()
-        fps += [fingerprint(t.as_py(), bits) for t in batch.column("text")]
+        for t in batch.column("text"):
+            fps.append(fingerprint(t.as_py(), bits))
+            texts.append(text_key(t.as_py()))
     if not docs:
         return
     least: dict[int, int | None] = {}
@@ -82,12 +87,12 @@ def fingerprints(batches):
     number = {fp: i for i, fp in enumerate(least)}
     led: set[int] = set()
     for at in range(0, len(docs), 20_000):
-        rows = {"pid": [], "lid": [], "doc_id": [], "fp": [], "leads": [], "least": []}
-        for doc, fp in zip(docs[at : at + 20_000], fps[at : at + 20_000], strict=True):
-            for name, value in zip(rows, (pid, number[fp], doc, signed(fp), fp not in led, least[fp]), strict=True):
+        rows = {name: [] for name in ROWS.names}
+        for doc, fp, key in zip(*(x[at : at + 20_000] for x in (docs, fps, texts)), strict=True):
+            for name, value in zip(rows, (pid, number[fp], doc, key, signed(fp), fp not in led, least[fp]), strict=True):
                 rows[name].append(value)
             led.add(fp)
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("pid", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("leads", pa.bool_()), ("least", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(rows, schema=ROWS)
 
 
 def segment(i: int, nibbles: tuple[int, ...] = (0, 1, 2, 3)) -> int:
@@ -200,13 +205,13 @@ def similar_edges(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """A row for each document: doc_id, fingerprint, component_id, kept (whether its doc_id is the component_id)."""
-    t = Table(own_columns(docs, ["doc_id", "text"]).mapInArrow(fingerprints, "pid long, lid long, doc_id long, fp long, leads boolean, least long"), "fingerprints").read()
+    """A row for each document: doc_id, fingerprint, component_id, label (of the component, never null), text_key (XXH64 of the text)."""
+    t = Table(own_columns(docs, ["doc_id", "text"]).mapInArrow(fingerprints, "pid long, lid long, doc_id long, text_key long, fp long, leads boolean, least long"), "fingerprints").read()
     leaders = t.filter("leads")
     nodes = Table(leaders.groupBy("fp").agg(F.min("least").alias("least")), "nodes").read()
     labels = connected_components(similar_edges(nodes.select("fp"), max_bucket))
     labelled = Table(nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled").read()
     smallest = Table(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "components").read()
-    of_fp = Table(labelled.join(smallest, "label").select("fp", "component_id"), "fp-components").read()
-    found = answer_groups(leaders, of_fp, ["fp"], ["component_id"])
-    return t.join(found, ["pid", "lid"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_fp = Table(labelled.join(smallest, "label").select("fp", "component_id", "label"), "fp-components").read()
+    found = answer_groups(leaders, of_fp, ["fp"], ["component_id", "label"])
+    return t.join(found, ["pid", "lid"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label", "text_key")

@@ -73,6 +73,14 @@ def own_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").alias(n) for n in names])
 
 
+def text_key(text: str | None) -> int:
+    """What xxhash64(coalesce(text, '')) gives in Spark."""
+    import xxhash
+
+    x = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker, for caches that later tasks use again."""
     import sys

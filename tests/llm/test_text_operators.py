@@ -51,8 +51,8 @@ def test_exact_dedup(docs, nothing):
     for text, ids in groups.items():
         keep = min((i for i in ids if i is not None), default=None)
         want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
-    assert rows(exact_dedup(docs)) == sorted(want, key=repr)
-    assert rows(exact_dedup(docs, key_bits=1)) == sorted(want, key=repr)  # chunk keys that collide
+    assert rows(exact_dedup(docs).drop("text_key")) == sorted(want, key=repr)
+    assert rows(exact_dedup(docs, key_bits=1).drop("text_key")) == sorted(want, key=repr)  # chunk keys that collide
     assert rows(exact_dedup(nothing)) == []
 
 
