@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsight.functions.geometry import robust_similarity, similarity_fit
+from keepsight.operators.sets import widened
 
 
 def chain_chunks(poses: DataFrame, keys: list[str], min_shared: int = 3) -> DataFrame:
@@ -17,7 +18,7 @@ def chain_chunks(poses: DataFrame, keys: list[str], min_shared: int = 3) -> Data
     is dropped; a fit that fails starts a new epoch. Later chunks overwrite
     frames. Gives frame, x, y, z, epoch, seam (rms of the chunk's fit).
     """
-    schema = poses.select(*keys, "frame", "x", "y", "z").schema.add("epoch", "int").add("seam", "double")
+    schema = widened(poses.select(*keys, "frame", "x", "y", "z"), epoch="int", seam="double")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         placed: dict[int, tuple] = {}
@@ -48,7 +49,7 @@ def chain_chunks(poses: DataFrame, keys: list[str], min_shared: int = 3) -> Data
 def anchor_track(poses: DataFrame, anchors: DataFrame, keys: list[str], min_anchors: int = 8) -> DataFrame:
     """Moves a track to known positions (ax, ay, az) of some of its frames, by a similarity that ignores outliers; tracks with fewer than min_anchors are absent."""
     both = poses.join(anchors, [*keys, "frame"], "left")
-    schema = poses.select(*keys, "frame", "x", "y", "z").schema.add("scale", "double")
+    schema = widened(poses.select(*keys, "frame", "x", "y", "z"), scale="double")
 
     def anchor(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf["ax"].notna()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keepsight.functions.geometry import iou
 from keepsight.functions.sequences import suppressed
+from keepsight.operators.sets import widened
 
 
 def suppress(detections: DataFrame, keys: list[str], limit: float = 0.7) -> DataFrame:
@@ -31,7 +32,7 @@ def associate(obs: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame
     nearer than radius, are matched first and once; others open clusters. Two
     rows of a frame are never linked. Gives obs with `cluster`.
     """
-    schema = obs.schema.add("cluster", "int")
+    schema = widened(obs, cluster="int")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=["x", "y", "z"]).sort_values(["frame", "score", "pos"], ascending=[True, False, True], kind="stable")
@@ -59,7 +60,7 @@ def associate(obs: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame
 
 def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6) -> DataFrame:
     """Offline clusters: best scores first, each to the nearest centroid (median of members) within radius, else its own."""
-    schema = obs.schema.add("cluster", "int")
+    schema = widened(obs, cluster="int")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
@@ -87,7 +88,7 @@ def box_containment(a: np.ndarray, b: np.ndarray) -> float:
 
 def cluster_seeds(dets: DataFrame, keys: list[str], limit: float = 0.5, most: int = 40) -> DataFrame:
     """Seeds of a clip: a detection joins the cluster of its tag whose last box it overlaps most (containment of limit at least). Gives the best-scored detection of each cluster with its support, the best `most` of a clip."""
-    schema = dets.schema.add("support", "long")
+    schema = widened(dets, support="long")
 
     def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
         best, found = [], []
@@ -119,7 +120,7 @@ def merge_tracks(boxes: DataFrame, keys: list[str], limit: float = 0.6) -> DataF
     Rows: track, frame, score, x1, y1, x2, y2. Gives them merged, with the
     number of the track by (frames, score).
     """
-    schema = boxes.schema.add("merged", "int")
+    schema = widened(boxes, merged="int")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         tracks = {t: {"boxes": {f: (b, i) for f, b, i in zip(g["frame"], g[["x1", "y1", "x2", "y2"]].to_numpy(float), g.index)}, "score": g["score"].max()} for t, g in pdf.groupby("track", sort=True)}
@@ -156,7 +157,7 @@ def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str],
     """
     pairs = scores.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "match_iou", "distance")).alias("_p"))
     grouped = objects.join(pairs, keys, "left")
-    schema = objects.select(*keys, "id").schema.add("member_of", objects.schema["id"].dataType)
+    schema = widened(objects.select(*keys, "id"), member_of=objects.schema["id"].dataType)
 
     def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
         match = {(p["a"], p["b"]): (p["match_iou"], p["distance"]) for p in (pdf["_p"].iloc[0] if pdf["_p"].iloc[0] is not None else [])}

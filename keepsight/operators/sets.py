@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def widened(df: DataFrame, **columns):
+    """The schema of df with further columns."""
+    return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).schema
+
+
 def still_to_do(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Units without a result yet: what a resumed stage works on."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")

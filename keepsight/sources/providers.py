@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keepsight.operators.sets import widened
+
 
 @dataclass
 class Recorded:
@@ -48,7 +50,7 @@ class Function:
                         time.sleep(backoff * (k + 1) if k + 1 < attempts else 0)
                 yield pdf.assign(reply=pd.Series(reply, index=pdf.index, dtype=object))
 
-        return requests.mapInPandas(run, requests.schema.add("reply", "string"))
+        return requests.mapInPandas(run, widened(requests, reply="string"))
 
 
 @dataclass
