@@ -73,7 +73,7 @@ HIDDEN = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Every known sentence has one of these words.
 GUARD = "licen|permission|redistribut|warrant|rights reserved|free software"
 # Patterns, alike in Spark and DuckDB.
-LINE_ENDS, WRAPS, STOPS, NOT_WORD = r"[\r\n]+", r"\r?\n([^\r\n])", r"([.!?:;])\s+", r"[^a-z0-9]+"
+LINE_ENDS, STOPS, NOT_WORD = r"[\r\n]+", r"([.!?;])\s+|(:)[ \t]*\r?\n", r"[^a-z0-9]+"
 SPDX = r"(SPDX-License-Identifier:[^\r\n]*)"
 
 
@@ -86,7 +86,7 @@ def known() -> dict[str, str]:
     out = {}
     for name, sentences in SENTENCES.items():
         for s in sentences:
-            first = re.sub(STOPS, "\\1\n", s).split("\n")[0]
+            first = re.sub(STOPS, "\\1\\2\n", s).split("\n")[0]
             assert re.search(GUARD, s.lower()), s
             out[normal(first)] = name
     return out
@@ -113,8 +113,8 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     guarded = F.when(F.lower(text).rlike(GUARD), text).otherwise("")
     marked = F.regexp_replace(guarded, SPDX, "\n\n$1\n\n")
     # A single line end inside a paragraph becomes a space; empty lines and stops end sentences.
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, r"(\r?\n[ \t]*){2,}", "\u0001"), r"\r?\n", " "), STOPS, "$1\u0001")
-    lines = F.regexp_replace(F.regexp_replace(marked, STOPS, "$1\u0001"), LINE_ENDS, "\u0001")
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, r"(\r?\n[ \t]*){2,}", "\u0001"), r"\r?\n", " "), STOPS, "$1$2\u0001")
+    lines = F.regexp_replace(F.regexp_replace(marked, STOPS, "$1$2\u0001"), LINE_ENDS, "\u0001")
     found = (
         own_columns(docs, ["doc_id", "text"])
         .withColumn("a", identified(F.split(lines, "\u0001")))
@@ -145,8 +145,8 @@ WITH k AS (SELECT {table} AS known),
 g AS (SELECT doc_id, regexp_replace(CASE WHEN regexp_matches(lower(coalesce(text, '')), {quoted(GUARD)}) THEN text ELSE '' END, {quoted(SPDX)}, chr(10) || chr(10) || '\\1' || chr(10) || chr(10), 'g') AS t FROM documents),
 s AS (
   SELECT doc_id, known,
-         string_split(regexp_replace(regexp_replace(t, {quoted(STOPS)}, '\\1' || chr(1), 'g'), {quoted(LINE_ENDS)}, chr(1), 'g'), chr(1)) AS lines,
-         string_split(regexp_replace(regexp_replace(regexp_replace(t, '(\\r?\\n[ \\t]*){{2,}}', chr(1), 'g'), '\\r?\\n', ' ', 'g'), {quoted(STOPS)}, '\\1' || chr(1), 'g'), chr(1)) AS joined
+         string_split(regexp_replace(regexp_replace(t, {quoted(STOPS)}, '\\1\\2' || chr(1), 'g'), {quoted(LINE_ENDS)}, chr(1), 'g'), chr(1)) AS lines,
+         string_split(regexp_replace(regexp_replace(regexp_replace(t, '(\\r?\\n[ \\t]*){{2,}}', chr(1), 'g'), '\\r?\\n', ' ', 'g'), {quoted(STOPS)}, '\\1\\2' || chr(1), 'g'), chr(1)) AS joined
   FROM g, k),
 f AS (SELECT doc_id, {ids("lines")} AS a, {ids("joined")} AS b FROM s),
 o AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN length(b) > length(a) THEN b ELSE a END, ',,', ',', 'g'), '^,|,$', '', 'g') AS sentence_ids FROM f)
