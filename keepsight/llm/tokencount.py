@@ -17,6 +17,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -82,9 +83,11 @@ def load_model(path: str):
 
 
 def count_batches(path: str, frequent, max_tokens: int):
+    name = uuid.uuid4().hex  # of this table in the workers
+
     def run(batches):
         state = worker_state()
-        key = ("lengths", path, frequent.id)
+        key = ("lengths", path, name)
         if key not in state:
             state[key] = Lengths(load_model(path), frequent.value)
         lengths = state[key]
