@@ -698,3 +698,77 @@ def chain_poses(spark, sf_dir):
     chunked = c.select("id", F.col("chunk_start").alias("chunk"), F.col("i").alias("frame"), (F.col("x") * s + F.col("chunk_start")).alias("x"), (F.col("y") * s).alias("y"), (F.col("z") * s).alias("z"))
     out = chain_chunks(chunked, ["id"])
     return out.select("id", "frame", *[quantised(F.col(a), 4).alias(a) for a in "xyz"], "epoch")
+
+
+# Checks, filters and choices.
+
+
+@query(f"WITH {OBS_SQL} SELECT pos, score FROM obs WHERE score >= 50 AND (x2 - x1) * (y2 - y1) > 0 AND (x2 - x1) * (y2 - y1) <= 0.6::DOUBLE * 3000")
+def detection_filters(spark, sf_dir):
+    from keepsight.operators.checks import usable_detections
+
+    o = observations(spark, sf_dir).withColumns({"area": geo.area(F.col("box")), "frame_area": F.lit(3000.0)})
+    return usable_detections(o, "area", "frame_area", min_score=50.0).select("pos", "score")
+
+
+@query(f"""WITH {OBS_SQL}, m AS (SELECT id FROM obs GROUP BY id HAVING median((x2 - x1) * (y2 - y1) / 3000) > 0.5)
+SELECT id, max(score) AS best_score, arg_max(tag, pos) AS last_tag FROM obs WHERE id NOT IN (SELECT id FROM m) GROUP BY id""")
+def track_filters(spark, sf_dir):
+    from keepsight.operators.checks import track_scores, without_scene_spanning
+
+    o = observations(spark, sf_dir).withColumns({"area": geo.area(F.col("box")), "frame_area": F.lit(3000.0)})
+    return track_scores(without_scene_spanning(o, ["id"], "area", "frame_area", 0.5), ["id"], "pos").select("id", "best_score", "last_tag")
+
+
+@query(f"""WITH {OBS_SQL}, c AS (SELECT id, x1, y1, x2, y2, 0.6 * x - 0.8 * z + 1 AS cx, y + 2 AS cy, 0.8 * x + 0.6 * z - 1 AS cz FROM obs),
+p AS (SELECT *, CASE WHEN cz > 0 THEN 50 * cx / cz + 20 END AS u, CASE WHEN cz > 0 THEN 50 * cy / cz + 20 END AS v FROM c),
+i AS (SELECT *, coalesce(u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2, false) AS inside FROM p)
+SELECT id, count(*) AS n, floor(avg(inside::INT) * 1000000 + 0.5) / 1000000 AS inside, floor(median(CASE WHEN inside THEN 0 ELSE sqrt((u - (x1 + x2) / 2) ** 2 + (v - (y1 + y2) / 2) ** 2) END) * 1000 + 0.5) / 1000 AS median_px FROM i GROUP BY id""")
+def coherence_check(spark, sf_dir):
+    from keepsight.operators.checks import coherence
+
+    row = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    o = observations(spark, sf_dir).withColumns({"world": F.col("cam"), "r": F.array(row(0.6, 0, -0.8), row(0, 1, 0), row(0.8, 0, 0.6)), "t": geo.point(F.lit(1.0), F.lit(2.0), F.lit(-1.0)), "fx": F.lit(50.0), "fy": F.lit(50.0), "cx": F.lit(20.0), "cy": F.lit(20.0)})
+    c = coherence(o, ["id"])
+    return c.select("id", "n", quantised(F.col("inside"), 6).alias("inside"), quantised(F.col("median_px"), 3).alias("median_px"))
+
+
+@query("SELECT s_nationkey, median(s_acctbal) AS fx, median(s_acctbal * 2) AS fy FROM supplier GROUP BY s_nationkey")
+def mean_intrinsics(spark, sf_dir):
+    from keepsight.operators.checks import mean_intrinsics as mean
+
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_acctbal").alias("fx"), (F.col("s_acctbal") * 2).alias("fy"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+    return mean(s, ["s_nationkey"]).select("s_nationkey", "fx", "fy")
+
+
+@query("""SELECT p_partkey AS qid, 'A' || p_brand || ',B' || p_type AS choices, CASE WHEN p_size % 3 = 1 THEN 1 ELSE 0 END::INT AS correct_idx, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'unknown' END AS type
+FROM part WHERE p_size % 3 < 2""")
+def choices_normalised(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    qa = p.select("p_partkey", F.create_map(F.lit("b"), F.concat(F.lit("B"), "p_type"), F.lit("a"), F.concat(F.lit("A"), "p_brand")).alias("options"), F.when(F.col("p_size") % 3 == 0, "a").when(F.col("p_size") % 3 == 1, "b").otherwise("z").alias("answer_label"), F.lit("").alias("subcategory"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("category"))
+    return readers.multiple_choice(qa).select(F.col("p_partkey").alias("qid"), F.array_join("choices", ",").alias("choices"), "correct_idx", "type")
+
+
+@query(f"""WITH {OBS_SQL}, v AS (SELECT id, tag, time_s AS t0, time_s + 900 AS t1 FROM obs), q AS (SELECT id, median(time_s) AS until FROM obs GROUP BY id),
+r AS (SELECT q.id, until, tag, t0, least(t1, until) AS t1, row_number() OVER (PARTITION BY q.id ORDER BY t0 DESC) AS back FROM q JOIN v ON q.id = v.id WHERE t0 <= until) SELECT * FROM r WHERE back <= 12""")
+def last_visits(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    v = o.select("id", "tag", F.col("time_s").alias("t0"), (F.col("time_s") + 900).alias("t1"))
+    return places.current_visit(v, o.groupBy("id").agg(F.median("time_s").alias("until")), ["id"], "until").select("id", "until", "tag", "t0", "t1", F.col("back").cast("long").alias("back"))
+
+
+# What SQL itself offers on the registered tables.
+
+REPORT_SQL = "SELECT {head}coalesce(o_orderstatus, '-') AS status, coalesce(o_orderpriority, '-') AS priority, count(*) AS n, floor(sum(o_totalprice) + 0.5)::BIGINT AS total FROM orders GROUP BY {by}"
+
+
+@query(REPORT_SQL.format(head="", by="CUBE (o_orderstatus, o_orderpriority)"))
+def orders_cube(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.floor(F.sum("o_totalprice") + 0.5).alias("total")).select(F.coalesce("o_orderstatus", F.lit("-")).alias("status"), F.coalesce("o_orderpriority", F.lit("-")).alias("priority"), "n", "total")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey AND c_acctbal > 0")
+def outer_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    return table(spark, sf_dir, "customer").join(o, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_acctbal") > 0), "full").select("c_custkey", "o_orderkey")
