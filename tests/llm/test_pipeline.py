@@ -19,7 +19,7 @@ def prose(seed, n=120):
 
 
 def corpus():
-    a, b = prose(1), prose(2)
+    a, b = prose(1), prose(2, 3000)
     rows = [(1, a), (2, a.replace(" ", "\n", 3)), (3, a), (3, a), (4, b), (5, b + " tail"), (6, "### " * 80), (7, None), (8, ""), (9, prose(9, 30)), (None, prose(10)), (None, prose(10)), (12, "  " + prose(12)), (13, prose(13, 3000)), (14, prose(14)), (14, prose(15))]
     return [(i, t, "en", f"s{k % 3}" if k % 5 else None, len(t or ""), 1, 2, 3, 4) for k, (i, t) in enumerate(rows)]
 
@@ -56,7 +56,7 @@ def test_one_near_copy_stays(docs):
     got = list(plain(stages.drop_near_copies(docs)).elements())
     by_start = Counter((r[1] or "").split()[0] if (r[1] or "").split() else "" for r in got)
     assert max(by_start.values()) == 1 and by_start[""] == 1
-    assert [r[0] for r in got if (r[1] or "").startswith(prose(2)[:20])] == [4]
+    assert [r[0] for r in got if (r[1] or "").startswith(prose(2, 3000)[:20])] == [4]
 
 
 def test_mix_takes_words_to_the_target(docs):
