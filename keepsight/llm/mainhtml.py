@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -73,7 +74,7 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node, self.silent, self.anchors = Node("#", None, frozenset()), 0, 0
+        self.node, self.silent, self.anchors, self.open = Node("#", None, frozenset()), 0, 0, Counter()
         self.parts, self.linked, self.found = [], 0, []
 
     def end_block(self) -> None:
@@ -104,6 +105,7 @@ class Blocks(HTMLParser):
             elif name in ("hidden", "aria-hidden") and value != "false":
                 marks.add("hidden")
         self.node = Node(tag, self.node, frozenset(marks))
+        self.open[tag] += 1
         self.silent += tag in SILENT or "hidden" in marks
         self.anchors += tag == "a"
 
@@ -122,11 +124,14 @@ class Blocks(HTMLParser):
         while self.node is not end:
             self.silent -= self.node.tag in SILENT or "hidden" in self.node.marks - self.node.up.marks
             self.anchors -= self.node.tag == "a"
+            self.open[self.node.tag] -= 1
             self.node = self.node.up
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.end_block()
+        if not self.open[tag]:
+            return
         node = self.node
         while node.up and node.tag != tag:
             if tag in INLINE and node.tag not in INLINE:
