@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).read()
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; for when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files of plans that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()

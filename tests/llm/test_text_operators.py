@@ -81,6 +81,11 @@ def test_quality_order_does_not_change_the_verdict(spark):
     assert len({k for _, k in a}) == 2
 
 
+def test_quality_main_path_has_no_python(docs):
+    plan = quality_rules(docs.sparkSession.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def plain_components(fps):
     label = {f: f for f in fps}
 
@@ -289,3 +294,17 @@ def test_mix_sources(docs, nothing):
     assert all(taken[s] == int(target[s]) for s in sizes)
     assert rows(mix_sources(docs)) == sorted(map(tuple, got), key=repr)
     assert rows(mix_sources(nothing)) == []
+
+
+def test_intermediate_tables_lie_in_one_folder(spark):
+    from pathlib import Path
+
+    from keepsight.llm.tables import Table, clear, shared_dir
+
+    t = Table(spark.range(3).toDF("x"), "numbers")
+    assert t.path.startswith(shared_dir(spark)) and t.read().count() == 3
+    t.drop()
+    assert not Path(t.path.removeprefix("file://")).exists()
+    Table(spark.range(3).toDF("x"), "numbers")
+    clear(spark)
+    assert not Path(shared_dir(spark).removeprefix("file://")).exists()
