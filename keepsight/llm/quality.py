@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from keepsight.llm.tables import own_columns
 
 # Fixed values of the contract: what a word is, what a symbol is, base limits.
-WORD, SPACE, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", "#*$%&|<>"
+SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
 #: Rows on which costs and selectivities are estimated.
@@ -34,27 +34,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Array of the words of a text that isn't null."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+def counted_words(text: Column) -> Column:
+    """Struct of n, the words of a text that isn't null, and repeated, the words in 3-word windows found twice or more.
 
-
-def repeated_words(text: Column) -> Column:
-    """Words in 3-word windows that are found twice or more.
-
-    Windows are first compared by hash: where all hashes differ no window is
-    repeated. Otherwise windows are sorted by (hash, words, position), equal
-    neighbours are found, and the union of their positions is measured.
+    Windows are first compared by a hash of the hashes of their pairs: where
+    these all differ, no window is repeated. Otherwise windows are sorted by
+    (hash, words, position), equal neighbours are found, and the union of their
+    positions is measured.
     """
 
-    def windows(w, join):
-        return F.zip_with(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, 3, F.size(w)), join)
-
     def hashes(w):
-        return F.slice(windows(w, lambda ab, c: F.xxhash64(ab["a"], ab["b"], c)), 1, F.size(w) - 2)
+        pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))
+        return let(pairs, lambda p: F.slice(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.xxhash64(a, b)), 1, F.size(p) - 2))
 
     def covered(w):
-        rows = F.slice(windows(w, lambda ab, c: F.struct(F.xxhash64(ab["a"], ab["b"], c).alias("h"), F.concat_ws(" ", ab["a"], ab["b"], c).alias("t"))), 1, F.size(w) - 2)
+        pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        rows = F.slice(F.zip_with(pairs, F.slice(w, 3, F.size(w)), lambda ab, c: F.struct(F.xxhash64(ab["a"], ab["b"], c).alias("h"), F.concat_ws(" ", ab["a"], ab["b"], c).alias("t"))), 1, F.size(w) - 2)
         ordered = F.sort_array(F.transform(rows, lambda x, i: F.struct(x["h"].alias("h"), x["t"].alias("t"), i.alias("i"))))
 
         def positions(s):
@@ -68,9 +63,10 @@ def repeated_words(text: Column) -> Column:
         return let(let(ordered, positions), union)
 
     def measured(w):
-        return F.when(F.size(w) < 4, 0).otherwise(F.when(let(hashes(w), lambda h: F.size(h) == F.size(F.array_distinct(h))), 0).otherwise(covered(w)))
+        repeated = F.when(F.size(w) < 4, 0).otherwise(F.when(let(hashes(w), lambda h: F.size(h) == F.size(F.array_distinct(h))), 0).otherwise(covered(w)))
+        return F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).cast("long").alias("n"), repeated.cast("long").alias("repeated"))
 
-    return let(words_of(text), measured)
+    return let(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACE), measured)
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
@@ -78,12 +74,15 @@ def base_measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     return (
-        docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
+        # As it depends on the row's place, no filter is pushed below it, where words would be counted once more.
+        docs.withColumn("counted", F.when(F.monotonically_increasing_id() >= 0, counted_words(text)))
+        .withColumn("n_words", F.col("counted.n"))
         .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(text).cast("long"))
+        .withColumn("n_repeat_words", F.col("counted.repeated"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
+        .drop("counted")
     )
 
 
