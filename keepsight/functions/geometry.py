@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Sectors around the camera, clockwise from ahead; relations and their inverses.
-SECTORS = ["ahead", "ahead-right", "right", "behind-right", "behind", "behind-left", "left", "ahead-left"]
+# Sectors around the camera, clockwise from the front; relations and their inverses.
+SECTORS = ["front", "front-right", "right", "back-right", "back", "back-left", "left", "front-left"]
 INVERSE = {"left of": "right of", "right of": "left of", "in front of": "behind", "behind": "in front of", "on": "under", "under": "on", "above": "below", "below": "above", "near": "near"}
 # Default thresholds of relations.
 RELATION_LIMITS = {"lateral": 0.15, "depth": 0.25, "vertical": 0.15, "axis_margin": 1.5, "near": 1.0, "on_overlap": 0.5, "on_xy": 0.6}
@@ -108,7 +108,7 @@ def sector(right: Column, ahead: Column) -> Column:
 
 def sector_label(right: Column, down: Column, ahead: Column, band: float = 15.0) -> Column:
     e = elevation(right, down, ahead)
-    return F.concat(sector(right, ahead), F.when(e > band, ", above").when(e < -band, ", below").otherwise(""))
+    return F.concat(sector(right, ahead), F.when(e > band, ", above eye level").when(e < -band, ", below eye level").otherwise(", about eye level"))
 
 
 def pair_labels(ca: Column, cb: Column, ba: Column, bb: Column, p: dict[str, float] = RELATION_LIMITS) -> Column:

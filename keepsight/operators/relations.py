@@ -11,7 +11,8 @@ from keepsight.operators.joins import same_frame_pairs
 from keepsight.operators.windows import gap_islands, top_k
 
 GAP_S, MIN_FRAMES, PER_FRAME = 8.0, 2, 20
-PRIORITY = ["on", "near", "left of", "right of", "in front of", "behind", "above", "below"]
+# Which relations are told first.
+PRIORITY = {"on": 0, "under": 0, "left of": 1, "right of": 1, "in front of": 1, "behind": 1, "above": 2, "below": 2, "near": 3}
 
 
 def relation_episodes(obs: DataFrame, gap: float = GAP_S, min_frames: int = MIN_FRAMES, per_frame: int = PER_FRAME, limits: dict[str, float] = RELATION_LIMITS) -> DataFrame:
@@ -45,6 +46,6 @@ def relation_context(episodes: DataFrame, candidates: DataFrame, question: str,
     both = e.join(c.withColumnRenamed("cid", "a"), [question, "a"], "left_semi").join(c.withColumnRenamed("cid", "b"), [question, "b"], "left_semi")
     kept = both.unionByName(e.filter("rel = 'on'")).distinct()
     latest = top_k(kept, [question, "a", "b", "rel"], [F.desc("t0"), F.desc("t1")], 1)
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("rel"))
-    w = Window.partitionBy(question).orderBy(rank, F.desc("t1"), "a", "b")
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("rel")), F.lit(9))
+    w = Window.partitionBy(question).orderBy(rank, F.desc("t1"), "a", "b", "rel")
     return latest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_lines).withColumn("current", F.col("t1") >= F.col(until) - gap)

@@ -510,8 +510,8 @@ def keep_and_sample(spark, sf_dir):
 # Scalar functions.
 
 
-@query(f"""WITH {OBS_SQL} SELECT pos, (['ahead', 'ahead-right', 'right', 'behind-right', 'behind', 'behind-left', 'left', 'ahead-left'])[
-  (floor((((degrees(atan2(x - 1, z - 0.3)) + 22.5) % 360 + 360) % 360) / 45) + 1)::INT] || CASE WHEN degrees(atan2(-(y - 1), sqrt((x - 1) ** 2 + (z - 0.3) ** 2))) > 15 THEN ', above' WHEN degrees(atan2(-(y - 1), sqrt((x - 1) ** 2 + (z - 0.3) ** 2))) < -15 THEN ', below' ELSE '' END AS label FROM obs""")
+@query(f"""WITH {OBS_SQL} SELECT pos, (['front', 'front-right', 'right', 'back-right', 'back', 'back-left', 'left', 'front-left'])[
+  (floor((((degrees(atan2(x - 1, z - 0.3)) + 22.5) % 360 + 360) % 360) / 45) + 1)::INT] || CASE WHEN degrees(atan2(-(y - 1), sqrt((x - 1) ** 2 + (z - 0.3) ** 2))) > 15 THEN ', above eye level' WHEN degrees(atan2(-(y - 1), sqrt((x - 1) ** 2 + (z - 0.3) ** 2))) < -15 THEN ', below eye level' ELSE ', about eye level' END AS label FROM obs""")
 def sector_label(spark, sf_dir):
     return observations(spark, sf_dir).select("pos", geo.sector_label(F.col("x") - 1, F.col("y") - 1, F.col("z") - 0.3).alias("label"))
 
@@ -552,24 +552,23 @@ def hms_seconds(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, (o_orderkey % 60)::DOUBLE AS time_s, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 7)::DOUBLE END AS x1, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 5)::DOUBLE END AS y1,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'Is the marked object at 0:' || o_orderkey % 60 ELSE 'Is it at 0:' || o_orderkey % 60 END || ' seen?' AS plain FROM orders""")
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Is the marked object at 0:00:' || o_orderkey % 60 ELSE 'Is it at 0:00:' || o_orderkey % 60 END || ' seen?' AS plain FROM orders""")
 def parse_markup(spark, sf_dir):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
-    time = F.concat(F.lit("<TIME 0:"), s(k % 60), F.lit(" video 1> seen?"))
+    time = F.concat(F.lit("<TIME 0:00:"), s(k % 60), F.lit(" video 1> seen?"))
     text = F.when(k % 2 == 0, F.concat(F.lit("Is <BBOX "), s(k % 5), F.lit(" "), s(k % 7), F.lit(" 9 9> at "), time)).otherwise(F.concat(F.lit("Is it at "), time))
     m = txt.parse_markup(text)
     return table(spark, sf_dir, "orders").select("o_orderkey", m["time_s"].alias("time_s"), m["box"]["x1"].alias("x1"), m["box"]["y1"].alias("y1"), txt.plain_question(text).alias("plain"))
 
 
-@query("""SELECT doc_id, coalesce(nullif(array_to_string(list_slice(string_split(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(string_split(trim(text), chr(10))[1]), '[^a-z0-9]+', ' ', 'g')),
-  '^(?:a|an|the|in|at|on|of|inside) ', ''), '^(?:a|an|the|in|at|on|of|inside) ', ''), '^(?:a|an|the|in|at|on|of|inside) ', ''), ' '), 1, 4), ' '), ''), 'unknown') AS label FROM documents""")
+@query(r"""SELECT doc_id, coalesce(nullif(array_to_string(list_slice(string_split(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(lower(string_split(trim(text), chr(10))[1]), '[^a-z0-9 \-/]', ' ', 'g')), '^(?:a|an|the|this is|it is|inside|in|at|on)\s+', '')), '^(?:a|an|the|this is|it is|inside|in|at|on)\s+', '')), '^(?:a|an|the|this is|it is|inside|in|at|on)\s+', '')), '\s+', ' ', 'g'), ' '), 1, 4), ' '), ''), 'unknown') AS label FROM documents""")
 def normalise_label(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", txt.normalise_label(F.col("text")).alias("label"))
 
 
-@query(r"""SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '[,\n;]'), lambda x: trim(regexp_replace(x, '^[\s\-*\d.•]+', ''))),
-  lambda x: length(x) BETWEEN 2 AND 39 AND NOT regexp_matches(x, '^(?:here|the following|objects|list|note|sure)\b|[.:*]$|\*\*|''') AND len(regexp_split_to_array(x, '\s+')) <= 4), '|') AS tags FROM benchmark""")
+@query(r"""SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[,\n;]+'), lambda x: lower(trim(regexp_replace(x, '^[\-*\d.)\s]+', '')))),
+  lambda x: length(x) BETWEEN 2 AND 39 AND NOT regexp_matches(x, '^(?:""" + "|".join(txt.NO_TAG) + r""")|[.:*]$|\*\*|''') AND len(regexp_split_to_array(x, '\s+')) <= 4), '|') AS tags FROM benchmark""")
 def clean_tags(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(txt.clean_tags(F.col("text")), "|").alias("tags"))
 
@@ -597,11 +596,11 @@ def frame_arithmetic(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", seq.frame_video(cf, F.lit(6), F.lit(3)).alias("frame_video"), seq.frame_time(cf, F.lit(6), F.lit(3), F.lit(30.0)).alias("time_s"), readers.segment_frames(stride).alias("k_frames"), readers.lift_budgets(cf)["scene"].alias("budget"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'hdepic' WHEN c_custkey % 4 = 1 THEN 'numbered' WHEN c_custkey % 4 = 2 THEN 'egolife' ELSE 'other' END AS source, c_custkey % 2 = 0 AS metric FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'epic' WHEN c_custkey % 4 = 1 THEN 'numeric5' WHEN c_custkey % 4 = 2 THEN 'egolife' ELSE 'other' END AS source, c_custkey % 2 = 0 AS metric FROM customer""")
 def source_classes(spark, sf_dir):
     k = F.col("c_custkey")
     name = F.when(k % 4 == 0, F.concat(F.lit("P01_"), k.cast("string"))).when(k % 4 == 1, F.lpad((k % 100000).cast("string"), 5, "0")).when(k % 4 == 2, F.concat(F.lit("egolife_"), k.cast("string"))).otherwise(F.concat(F.lit("v"), k.cast("string")))
-    return table(spark, sf_dir, "customer").select("c_custkey", readers.source_of(name).alias("source"), readers.is_metric(F.when(k % 2 == 0, "metric_depth")).alias("metric"))
+    return table(spark, sf_dir, "customer").select("c_custkey", readers.source_of(name).alias("source"), readers.is_metric(F.when(k % 2 == 0, "da3_metric")).alias("metric"))
 
 
 @query("""WITH c AS (SELECT s_suppkey AS clip, s_suppkey * 37 AS n, 1 + s_suppkey % 3 AS r FROM supplier), g AS (SELECT clip, range(0, (n // r), 4) AS g FROM c)

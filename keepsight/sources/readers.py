@@ -9,9 +9,12 @@ from pyspark.sql.utils import AnalysisException
 from keepsight.operators.sets import still_to_do
 from keepsight.sources.schemas import DOCUMENTS
 
-# Fields of a table row that say where a video comes from, tried in order.
-SOURCE_PATTERNS = [("uuid", r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), ("hdepic", r"^P\d\d[_-]\d+"), ("egolife", "^egolife"), ("egoschema", r"^D\d-P\d"), ("numbered", r"^\d{5}$")]
-METRIC_SOURCES = ["object_scale", "metric_depth"]
+# Where a video comes from by its name, tried in order, and what makes positions metric.
+SOURCE_PATTERNS = [
+    ("ego4d", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(-\d+)?$"), ("epic", r"^P\d\d_\d+$"), ("egolife", r"^egolife_"),
+    ("egolife_raw", r"^D\d-P\d"), ("scannet", r"^scene0"), ("numeric5", r"^\d{5}$"),
+]
+METRIC_SOURCES = ["wilddet3d_pair_lsq", "da3_metric"]
 
 
 def read_documents(spark: SparkSession, kind: str, path: str) -> DataFrame:

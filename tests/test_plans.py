@@ -40,10 +40,10 @@ def test_text_question_is_causal(spark):
 
 
 def test_spatial_question(spark):
-    q = spark.createDataFrame([("q1", "c", "Is <BBOX 0 0 9 9> at <TIME 0:04 video 1> full?", None)], "qid string, clip string, question string, point struct<x:double,y:double,z:double>")
+    q = spark.createDataFrame([("q1", "c", "Is <BBOX 0 0 9 9> at <TIME 0:00:04 video 1> full?", None)], "qid string, clip string, question string, point struct<x:double,y:double,z:double>")
     o = spark.createDataFrame([("c", 1, "mug", 4.0, (0.0, 0.0, 1.0), (0.0, 0.0, 9.0, 9.0))], "clip string, id long, name string, time_s double, cam struct<x:double,y:double,z:double>, box struct<x1:double,y1:double,x2:double,y2:double>")
     r = answers.spatial_question(q, o, memory(spark)[2]).first()
-    assert r["plain"] == "Is the marked object at 0:04 full?" and "mug: 0s-50s: a mug by the sink" in r["context"]
+    assert r["plain"] == "Is the marked object at 0:00:04 full?" and "mug: 0s-50s: a mug by the sink" in r["context"]
 
 
 def test_providers(spark):
