@@ -11,7 +11,7 @@ Counts are too many to broadcast and some words are too common to group by, so
 the work is a dialogue between chunks (a few million tokens each) and buckets
 (ranges of hashed keys), all of it in written tables of packed arrays:
 
-1. each chunk sends each bucket the distinct words and pairs that hash to it,
+1. texts become chunks; each sends each bucket the distinct words and pairs that hash to it,
    with their counts; a common word is one entry of a chunk, not a row of each
    occurrence;
 2. buckets add up counts, send them back, and name for each pair one chunk as
@@ -24,7 +24,7 @@ the work is a dialogue between chunks (a few million tokens each) and buckets
 The threshold k of Good-Turing discounting is 5. Above it the absolute discount
 of k continues, so every history keeps some mass for backing off. Where counts
 of counts give no valid discounts (small corpora), half a count is taken from
-each. Words and pairs are known by 64-bit hashes.
+each. Words are known by 64-bit hashes and pairs by 60-bit ones.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id
 counts as empty text for the choice of training documents; without training
@@ -48,6 +48,8 @@ from keepsight.llm.tables import Table, own_columns, release
 
 FOLDS, HELD_FOLD, K = 7, 2, 5
 CHUNK_TOKENS, MIN_BUCKETS, BUCKET_BYTES = 2_000_000, 64, 16 << 20
+#: Bits of a pair's key; the low ones are left out, as keys are most of what is moved.
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFFF0)
 END = b"\n"  # no word can be this; also the history of a first word
 
 
@@ -89,7 +91,7 @@ def stepped(keys: np.ndarray) -> np.ndarray:
 def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = h * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & KEY_BITS
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -143,8 +145,8 @@ def messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: list(x) for n, x in zip(MESSAGES.names, zip(*rows), strict=True)} if rows else {n: [] for n in MESSAGES.names}, schema=MESSAGES)
 
 
-def send_counts(buckets: int, chunk_tokens: int):
-    """For mapInArrow over (doc_id, text): the chunks of the task, and their words and pairs for each bucket."""
+def make_chunks(chunk_tokens: int):
+    """For mapInArrow over (doc_id, text): the chunks of the task."""
 
     def run(batches):
         import xxhash
@@ -153,17 +155,10 @@ def send_counts(buckets: int, chunk_tokens: int):
         number, ids, parts, docs, held, total = 0, Ids(), [], [], [], 0
 
         def ended():
-            chunk_id = (pid << 24) + number
             lengths = np.array([len(p) for p in parts], np.int64)
-            chunk = Chunk(np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids)), np.concatenate(parts), lengths, np.array([d or 0 for d in docs], np.int64), np.array([d is not None for d in docs]), np.array(held, bool))
-            rows = [("T", chunk_id, -1, packed(**{**vars(chunk), "tokens": chunk.tokens.astype(np.uint32)}))]
-            hashes, ranks = chunk.words()
-            keys, _, _, place = chunk.pairs(hashes, ranks)
-            train = chunk.trained()
-            for kind, k, at in (("V", hashes, ranks), ("B", keys, place)):
-                counts, edges = np.bincount(at[train], minlength=len(k)), bucket_edges(k, buckets)
-                rows += [(kind, chunk_id, b, packed(k=stepped(k[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
-            return messages(rows)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
+            data = packed(hashes=hashes, tokens=np.concatenate(parts).astype(np.uint32), lengths=lengths, doc_ids=np.array([d or 0 for d in docs], np.int64), known_ids=np.array([d is not None for d in docs]), held=np.array(held, bool))
+            return messages([("T", (pid << 24) + number, -1, data)])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -182,6 +177,24 @@ def send_counts(buckets: int, chunk_tokens: int):
     return run
 
 
+def send_counts(buckets: int):
+    """For mapInArrow over chunks: their words and pairs, with counts in training text, for each bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk_id, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                chunk = Chunk(**unpacked(data.as_py()))
+                hashes, ranks = chunk.words()
+                keys, _, _, place = chunk.pairs(hashes, ranks)
+                train, rows = chunk.trained(), []
+                for kind, k, at in (("V", hashes, ranks), ("B", keys, place)):
+                    counts, edges = np.bincount(at[train], minlength=len(k)), bucket_edges(k, buckets)
+                    rows += [(kind, chunk_id, b, packed(k=stepped(k[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
+                yield messages(rows)
+
+    return run
+
+
 STATS = ["n", "v", *(f"r{r}" for r in range(1, K + 2))]
 
 
@@ -311,17 +324,22 @@ def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int =
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, texts = docs.sparkSession, own_columns(docs, ["doc_id", "text"])
     buckets = buckets or bucket_count(docs)
-    sent = Table(texts.mapInArrow(send_counts(buckets, chunk_tokens), MESSAGE_SQL), "katz-counts", "none")
-    counted = Table(sent.read().filter("kind <> 'T'").groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
+    chunks = Table(texts.mapInArrow(make_chunks(chunk_tokens), MESSAGE_SQL), "katz-chunks", "none")
+    sent = chunks.read().select("chunk", "data").mapInArrow(send_counts(buckets), MESSAGE_SQL)
+    counted = Table(sent.groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
+    del sent
     release(spark)
     stats = {r["kind"]: r.asDict() for r in counted.read().filter("chunk = -1").groupBy("kind").agg(*[F.sum(s).alias(s) for s in STATS]).collect()}
     empty = dict.fromkeys(STATS, 0)
     model = Model(stats.get("V", empty), stats.get("B", empty))
-    chunks, answers = sent.read().filter("kind = 'T'").select("chunk", "data"), counted.read().filter("chunk >= 0").select("kind", "chunk", "bucket", "data")
-    partial = Table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_seen(model, buckets), MESSAGE_SQL), "katz-partial", "none")
-    for t in (sent, counted):
+    answers = counted.read().filter("chunk >= 0").select("kind", "chunk", "bucket", "data")
+    partial = Table(chunks.read().select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_seen(model, buckets), MESSAGE_SQL), "katz-partial", "none")
+    for t in (chunks, counted):
         t.drop()
     release(spark)
-    weights = Table(partial.read().filter("kind = 'H'").groupBy("bucket").applyInArrow(weigh(model), MESSAGE_SQL), "katz-weights", "none").read()
-    done = partial.read().filter("kind = 'D'").groupBy("chunk").cogroup(weights.groupBy("chunk")).applyInArrow(finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return Table(done, "katz-scores").read()
+    weights = Table(partial.read().filter("kind = 'H'").groupBy("bucket").applyInArrow(weigh(model), MESSAGE_SQL), "katz-weights", "none")
+    done = partial.read().filter("kind = 'D'").groupBy("chunk").cogroup(weights.read().groupBy("chunk")).applyInArrow(finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = Table(done, "katz-scores").read()
+    for t in (partial, weights):
+        t.drop()
+    return scores

@@ -8,7 +8,9 @@ of this machine serves.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +56,15 @@ def clear(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of plans that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete shuffle files of plans that nothing refers to any more.
+
+    The first round drops what Python held, the second what only the JVM did;
+    the cleaner works beside the driver and gets a moment for it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def answer_groups(leaders: DataFrame, answers: DataFrame, key: list[str], values: list[str]) -> DataFrame:
