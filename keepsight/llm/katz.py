@@ -22,9 +22,12 @@ the work is a dialogue between chunks (a few million tokens each) and buckets
 4. buckets send the weights back, and chunks add them.
 
 The threshold k of Good-Turing discounting is 5. Above it the absolute discount
-of k continues, so every history keeps some mass for backing off. Where counts
-of counts give no valid discounts (small corpora), half a count is taken from
-each. Words are known by 64-bit hashes and pairs by 60-bit ones.
+of k continues, so every history keeps some mass for backing off. Copies of
+documents raise some counts of counts above their neighbours, at any size of a
+corpus; where a discount from the plain counts of counts is not valid, all come
+from a log-linear fit to those up to k + 1 (Simple Good-Turing). Half a count is
+taken from each only where that line does not fall faster than 1/r, or has
+fewer than two points. Words are known by 64-bit hashes and pairs by 60-bit ones.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id
 counts as empty text for the choice of training documents; without training
@@ -62,9 +65,23 @@ def deltas(counts_of_counts: list[int], k: int = K) -> np.ndarray:
             d = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, k + 1)]
             if all(0 < x < 1 for x in d):
                 return np.array([0.0, *((1 - x) * r for r, x in enumerate(d, 1))])
+    slope = fitted_slope(n)
+    if slope < -1:
+        # With n_r = c r^slope, r* / r is (1 + 1/r)^(slope + 1), and what is taken falls between 0 and r for every r.
+        taken = np.expm1((slope + 1) * np.log1p(1 / np.arange(1, k + 1))) / math.expm1((slope + 1) * math.log(k + 1))
+        return np.array([0.0, *(taken * np.arange(1, k + 1))])
     return np.array([0.0] + [0.5] * k)
 
 
+def fitted_slope(n: list[int]) -> float:
+    """Slope of log n_r over log r, each n_r spread over half the gap to its neighbours that are not zero; 0 for fewer than two."""
+    r = [i for i, x in enumerate(n) if i and x]
+    if len(r) < 2:
+        return 0.0
+    gaps = [(after - before) / 2 for before, after in zip([0, *r], [*r[1:], 2 * r[-1] - r[-2]])]
+    return float(np.polyfit(np.log(r), np.log([n[i] / g for i, g in zip(r, gaps, strict=True)]), 1)[0])
+
+
 def packed(**arrays) -> bytes:
     """Arrays with their bytes in planes, compressed."""
     import zstandard

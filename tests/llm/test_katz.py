@@ -80,6 +80,33 @@ def test_good_turing_discounts():
     assert all(0 < d[r] < r for r in range(1, K + 1)) and deltas([5, 0, 1, 1, 1, 1])[1] == 0.5
 
 
+# Words and pairs of the documents at two sizes; copies raise some counts of counts above their neighbours.
+@pytest.mark.parametrize("n", [[207344, 59772, 25017, 14274, 13493, 7080], [1579638, 246704, 51653, 21705, 18939, 7580]])
+def test_copies_leave_good_turing_discounts(n):
+    d = deltas(n)
+    left = [r - d[r] for r in range(1, K + 1)]
+    assert d[0] == 0 and all(0 < d[r] < r for r in range(1, K + 1)) and left == sorted(left) and len(set(d[1:])) == K
+    x, y = [math.log(r) for r in range(1, K + 2)], [math.log(c) for c in n]
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    line = [0, *(r**slope for r in range(1, K + 2))]
+    a = (K + 1) * line[K + 1] / line[1]
+    for r in range(1, K + 1):  # Katz's discounts from the line
+        assert d[r] == pytest.approx(r * (1 - ((r + 1) * line[r + 1] / (r * line[r]) - a) / (1 - a)))
+    assert sum(line[r] * d[r] for r in range(1, K + 1)) == pytest.approx(line[1])
+
+
+def test_copied_documents_are_scored_with_good_turing(spark):
+    docs = [(i, t) for i, t in corpus(150)[:150]]
+    docs += [(1000 + 10 * i + j, t) for i, t in docs[:60] for j in range(2)]
+    rows, words, *_ = plain(docs)
+    n = [sum(x == r for x in words.values()) for r in range(1, K + 2)]
+    assert 3 * n[2] > 2 * n[1]  # 2* is above 2: the plain counts of counts give no valid discount
+    assert len(set(deltas(n)[1:])) == K and all(0 < deltas(n)[r] < r for r in range(1, K + 1))
+    got = katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), buckets=3, chunk_tokens=500).collect()
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(r[6] for r in rows), rel=1e-9, abs=1e-9)
+
+
 def test_pairs_help_on_held_out_text(spark):
     got = katz_scores(spark.createDataFrame(corpus(600), "doc_id long, text string")).filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]
