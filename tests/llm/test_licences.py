@@ -1,10 +1,11 @@
 """Licence rules on real and hostile texts."""
 
+import re
 import textwrap
 
 import pytest
 
-from keepsight.llm.licences import SENTENCES, known, scan_licences
+from keepsight.llm.licences import GUARD, SENTENCES, known, scan_licences
 
 MIT = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n\n".join(textwrap.fill(SENTENCES[k][0], 70) for k in ("MIT-GRANT", "MIT-KEEP", "MIT-AS-IS"))
 BSD2 = "\n".join(["Copyright (c) X", "", textwrap.fill(SENTENCES["BSD-GRANT"][0], 60), "", "1. " + SENTENCES["BSD-SOURCE"][0], "2. " + SENTENCES["BSD-BINARY"][0]])
@@ -37,6 +38,17 @@ def test_rules(spark):
     assert scan_licences(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "  ", "\t", "\u00a0", "\n# ", "\n * ", "-"])
+def test_words_may_be_apart_in_any_way(spark, gap):
+    df = spark.createDataFrame([(1, f"Some prose.\nAll rights{gap}reserved.\nMore."), (2, f"All{gap}rights reserved."), (3, "reserved rights")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_sentences"], r["sentence_ids"], r["licences"]) for r in scan_licences(df).collect()}
+    assert got == {1: (1, "RESERVED", "all-rights-reserved"), 2: (1, "RESERVED", "all-rights-reserved"), 3: (0, "", "")}
+
+
+def test_guard_has_single_words():
+    assert re.fullmatch("[a-z|]+", GUARD) and all(re.search(GUARD, s) for s in known())
+
+
 @pytest.mark.parametrize("sentence", [s for xs in SENTENCES.values() for s in xs])
 def test_every_sentence_is_known(sentence):
     assert len(known()) >= len(SENTENCES) and sentence
