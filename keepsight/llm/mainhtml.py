@@ -12,7 +12,8 @@ ancestors. It is fitted when a query starts, on TRAINING_PAGES generated pages
 whose labels are known.
 
 Defined cases: null or empty html, and pages of nothing but boilerplate, give
-an empty text; markup may be broken or cut off anywhere; white space is what
+an empty text; markup may be broken or cut off anywhere; a head without end tag
+ends where its first text or element of a body starts; white space is what
 str.split() takes for it; pages are parsed whole; a null page_id stays null;
 repeated rows each get an output row; an empty table gives no rows; further
 columns are ignored.
@@ -36,6 +37,7 @@ from keepsight.llm.tables import own_columns
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 SILENT = frozenset("script style noscript template title textarea select option datalist button svg iframe object canvas audio video math head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 #: Elements that an opening tag of a kind closes when they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
@@ -55,10 +57,10 @@ TOKENS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "depth", "marks")
+    __slots__ = ("tag", "up", "depth", "marks", "silences")
 
-    def __init__(self, tag: str, up: Node | None, marks: frozenset):
-        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
+    def __init__(self, tag: str, up: Node | None, marks: frozenset, silences: bool = False):
+        self.tag, self.up, self.depth, self.silences = tag, up, up.depth + 1 if up else 0, silences
         self.marks = (up.marks | marks) if up else marks
 
 
@@ -86,7 +88,16 @@ class Blocks(HTMLParser):
                 self.found.append(Block(text, node, self.linked))
             self.parts, self.linked = [], 0
 
+    def end_head(self) -> None:
+        """Closes an open head, whose end tag may be left out."""
+        node = self.node
+        while node.tag != "head":
+            node = node.up
+        self.pop_to(node)
+
     def handle_starttag(self, tag, attrs):
+        if self.node.tag == "head" and tag not in HEAD or tag == "body" and self.open["head"] and not self.open["template"]:
+            self.end_head()
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -104,9 +115,9 @@ class Blocks(HTMLParser):
                     marks |= ROLES.get(value, set())
             elif name in ("hidden", "aria-hidden") and value != "false":
                 marks.add("hidden")
-        self.node = Node(tag, self.node, frozenset(marks))
+        self.node = Node(tag, self.node, frozenset(marks), tag in SILENT or "hidden" in marks)
         self.open[tag] += 1
-        self.silent += tag in SILENT or "hidden" in marks
+        self.silent += self.node.silences
         self.anchors += tag == "a"
 
     def end_open(self, tags: set, within: bool) -> None:
@@ -122,7 +133,7 @@ class Blocks(HTMLParser):
     def pop_to(self, node: Node) -> None:
         end = node.up
         while self.node is not end:
-            self.silent -= self.node.tag in SILENT or "hidden" in self.node.marks - self.node.up.marks
+            self.silent -= self.node.silences
             self.anchors -= self.node.tag == "a"
             self.open[self.node.tag] -= 1
             self.node = self.node.up
@@ -141,6 +152,8 @@ class Blocks(HTMLParser):
             self.pop_to(node)
 
     def handle_data(self, data):
+        if self.node.tag == "head" and data.strip():
+            self.end_head()
         if not self.silent:
             self.parts.append(data)
             if self.anchors:

@@ -54,6 +54,21 @@ def test_main_text(weights):
         main_text(PAGE[:cut], weights)
 
 
+@pytest.mark.parametrize("inner", ['<i aria-hidden="true">x</i>', "<div hidden>x</div>", '<svg aria-hidden="true"><path hidden></path></svg>', "<p hidden>open"])
+def test_text_after_nested_hidden_elements(weights, inner):
+    page = f"<body><div hidden><p>modal</p>{inner}</div><article><h1>Title</h1><p>Some text of the page.</p></article>"
+    assert [b.text for b in blocks_of(page)] == ["Title", "Some text of the page."]
+    assert main_text(page, weights) == "Title\n\nSome text of the page."
+    assert blocks_of("<div hidden><p hidden>a</p>b<p>c</p>") == []
+
+
+@pytest.mark.parametrize("start", ["<body>", '<body class="page">', "", "\n<article>", "</head>", "</head><body>", "<noscript><body>"])
+def test_head_without_end_tag(weights, start):
+    page = f"<html><head><meta charset=utf-8><title>T</title>\n<link rel=x><style>p{{}}</style><template><body><p>t</p></template><script>1</script>{start}<h1>Title</h1><p>Some text of the page.</p>"
+    assert [b.text for b in blocks_of(page)] == ["Title", "Some text of the page."]
+    assert [b.text for b in blocks_of("<head><title>T</title> \n Bare text.<p>More.")] == ["Bare text.", "More."]
+
+
 def test_extract_main_text(spark, weights):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", ""), (None, "w", "<nav>only a menu</nav>"), (4, "x", "</p></div><b>" * 50), (5, "y", "<article>" + "<p>Some words of it.</p>" * 3000)]
     df = spark.createDataFrame([(*r, 7, "d", 7) for r in rows], SCHEMA)
