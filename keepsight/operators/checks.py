@@ -51,3 +51,8 @@ def coherence(obs: DataFrame, keys: list[str]) -> DataFrame:
 def frame_drift(errors: DataFrame, keys: list[str], limit: float = 3.0) -> DataFrame:
     """Median absolute difference of probed frames, and whether the index holds."""
     return errors.groupBy(*keys).agg(F.median("mae").alias("median_mae")).withColumn("ok", F.col("median_mae") < limit)
+
+
+def seams(chunks: DataFrame, keys: list[str], rmse: str = "rmse") -> DataFrame:
+    """Median and largest residual of joining each chunk to the one before; null ones don't count."""
+    return chunks.groupBy(*keys).agg(F.median(rmse).alias("seam_median"), F.max(rmse).alias("seam_max"))

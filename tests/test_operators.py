@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keepsight.operators import aggregates, joins, places, poses, ranking, relations, resolve, sets, snapshots, windows
+from keepsight.operators import aggregates, checks, joins, places, poses, ranking, relations, resolve, sets, snapshots, windows
 
 
 def rows(df, *columns):
@@ -175,6 +175,32 @@ def test_snapshot_is_causal_and_idempotent(spark):
     assert rows(snapshots.snapshot_segments(seg, "u").fillna("-"), "t0", "t1", "description") == [(0.0, 5.0, "early"), (2.0, 5.0, "-")]
 
 
+def test_snapshot_holds_no_later_positions_or_summaries(spark):
+    points = spark.createDataFrame([(1, 1.0, [1.0]), (1, 3.0, [3.0]), (1, 4.0, None), (1, 8.0, [8.0]), (2, 4.0, [40.0]), (1, None, [9.0])], "id int, time_s double, world array<double>")
+    seg = [(1, 0, 0.0, 2.0, 1.0, [1.5]), (1, 1, 2.0, 9.0, 8.0, [8.0]), (1, 2, 4.0, 9.0, 8.0, [7.0]), (1, 3, 6.0, 9.0, 8.0, [8.0])]
+    for until, want in ((5.0, [(0, [1.5], None), (1, [3.0], None), (2, [7.0], None)]), (None, [(s[1], s[5], "all") for s in seg])):
+        df = spark.createDataFrame([(*s, "d", "all", until) for s in seg], "id int, pos int, t0 double, t1 double, rep_s double, world array<double>, description string, summary string, u double")
+        got = snapshots.snapshot_segments(df, "u", points, ["id"])
+        assert rows(got, "pos", "world", "summary") == want and got.columns == df.columns
+    with pytest.raises(ValueError):
+        snapshots.snapshot_segments(df, "u")
+    objects = spark.createDataFrame([(1, "s", 5.0), (2, "s", None)], "id int, summary string, u double")
+    assert sorted((r["id"], r["summary"]) for r in snapshots.without_summaries(objects, "u").collect()) == [(1, None), (2, "s")]
+
+
+def test_scene_segments_end_in_the_scene(spark):
+    seg = [(0, None), (1, 4.0), (2, 5.0), (3, 6.0)]
+    for since, want in ((5.0, [0, 2, 3]), (0.0, [0, 1, 2, 3]), (None, [0, 1, 2, 3])):
+        df = spark.createDataFrame([(*s, since) for s in seg], "pos int, t1 double, since double")
+        assert [r[0] for r in rows(snapshots.scene_segments(df, "since"), "pos")] == want
+
+
+def test_seams(spark):
+    chunks = spark.createDataFrame([("a", 0.1), ("a", 0.5), ("a", 0.2), ("a", None), ("b", None)], "clip string, rmse double")
+    got = {r["clip"]: (r["seam_median"], r["seam_max"]) for r in checks.seams(chunks, ["clip"]).collect()}
+    assert got == {"a": (0.2, 0.5), "b": (None, None)}
+
+
 def test_event_recall_counts_recents_apart(spark):
     lines = spark.createDataFrame([(1, float(t), t % 3, t) for t in range(12)], "q int, t double, hits int, pos int")
     got = [t for _, t in rows(ranking.recall_events(lines, ["q"], "t", "hits", "pos", recent=3, match=2), "q", "t")]
