@@ -59,6 +59,13 @@ def test_one_near_copy_stays(docs):
     assert [r[0] for r in got if (r[1] or "").startswith(prose(2, 3000)[:20])] == [4]
 
 
+def test_short_near_copies_go_only_within_three_bits(spark):
+    """A word more in 120 changes 1, 2, 4 and 5 bits of these; those above three stay, as the README says."""
+    rows = [(10 * seed + k, prose(seed) + tail) for seed in (20, 21, 22, 2) for k, tail in enumerate(("", " tail"))]
+    got = stages.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [20, 21, 200, 210, 220, 221]
+
+
 def test_mix_takes_words_to_the_target(docs):
     from keepsight.llm.mixing import mix_sources
 
