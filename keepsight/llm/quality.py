@@ -2,10 +2,11 @@
 
 The base measures are computed for every document. The rules are then tried
 one after another, as one CASE that stops at the first rule that rejects; the
-order comes from a sample of the table, on which each rule's cost (time of a
-scan that evaluates it) and selectivity (share of rows it rejects) are
-estimated: most rejections for each unit of cost first. The order changes how
-fast a document is rejected, never whether it is.
+order comes from a random sample of the whole table, on which each rule's cost
+(median time of its evaluation on a row, read from a clock before and after it)
+and selectivity (share of rows it rejects) are estimated in one pass: most
+rejections for each unit of cost first. The order changes how fast a document
+is rejected, never whether it is.
 
 Defined cases: null text has no words; a document without words fails the
 base; lines are split at \\n only; a null doc_id stays null; repeated rows each
@@ -14,8 +15,6 @@ get an output row; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +24,10 @@ from keepsight.llm.tables import own_columns
 SPACE, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
-#: Rows on which costs and selectivities are estimated, and the most characters of each. They are the first ones that
-#: Spark finds, from one partition where it has enough, and pass through the driver.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 32_768
+#: Expected rows of the sample on which costs and selectivities are estimated; every row of the table is as likely to be in it.
+SAMPLE_ROWS = 2000
+#: Windows of texts of up to 2 ** POSITION_BITS words are sorted as single numbers, of hash and position.
+POSITION_BITS = 20
 
 
 def let(value: Column, body) -> Column:
@@ -35,51 +35,63 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def counted_words(text: Column) -> Column:
-    """Struct of n, the words of a text that isn't null, and repeated, the words in 3-word windows found twice or more.
+def words_of(text: Column) -> Column:
+    """The words of a text; one empty word if it has none."""
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACE)
+
+
+def covered(positions: Column) -> Column:
+    """Words in the 3-word windows that start at these ascending positions."""
+    return F.aggregate(F.zip_with(positions, F.slice(positions, 2, F.size(positions)), lambda i, j: F.least(F.coalesce(j - i, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda n, x: n + x)
 
-    Windows are first compared by a hash of the hashes of their pairs: where
-    these all differ, no window is repeated. Otherwise windows are sorted by
-    (hash, words, position), equal neighbours are found, and the union of their
-    positions is measured.
-    """
 
-    def hashes(w):
-        pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))
-        return let(pairs, lambda p: F.slice(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.xxhash64(a, b)), 1, F.size(p) - 2))
+def sorted_windows(words: Column) -> Column:
+    """Words in repeated windows, by sorting (hash, words, position): for texts of any length, and where hashes collide."""
+    w = words
+    rows = F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i")))
 
-    def covered(w):
-        pairs = F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        rows = F.slice(F.zip_with(pairs, F.slice(w, 3, F.size(w)), lambda ab, c: F.struct(F.xxhash64(ab["a"], ab["b"], c).alias("h"), F.concat_ws(" ", ab["a"], ab["b"], c).alias("t"))), 1, F.size(w) - 2)
-        ordered = F.sort_array(F.transform(rows, lambda x, i: F.struct(x["h"].alias("h"), x["t"].alias("t"), i.alias("i"))))
+    def positions(s):
+        same = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when((x["h"] == y["h"]) & (x["t"] == y["t"]), F.array(x["i"], y["i"])))  # null after the last
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
-        def positions(s):
-            same = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: (x["h"] == y["h"]) & (x["t"] == y["t"]))  # null after the last
-            flagged = F.zip_with(F.zip_with(s, same, lambda x, after: F.struct(x["i"].alias("i"), F.coalesce(after, F.lit(False)).alias("after"))), F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(s) - 1)), lambda x, before: F.when(x["after"] | before, x["i"]))
-            return F.sort_array(F.filter(flagged, lambda i: i.isNotNull()))
+    return let(let(F.sort_array(rows), positions), covered)
 
-        def union(p):
-            return F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda i, j: F.least(F.coalesce(j - i, F.lit(3)), F.lit(3))), F.lit(0), lambda n, x: n + x)
 
-        return let(let(ordered, positions), union)
+def counted_words(text: Column) -> Column:
+    """Struct of n, the words of a text that isn't null, chars, their characters, and repeated, the words in 3-word windows found twice or more.
+
+    Each window is one number, the high bits of its hash and its position, and
+    equal windows are neighbours once these are sorted. Neighbours of one hash
+    are compared word by word; texts in which two of them differ, or that have
+    more words than positions fit in, go the longer way of sorted_windows.
+    """
+    mask = (1 << POSITION_BITS) - 1
+
+    def repeated(w):
+        at = lambda i: F.get(w, i)
+        keys = F.sort_array(F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.xxhash64(x, at(i + 1), at(i + 2)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
+        place = lambda k: k.bitwiseAND(F.lit(mask)).cast("int")
+        equal = lambda i, j: (at(i) == at(j)) & (at(i + 1) == at(j + 1)) & (at(i + 2) == at(j + 2))
+        pairs = lambda k: F.filter(F.zip_with(k, F.slice(k, 2, F.size(k)), lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), POSITION_BITS) == 0, F.array(place(a), place(b)))), lambda x: x.isNotNull())
+        counted = lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).when(F.exists(p, lambda x: ~equal(x[0], x[1])), sorted_windows(w)).otherwise(let(F.sort_array(F.array_distinct(F.flatten(p))), covered))
+        return F.when(F.size(w) > mask, sorted_windows(w)).otherwise(let(let(keys, pairs), counted))
 
     def measured(w):
-        repeated = F.when(F.size(w) < 4, 0).otherwise(F.when(let(hashes(w), lambda h: F.size(h) == F.size(F.array_distinct(h))), 0).otherwise(covered(w)))
-        return F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).cast("long").alias("n"), repeated.cast("long").alias("repeated"))
+        return F.struct(F.when(w[0] == "", 0).otherwise(F.size(w)).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(repeated(w)).alias("repeated"))
 
-    return let(F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACE), measured)
+    return let(words_of(text), measured)
 
 
 def base_measures(docs: DataFrame) -> DataFrame:
     """docs and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (
         # As it depends on the row's place, no filter is pushed below it, where words would be counted once more.
         docs.withColumn("counted", F.when(F.monotonically_increasing_id() >= 0, counted_words(text)))
         .withColumn("n_words", F.col("counted.n"))
-        .withColumn("word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", F.col("counted.chars"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
         .withColumn("n_repeat_words", F.col("counted.repeated"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")))
@@ -87,36 +99,55 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_word_fills(words: Column, part: int) -> Column:
+    """Whether one word is more than a part-th of the words: in sorted order it then meets itself so many places on. Hashes are sorted first, and words only where their hashes say so."""
+    meets = lambda s, m: F.exists(F.zip_with(F.slice(s, 1, F.size(s) - m), F.slice(s, m + 1, F.size(s)), lambda a, b: a == b), lambda x: x)
+    share = lambda w: F.floor(F.size(w) / part).cast("int")
+    return let(words, lambda w: F.when(let(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), lambda s: meets(s, share(w))), let(F.sort_array(w), lambda s: meets(s, share(w)))).otherwise(False))
+
+
 def rules() -> dict[str, Column]:
     """Name and rejection condition of each rule; conditions are never null."""
-    text, n = F.coalesce("text", F.lit("")), F.col("n_words")
+    text, n, chars = F.coalesce("text", F.lit("")), F.col("n_words"), F.col("word_chars")
+    found = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return {
         "symbols": 10 * F.col("n_symbols") > n,
-        "word_length": (F.col("word_chars") > 12 * n) | (F.col("word_chars") < 2 * n),
-        "dup_lines": 2 * F.col("n_dup_lines") > F.regexp_count(text, F.lit("\n")) + 1,
+        "symbol_chars": 20 * F.col("n_symbols") > chars,
+        "word_length": (chars > 12 * n) | (chars < 2 * n),
+        "dup_lines": 2 * F.col("n_dup_lines") > F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
         "repeats": 100 * F.col("n_repeat_words") > 30 * n,
-        "exclamations": 10 * F.regexp_count(text, F.lit("!")) > n,
-        "capitals": 10 * F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]")) > 3 * F.col("word_chars"),
-        "digits": 10 * F.regexp_count(text, F.lit("[0-9]")) > 3 * F.col("word_chars"),
+        "exclamations": 10 * (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))) > n,
+        "capitals": 10 * found("[A-ZÀ-ÖØ-Þ]") > 3 * chars,
+        "digits": 10 * found("[0-9]") > 3 * chars,
+        "one_word": one_word_fills(words_of(text), 5),
     }
 
 
-def cascade_order(docs: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, most rejected rows for each second of cost first; ties by name."""
-    found = docs.filter(F.length("text") <= SAMPLE_CHARS).select("text").take(sample_rows)
-    rows = base_measures(docs.sparkSession.createDataFrame(found, "text string")).filter("not base_failed").cache()
+def rule_estimates(docs: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """For each rule its median cost on a row (nanoseconds) and the share of rows it rejects, of a random sample of those that the base passes.
+
+    The sample has about sample_rows rows, drawn from all partitions alike. An
+    array evaluates its members in order, so the clock is read between rules.
+    """
+    total = docs.count()
+    sample = docs.select("text").sample(min(1.0, sample_rows / total), seed=4) if total else docs.select("text")
+    rows = base_measures(sample).filter("not base_failed").cache()
     try:
-        share = rows.agg(*[F.avg(c.cast("double")).alias(name) for name, c in conditions.items()]).first()
-        cost = {}
-        for name, c in conditions.items():
-            start = time.perf_counter()
-            rows.agg(F.count_if(c)).collect()
-            cost[name] = max(time.perf_counter() - start, 1e-3)
-        return sorted(conditions, key=lambda name: (-(share[name] or 0) / cost[name], name))
+        clock = F.java_method(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+        steps = [x for c in conditions.values() for x in (clock, c.cast("long"))]
+        timed = rows.select(F.array(*steps, clock).alias("s"))
+        found = timed.agg(*[x for k in range(len(conditions)) for x in (F.percentile_approx(F.col("s")[2 * k + 2] - F.col("s")[2 * k], 0.5), F.avg(F.col("s")[2 * k + 1]))]).first()
+        return {name: (float(max(found[2 * k] or 0, 1)), float(found[2 * k + 1] or 0.0)) for k, name in enumerate(conditions)}
     finally:
         rows.unpersist()
 
 
+def cascade_order(docs: DataFrame, conditions: dict[str, Column], sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Rule names, most rejections for each unit of cost first; then the cheaper first, then by name."""
+    found = rule_estimates(docs, conditions, sample_rows)
+    return sorted(conditions, key=lambda name: (-found[name][1] / found[name][0], found[name][0], name))
+
+
 def quality_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by."""
     texts, conditions = own_columns(docs, ["doc_id", "text"]), rules()

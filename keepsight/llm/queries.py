@@ -72,13 +72,14 @@ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s)
 covered AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
 m AS (
-  SELECT doc_id, t, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars,
+  SELECT rid, doc_id, t, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN covered USING (rid)),
-b AS (SELECT *, coalesce(chars, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+common AS (SELECT rid, max(n) AS most FROM (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY ALL) GROUP BY rid),
+b AS (SELECT *, coalesce(chars, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m LEFT JOIN common USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words
+       NOT (base_failed OR 10 * n_symbols > n_words OR 20 * n_symbols > word_chars OR 5 * most > n_words OR word_chars > 12 * n_words OR word_chars < 2 * n_words
             OR 2 * n_dup_lines > len(string_split(t, chr(10))) OR 100 * n_repeat_words > 30 * n_words
             OR 10 * len(regexp_extract_all(t, '!')) > n_words OR 10 * len(regexp_extract_all(t, '[A-ZÀ-ÖØ-Þ]')) > 3 * word_chars
             OR 10 * len(regexp_extract_all(t, '[0-9]')) > 3 * word_chars) AS kept

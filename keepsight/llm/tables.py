@@ -2,8 +2,10 @@
 
 Lineage is cut by writing Parquet below spark.checkpoint.dir; a lost executor
 then costs a re-read, never a recomputation of what was random, sampled or
-numbered by partition. Where the setting is absent (tests), a temporary folder
-of this machine serves.
+numbered by partition. Where the setting is absent, a temporary folder of this
+machine serves a local master (tests), whose executors are the driver itself;
+on a cluster that is an error. The folder goes when the application ends, and
+the tables of a scope when the scope does.
 """
 
 from __future__ import annotations
@@ -12,20 +14,58 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_ends: set[str] = set()
+_scopes: list[list[Table]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, else a folder of our own."""
+    """Folder for intermediate tables, which goes with the application: below spark.checkpoint.dir, else one of our own for a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         where = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="keepsight-"))
-    return f"{where.rstrip('/')}/keepsight-{app}"
+    folder = f"{where.rstrip('/')}/keepsight-{app}"
+    if folder not in _ends:
+        _ends.add(folder)
+        path, fs = hadoop_path(spark, folder)
+        fs.deleteOnExit(path)
+    return folder
+
+
+def hadoop_path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, where: str) -> None:
+    path, fs = hadoop_path(spark, where)
+    fs.delete(path, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables made inside are deleted at its end; what is needed after it must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for t in _scopes.pop():
+            t.drop()
+
+
+def keep(t: Table) -> None:
+    """t outlives the scope it was made in."""
+    if _scopes and t in _scopes[-1]:
+        _scopes[-1].remove(t)
 
 
 class Table:
@@ -35,13 +75,14 @@ class Table:
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +92,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; for when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
 def release(spark: SparkSession) -> None:
@@ -80,7 +120,9 @@ def answer_groups(leaders: DataFrame, answers: DataFrame, key: list[str], values
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input. One of fewer partitions than there are cores is dealt out to them; larger ones stay as they lie."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def own_columns(df: DataFrame, names: list[str]) -> DataFrame:
