@@ -1,25 +1,28 @@
 """Exact deduplication by content-defined chunk recipes (operator 9).
 
 One pass over the text normalises white space, cuts each text at
-content-defined boundaries and keeps, for each task, one recipe (the ordered
-list of chunk keys) for each distinct text. Chunk keys become verified
-identifiers: a 64-bit key stands for a chunk only as long as a single SHA-256
-digest is known for it; where two digests share a key, each gets an ordinal.
-Texts are equal when their ordered identifier lists are equal. Only recipes,
-digests and ids move; no text does.
+content-defined boundaries and makes its recipe, the ordered list of its
+chunks. Inside a task chunks are known by SHA-256 digest and texts are equal
+when their recipes are; each distinct recipe leaves the task once. Across tasks
+chunk keys become verified identifiers: a 64-bit key stands for a chunk only as
+long as a single digest is known for it; where two digests share a key, each
+gets an ordinal. Texts are equal when their ordered identifier lists are equal.
+Only recipes, digests and ids move; no text does.
 
-Verification compares digests (256 bits) and lengths rather than bytes, as
-comparing bytes would move the whole corpus once.
+Verification compares digests (256 bits) rather than bytes, as comparing bytes
+would move the whole corpus once.
 
 Defined cases: null text counts as empty; empty texts are equal to each other
 and differ from a text of white space only; a null doc_id sorts after every
-other one; repeated rows each get an output row; an empty table gives no rows;
-further columns are ignored.
+other one; of rows that share a group's smallest doc_id one stays, the first of
+the first task that has one; repeated rows each get an output row; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -72,45 +75,46 @@ def cuts(b: bytes, gear: np.ndarray) -> list[int]:
 
 
 def recipes(key_bits: int = 64):
-    """For mapInArrow over (doc_id, text): a row for each document; the first of each distinct text of the task carries the recipe."""
+    """For mapInArrow over (doc_id, text): a row for each document; the first of each distinct recipe of the task carries it."""
     import xxhash
 
     gear, mask = gear_table(), (1 << key_bits) - 1
 
     def run(batches):
-        pid, seen = TaskContext.get().partitionId(), {}
+        pid, seen, known, number = TaskContext.get().partitionId(), {}, {}, 0
         for batch in batches:
             rows = {name: [] for name in SCHEMA.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 b = normalised(text)
-                digest = hashlib.sha256(b).digest()
-                if (lid := seen.get((digest, len(b)))) is None:
-                    lid = seen[digest, len(b)] = len(seen)
-                    start, keys, digests = 0, [], []
+                start, digests = 0, []
+                for end in cuts(b, gear):
+                    digests.append(hashlib.sha256(b[start:end]).digest())
+                    start = end
+                recipe = array("Q", [known.setdefault(d, len(known)) for d in digests]).tobytes()
+                if (lid := seen.get(recipe)) is None:
+                    lid, start, keys = seen.setdefault(recipe, len(seen)), 0, []
                     for end in cuts(b, gear):
-                        chunk = b[start:end]
-                        key = xxhash.xxh3_64_intdigest(chunk) & mask
+                        key = xxhash.xxh3_64_intdigest(b[start:end]) & mask
                         keys.append(key - (1 << 64) if key >> 63 else key)
-                        digests.append(hashlib.sha256(chunk).digest())
                         start = end
                 else:
                     keys = digests = None
-                for name, value in zip(rows, (pid, lid, doc, text_key(text), digest.hex(), keys, digests), strict=True):
+                for name, value in zip(rows, (pid, number, lid, doc, text_key(text), hashlib.sha256(b).hexdigest(), keys, digests), strict=True):
                     rows[name].append(value)
+                number += 1
             yield pa.RecordBatch.from_pydict(rows, schema=SCHEMA)
 
     return run
 
 
-SCHEMA = pa.schema([("pid", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("text_sha256", pa.string()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
-SQL_SCHEMA = "pid long, lid long, doc_id long, text_key long, text_sha256 string, keys array<long>, digests array<binary>"
+SCHEMA = pa.schema([("pid", pa.int64()), ("row", pa.int64()), ("lid", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("text_sha256", pa.string()), ("keys", pa.list_(pa.int64())), ("digests", pa.list_(pa.binary()))])
+SQL_SCHEMA = "pid long, row long, lid long, doc_id long, text_key long, text_sha256 string, keys array<long>, digests array<binary>"
 
 
 def exact_dedup(docs: DataFrame, key_bits: int = 64) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256, text_key (XXH64 of the text as it is).
 
-    Of equal texts the row with the smallest doc_id is kept; if that doc_id
-    itself is repeated within the group, all its rows are.
+    Of equal texts one row with the smallest doc_id is kept.
     """
     t = Table(own_columns(docs, ["doc_id", "text"]).mapInArrow(recipes(key_bits), SQL_SCHEMA), "recipes").read()
     leaders = t.filter("keys is not null").select("pid", "lid", "keys", "digests")
@@ -124,7 +128,9 @@ def exact_dedup(docs: DataFrame, key_bits: int = 64) -> DataFrame:
         found = each.join(ranked, ["keys", "digests"], "left").groupBy("pid", "lid").agg(F.array_sort(F.collect_list(F.struct("pos", "keys", F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal")))).alias("c"))
         ids = found.select("pid", "lid", F.when(F.col("c")[0]["pos"].isNotNull(), F.flatten(F.transform("c", lambda x: F.array(x["keys"], x["ordinal"])))).otherwise(F.array().cast("array<long>")).alias("recipe"))
     ids = Table(ids, "identifier-lists").read()
-    local = t.groupBy("pid", "lid").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    groups = Table(ids.join(local, ["pid", "lid"]).groupBy("recipe").agg(F.min("first").alias("keep_id"), F.sum("n").alias("group_size")), "groups").read()
-    found = answer_groups(ids, groups, ["recipe"], ["keep_id", "group_size"])
-    return t.join(found, ["pid", "lid"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "text_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pid", "row"))
+    local = t.groupBy("pid", "lid").agg(first.alias("first"), F.count("*").alias("n"))
+    groups = Table(ids.join(local, ["pid", "lid"]).groupBy("recipe").agg(F.min("first").alias("first"), F.sum("n").alias("group_size")), "groups").read()
+    found = answer_groups(ids, groups, ["recipe"], ["first", "group_size"])
+    kept = (F.col("first.pid") == F.col("pid")) & (F.col("first.row") == F.col("row"))
+    return t.join(found, ["pid", "lid"]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "text_key")
