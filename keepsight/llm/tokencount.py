@@ -4,9 +4,10 @@ The SentencePiece model never joins characters across the start of a run of
 spaces, so a text's count is the sum over its pre-tokens, each a run of spaces
 with the characters up to the next one. Tier one is a broadcast table of the
 token counts of frequent pre-tokens; tier two is a cache in each worker, filled
-by encoding what the table misses. The frequent ones come from a pass over all
-texts in which every task reports its heavy hitters; no pre-token of a text is
-ever shuffled.
+by encoding what the table misses. The frequent ones are those of a bounded
+random sample of documents, counted in one place; no pre-token of a text is
+ever shuffled. Which pre-tokens the table holds changes only how fast a text is
+counted.
 
 Defined cases: null text is empty and has no tokens; texts of any length are
 counted whole; special strings inside texts are ordinary text; a null doc_id
@@ -22,17 +23,16 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from keepsight.llm.tables import own_columns, worker_state
 
 MODEL, MAX_TOKENS = "piece_bpe_32k.model", 4096
 #: Bounds of the broadcast table: entries, and characters of each.
 TABLE_WORDS, TABLE_CHARS = 32_768, 40
-#: A task reports pre-tokens that make up at least this share of its own.
-SHARE = 1 / 20_000
-#: Candidates that a task holds while it counts, and entries of a worker's cache.
-CANDIDATES, CACHE_WORDS = 400_000, 300_000
+#: Expected documents of the sample that frequent pre-tokens are taken from.
+SAMPLE_DOCS = 4000
+#: Entries of a worker's cache.
+CACHE_WORDS = 300_000
 SPACES = re.compile(" +[^ ]*")
 
 
@@ -43,23 +43,22 @@ def pretokens(text: str) -> list[str]:
     return [x[1:] for x in SPACES.findall(" " + text)]
 
 
-def heavy_hitters(batches):
-    """For mapInArrow over (text): (word, n) of the frequent pre-tokens of the task.
+def frequent_pretokens(texts: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = TABLE_WORDS) -> list[str]:
+    """The most frequent pre-tokens of a random sample of the texts. The sample (bounded by its parameters) is counted by one task, which gives at most `most` words."""
+    total = texts.count()
+    if not total:
+        return []
+    sample = texts.sample(min(1.0, sample_docs / total), seed=8).repartition(1)
 
-    Counts are lowered when there are too many candidates, by at most the share
-    that is looked for.
-    """
-    counts, total, lowered = Counter(), 0, 0
-    for batch in batches:
-        for text in batch.column("text"):
-            words = pretokens(text.as_py() or "")
-            counts.update(words)
-            total += len(words)
-        while len(counts) > CANDIDATES:
-            lowered += 1
-            counts = Counter({w: n - 1 for w, n in counts.items() if n > 1})
-    found = [(w, n) for w, n in counts.items() if n + lowered >= SHARE * total and len(w) <= TABLE_CHARS]
-    yield pa.RecordBatch.from_pydict({"word": [w for w, _ in found], "n": [n for _, n in found]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+    def count(batches):
+        counts = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(pretokens(text.as_py() or ""))
+        words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if 0 < len(w) <= TABLE_CHARS][:most]
+        yield pa.RecordBatch.from_pydict({"word": words}, schema=pa.schema([("word", pa.string())]))
+
+    return [r["word"] for r in sample.mapInArrow(count, "word string").collect()]
 
 
 class Lengths(dict):
@@ -87,10 +86,9 @@ def count_batches(path: str, frequent, max_tokens: int):
 
     def run(batches):
         state = worker_state()
-        key = ("lengths", path, name)
-        if key not in state:
-            state[key] = Lengths(load_model(path), frequent.value)
-        lengths = state[key]
+        if state.get("lengths", (None,))[0] != (path, name):  # one table for each worker: that of the latest query
+            state["lengths"] = (path, name), Lengths(load_model(path), frequent.value)
+        lengths = state["lengths"][1]
         for batch in batches:
             sizes, counts = [], []
             for text in batch.column("text"):
@@ -109,8 +107,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, max_tokens: int = MAX
 
         path = public_tokenizers.path(MODEL)
     texts = own_columns(docs, ["doc_id", "text"])
-    top = texts.select("text").mapInArrow(heavy_hitters, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()
-    model = load_model(path)
-    words = [r["word"] for r in top if r["word"]]
+    words, model = frequent_pretokens(texts.select("text")), load_model(path)
     frequent = docs.sparkSession.sparkContext.broadcast(dict(zip(words, map(len, model.encode(words)), strict=True)) if words else {})
     return texts.mapInArrow(count_batches(path, frequent, max_tokens), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
