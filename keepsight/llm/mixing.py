@@ -31,34 +31,44 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1:"
 
 
+def ranked(rows: DataFrame, order: list, sums: list[str]) -> DataFrame:
+    """rows with rank (from 0) and, for each named column, before_<name>: its sum over the rows before, in this order.
+
+    A range sort lays the rows out over tasks; ranks and sums inside a task get
+    the totals of the tasks before it, of which there is one row each.
+    """
+    laid = Table(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"pid": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), "ranged").read()
+    inside = Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    one = {"rank": F.lit(1), **{f"before_{c}": F.col(c) for c in sums}}
+    totals = laid.groupBy("pid").agg(*[F.sum(c).alias(f"_{n}") for n, c in one.items()])
+    starts = totals.select("pid", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in one])
+    added = {n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{n}") for n, c in one.items()}
+    return laid.join(starts, "pid").select(*rows.columns, *[c.alias(n) for n, c in added.items()])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, source_size, target from rows of (source, size).
 
-    Sources that reach max_epochs times their size are set aside, and the rest
-    of the budget is shared by weight among the others, until none is above.
-    Only two sums reach the driver in each round.
+    In order of cap / weight (a cap is max_epochs times a source's size), a
+    source is full while its share of what the full ones before it leave is
+    above its cap; from the first that isn't on, all share by weight. Only that
+    first source's two sums reach the driver.
     """
     sources = Table(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources").read()
-    order = [F.col("source").isNull(), F.col("source")]
-    ranged = Table(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "ranged-sources").read()
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("pid").agg(F.count("*").alias("n"), F.min("pos").alias("pos0")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rank = F.col("before") + F.col("pos") - F.col("pos0")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    weighed = Table(ranged.join(starts, "pid").select("source", "source_size", weight.cast("long").alias("w")), "weighed-sources").read()
-    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    cap, full = max_epochs * F.col("source_size"), F.lit(False)
-    exact = lambda c: c.cast("decimal(25,0)")
-    while True:
-        got = weighed.filter(~full).agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
-        held = weighed.filter(full).agg(F.coalesce(F.sum(cap), F.lit(0))).first()[0]
-        rest, sum_w = total - held, got["w"] or 1
-        share = (F.col("w") * F.lit(rest)).cast("double") / F.lit(float(sum_w))
-        now_full = full | (F.col("w") * exact(F.lit(rest)) > cap * exact(F.lit(sum_w)))
-        if weighed.filter(now_full & ~full).isEmpty():
-            break
-        full = now_full
-    return Table(weighed.select("source", "source_size", F.when(full, cap.cast("double")).otherwise(share).alias("target")), "targets").read()
+    by_name = ranked(sources, [F.col("source").isNull(), F.col("source")], [])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    weighed = Table(by_name.select("source", "source_size", weight.alias("w"), (max_epochs * F.col("source_size")).alias("cap")), "weighed-sources").read()
+    all_of = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    filled = Table(ranked(weighed, [F.col("cap").cast("decimal(38,12)") / F.col("w"), F.col("source").isNull(), F.col("source")], ["cap", "w"]), "filled-sources").read()
+    exact = lambda c: c.cast("decimal(19,0)")
+    rest, others = F.lit(all_of["size"]) - F.col("before_cap"), F.lit(all_of["w"]) - F.col("before_w")
+    sharing = filled.filter(exact(rest) * exact(F.col("w")) <= exact(F.col("cap")) * exact(others))
+    first = sharing.orderBy("rank").select("rank", rest.alias("rest"), others.cast("double").alias("others")).first()
+    if first is None:
+        return Table(filled.select("source", "source_size", F.col("cap").cast("double").alias("target")), "targets").read()
+    share = (F.col("w") * F.lit(first["rest"])).cast("double") / F.lit(first["others"])
+    return Table(filled.select("source", "source_size", F.when(F.col("rank") < first["rank"], F.col("cap").cast("double")).otherwise(share).alias("target")), "targets").read()
 
 
 def running_sums(batches):

@@ -56,6 +56,13 @@ def test_exact_dedup(docs, nothing):
     assert rows(exact_dedup(nothing)) == []
 
 
+def test_one_row_of_equal_texts_stays(spark):
+    given = [(5, "a  b", 1), (5, "a b", 2), (7, "a b", 3), (None, "a\tb", 4), (None, "c", 5), (None, "c", 6), (9, None, 7), (9, "", 8)]
+    got = exact_dedup(spark.createDataFrame(given, "doc_id long, text string, row long").repartition(3)).collect()
+    assert Counter(r["doc_id"] for r in got if r["kept"]) == {5: 1, None: 1, 9: 1} and len(got) == len(given)
+    assert all(r["keep_id"] == (5 if r["group_size"] == 4 else 9 if r["doc_id"] == 9 else None) for r in got)
+
+
 def plain_quality(text):
     words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
     seen = Counter(zip(words, words[1:], words[2:]))
@@ -86,6 +93,52 @@ def test_quality_main_path_has_no_python(docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+WORDY = [" ".join(f"w{i * i % k}" for i in range(n)) for n, k in ((3, 9), (4, 1), (5, 2), (60, 7), (200, 50), (300, 199), (1000, 400))]
+
+
+def test_quality_base_measures_on_repeats(spark, monkeypatch):
+    """Also where every window hash collides or has no room beside its position: the longer way gives the same."""
+    from keepsight.llm import quality
+
+    d = spark.createDataFrame(list(enumerate(WORDY)), "doc_id long, text string")
+    want = sorted((i, plain_quality(t)[4]) for i, t in enumerate(WORDY))
+    for bits in (20, 2, 60):
+        monkeypatch.setattr(quality, "POSITION_BITS", bits)
+        got = quality.base_measures(d).select("doc_id", "n_repeat_words").collect()
+        assert sorted(map(tuple, got)) == want, bits
+
+
+def test_each_kind_of_bad_text_is_rejected_by_its_rule(spark):
+    from keepsight.llm.quality import rule_estimates, rules
+
+    fine = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}word" for k in range(90)]
+    bad = {
+        "symbols": [*fine, *["a#b"] * 1, "#" * 12], "symbol_chars": [x if k % 20 else "<>|$%&*#" * 4 for k, x in enumerate(fine)], "word_length": [x * 4 for x in fine], "exclamations": [x + "!" * (k % 2) for k, x in enumerate(fine)],
+        "capitals": [x.upper() for x in fine], "digits": [f"{k}7{k}" for k in range(90)], "one_word": [y for x in fine for y in (x, "the")][:120],
+    }
+    texts = {**{k: " ".join(v) for k, v in bad.items()}, "dup_lines": "\n".join([*fine[:20], *["same"] * 60]), None: " ".join(fine)}
+    d = spark.createDataFrame([(k or "", t, i) for i, (k, t) in enumerate(texts.items())], "name string, text string, doc_id long")
+    for name in rules():
+        if name == "repeats":
+            continue
+        got = {r["doc_id"]: r["rejected_by"] for r in quality_rules(d, [name]).collect()}
+        at = list(texts).index(name)
+        assert got[at] in (name, "base") and got[len(texts) - 1] is None, (name, got)
+    found = rule_estimates(d, rules(), 1000)
+    assert set(found) == set(rules()) and all(cost >= 1 and 0 <= share <= 1 for cost, share in found.values())
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=12))
+def test_one_word_rule_counts_the_most_frequent(spark, words):
+    from pyspark.sql import functions as F
+
+    from keepsight.llm.quality import one_word_fills
+
+    row = spark.range(1).select(*[one_word_fills(F.array(*map(F.lit, words)), part).alias(f"p{part}") for part in (1, 2, 3, 5)]).first()
+    assert list(row) == [part * max(Counter(words).values()) > len(words) for part in (1, 2, 3, 5)]
+
+
 def plain_components(fps):
     label = {f: f for f in fps}
 
@@ -296,15 +349,46 @@ def test_mix_sources(docs, nothing):
     assert rows(mix_sources(nothing)) == []
 
 
+def test_mix_many_sources_and_none_with_words(spark):
+    given = [(i, "w " * (i % 17 * (1 + i % 5)), f"s{i % 61:03d}" if i % 61 else None) for i in range(400)]
+    for docs in (given, [(i, None, s) for i, _, s in given]):
+        sizes = Counter()
+        for _, t, s in docs:
+            sizes[s] += len((t or "").split())
+        target = plain_targets(dict(sizes)) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0)
+        got = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+        assert all(r["target"] == pytest.approx(target[r["source"]]) for r in got) and len(got) == len(docs)
+
+
+def test_tokenizer_on_whole_documents(spark, tokenizer):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for text in [*texts, LONG]:
+        assert np.frombuffer(tokenizer(text or ""), np.uint32).tolist() == tokenizer.whole.encode(text or "", add_special_tokens=False).ids
+
+
 def test_intermediate_tables_lie_in_one_folder(spark):
     from pathlib import Path
 
-    from keepsight.llm.tables import Table, clear, shared_dir
+    from keepsight.llm.tables import Table, clear, keep, scope, shared_dir
 
     t = Table(spark.range(3).toDF("x"), "numbers")
     assert t.path.startswith(shared_dir(spark)) and t.read().count() == 3
     t.drop()
     assert not Path(t.path.removeprefix("file://")).exists()
-    Table(spark.range(3).toDF("x"), "numbers")
+    with scope():
+        inner, outer = (Table(spark.range(3).toDF("x"), "numbers") for _ in range(2))
+        keep(outer)
+    assert not Path(inner.path.removeprefix("file://")).exists() and outer.read().count() == 3
     clear(spark)
     assert not Path(shared_dir(spark).removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from keepsight.llm.tables import shared_dir
+
+    none = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, applicationId="a", master=master)))
