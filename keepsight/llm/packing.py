@@ -15,8 +15,10 @@ rows; further columns are ignored; a text of any length is cut whole.
 from __future__ import annotations
 
 import base64
+import logging
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsight.llm.binpack import pack
+from keepsight.llm.binpack import NODE_LIMIT, Plan, pack
 from keepsight.llm.tables import Table, own_columns, worker_state
 
 MAX_TOKENS, END_ID = 1024, 2
@@ -88,6 +90,10 @@ class Tokenizer:
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def logged(plan: Plan) -> None:
+    logging.getLogger(__name__).info("packed into %d sequences, %d above the lower bound, after %d nodes", plan.bins, plan.gap, plan.nodes)
+
+
 def tokenizer_paths() -> tuple[str, str]:
     import public_tokenizers
 
@@ -157,8 +163,12 @@ def place(runs: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, capacity: int = MAX_TOKENS, end_id: int = END_ID, node_limit: int | None = NODE_LIMIT, report: Callable[[Plan], None] = logged) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    node_limit bounds the search for a plan (None: until no plan can be better);
+    report is told the plan with its gap to the lower bound.
+    """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, pid long, slot long"
     pieces = Table(own_columns(docs, ["doc_id", "text"]).mapInArrow(cut_pieces(paths or tokenizer_paths(), capacity, end_id), schema), "pieces").read()
     in_task = pieces.groupBy("length", "pid").agg((F.max("slot") + 1).alias("n"))
@@ -166,4 +176,6 @@ def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, capaci
     firsts = Table(in_task.select("length", "pid", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")), "piece-numbers").read()
     counts = {r["length"]: r["n"] for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     numbered = pieces.join(firsts.select("length", "pid", "first"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("slot")).alias("number"))
-    return numbered.mapInArrow(place(placements(pack(counts, capacity))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    plan = pack(counts, capacity, node_limit)
+    report(plan)
+    return numbered.mapInArrow(place(placements(plan.fillings)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

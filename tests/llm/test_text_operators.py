@@ -286,13 +286,23 @@ def plain_bins(items, capacity):
 @given(st.integers(8, 40), st.lists(st.integers(1, 40), max_size=9))
 def test_packing_is_optimal_on_small_cases(capacity, items):
     counts = Counter(min(x, capacity) for x in items)
-    plan, used = pack(dict(counts), capacity), Counter()
-    for filling, times in plan:
-        assert sum(filling) <= capacity
-        for n in filling:
-            used[n] += times
-    assert used == counts
-    assert sum(t for _, t in plan) == plain_bins(list(counts.elements()), capacity) <= sum(t for _, t in best_fit(dict(counts), capacity))
+    for limit in (5000, None):
+        plan, used = pack(dict(counts), capacity, limit), Counter()
+        for filling, times in plan.fillings:
+            assert sum(filling) <= capacity
+            for n in filling:
+                used[n] += times
+        assert used == counts
+        assert sum(t for _, t in plan.fillings) == plan.bins == plain_bins(list(counts.elements()), capacity) <= sum(t for _, t in best_fit(dict(counts), capacity))
+        assert plan.gap >= 0 and (plan.complete or limit)
+
+
+def test_packing_reports_its_gap():
+    rng = np.random.default_rng(1)
+    counts = Counter(rng.integers(200, 700, 3000).tolist())
+    few, more = (pack(dict(counts), 1024, limit) for limit in (50, 5000))
+    assert few.nodes <= 50 and not few.complete and few.gap >= more.gap > -1
+    assert sum(n * t for f, t in more.fillings for n in f) == sum(n * c for n, c in counts.items())
 
 
 @pytest.fixture(scope="module")
