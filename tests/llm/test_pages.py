@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from keepsight.llm import mincut
 from keepsight.llm.mainhtml import blocks_of, content, extract_main_text, fit_weights, generated_page, main_text
-from keepsight.llm.warc import Bundle, archive_round_trip, parsed, read_bundles, save_bundles, write_bundles
+from keepsight.llm.warc import Bundle, archive_round_trip, fetch_records, load_bundles, parsed, read_bundles, record_index, save_bundles, write_bundles
 
 SCHEMA = "page_id long, url string, html string, refers_to long, digest string, n_chars long"
 BIG = "<p>" + "x" * 2000
@@ -93,15 +93,24 @@ def test_archives(spark, tmp_path):
     for options in ({}, {"frame_bytes": 1, "bundle_bytes": 1}):
         assert sorted(map(tuple, archive_round_trip(df, **options).collect()), key=repr) == sorted(want, key=repr)
     bundles = write_bundles(df, frame_bytes=3000)
-    save_bundles(bundles, str(tmp_path))
-    found = {}
-    for f in tmp_path.iterdir():
-        bundle = Bundle(f.read_bytes())
-        for page in (5, 12, 13):
-            found.setdefault(page, []).extend(parsed(r) for r in bundle.fetch(page))
-    assert len(found[5]) == 2 and found[5][0][1] == BIG.encode() and found[13][0][1].endswith(b"other")
-    assert found[12][0][0]["WARC-Target-URI"] == "g" and found[12][0][0]["WARC-Type"] == "response"
-    assert archive_round_trip(df.limit(0)).collect() == [] and read_bundles(bundles).count() == len(PAGES)
+    save_bundles(bundles, tmp_path.as_uri())
+    index = record_index(bundles).collect()
+    assert len({r["record_id"] for r in index}) == len(index) == len(PAGES)
+    places = {r["record_id"]: r for r in index}
+    files = {f.name.removesuffix(".warc.zst"): Bundle(f.read_bytes()) for f in tmp_path.iterdir()}
+    records = {i: parsed(files[r["bundle"]].fetch(i)) for i, r in places.items()}
+    for i, (fields, payload) in records.items():
+        assert fields["WARC-Record-ID"] == f"<urn:uuid:{i}>" and payload == parsed(files[places[i]["bundle"]].at(places[i]["frame"], places[i]["offset"], places[i]["length"]))[1]
+        if fields["WARC-Type"] == "revisit":
+            target, whole = records[fields["WARC-Refers-To"][10:-1]]
+            assert target["WARC-Type"] == "response" and target["X-Page-ID"] == fields["X-Refers-To-Page"] and len(whole) == int(fields["X-Payload-Length"])
+    by_page = {i: [records[r["record_id"]] for r in index if r["page_id"] == i] for i in (5, 12, 13)}
+    assert len(by_page[5]) == 2 and by_page[5][0][1] == BIG.encode() and by_page[13][0][1].endswith(b"other")
+    assert by_page[12][0][0]["WARC-Target-URI"] == "g" and by_page[12][0][0]["WARC-Type"] == "response"
+    wanted = record_index(bundles).filter("page_id in (5, 12)")
+    assert {r["record_id"]: bytes(r["record"]) for r in fetch_records(bundles, wanted).collect()} == {r["record_id"]: files[r["bundle"]].fetch(r["record_id"]) for r in wanted.collect()}
+    assert sorted(map(tuple, read_bundles(load_bundles(spark, tmp_path.as_uri())).collect()), key=repr) == sorted(want, key=repr)
+    assert archive_round_trip(df.limit(0)).collect() == [] and next(iter(files.values())).fetch("0" * 32) is None
 
 
 def test_any_zstandard_reader_sees_the_records(spark):
