@@ -9,14 +9,22 @@ content side are the text.
 
 The classifier is a logistic model of what can be seen of a block and its
 ancestors. It is fitted when a query starts, on TRAINING_PAGES generated pages
-whose labels are known.
+whose labels are known; a third of them have class names that say nothing, so
+that the costs of a block by itself stay low where only its neighbours can tell
+what it is. Its log odds are capped at MOST_COST for the same reason.
+
+Names of classes count with some care: those of html and body, states such as
+"has-sidebar" or "nav-open", and those of elements around an article, or around
+most of a page's text, say nothing about a block.
 
 Defined cases: null or empty html, and pages of nothing but boilerplate, give
-an empty text; markup may be broken or cut off anywhere; a head without end tag
-ends where its first text or element of a body starts; white space is what
-str.split() takes for it; pages are parsed whole; a null page_id stays null;
-repeated rows each get an output row; an empty table gives no rows; further
-columns are ignored.
+an empty text; text without any markup is content; markup may be broken or cut
+off anywhere: a head without end tag ends where its first text or element of a
+body starts, and drawings, buttons and lists of options end where a block of
+text starts that they can't hold; white space is what str.split() takes for it;
+pages are parsed whole, in time linear in their length; a null page_id stays
+null; repeated rows each get an output row; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,34 +49,65 @@ HEAD = frozenset("base basefont bgsound link meta title noscript noframes style
 #: Elements that an opening tag of a kind closes when they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 article section main header footer aside nav ul ol dl table blockquote pre form figure".split())
+#: Silent elements that cannot hold a block of text; an open one ends where such a block starts.
+ENDED_BY = {"svg": FLOW | {"div"}, "math": FLOW | {"div"}, "select": FLOW | {"div"}, "datalist": FLOW | {"div"}, "option": FLOW | {"div"}, "button": FLOW}
+MARKED = frozenset("article main nav header footer aside form h1 h2 h3 h4 h5 h6 ul ol p pre blockquote table figure dialog".split())
+#: Kinds of containers whose borders weaken the ties across them, and to what part.
+SET_APART, BORDER = frozenset(("nav", "header", "footer", "aside", "form", "ad", "notice", "comments", "dialog", "bad", "top")), 0.05
+#: Elements that set parts of a page apart.
+BOXES = frozenset("article main nav header footer aside form dialog".split())
+ROLES = {"navigation": {"nav"}, "banner": {"header"}, "contentinfo": {"footer"}, "complementary": {"aside"}, "main": {"main"}, "article": {"article"}, "search": {"form"}, "dialog": {"notice"}, "alert": {"notice"}}
 
 # Words in class and id names, with their meaning.
 NAMES = {
     "good": "article content post entry main story body text prose markdown copy".split(),
-    "bad": "nav menu navbar foot footer head header masthead side sidebar aside widget related recommended promo sponsor sponsored share sharing social breadcrumb breadcrumbs pagination pager toolbar tags meta links rail teaser teasers newsletter subscribe signup login search topbar bottombar".split(),
-    "ad": "ad ads advert adverts advertisement advertising adsense banner promoted sponsored dfp".split(),
-    "notice": "cookie cookies notice consent gdpr popup modal overlay alert banner disclaimer privacy warning toast".split(),
+    "bad": "nav navigation menu navbar foot footer side sidebar aside widget related recommended share sharing social breadcrumb breadcrumbs crumbs pagination pager toolbar tags tagcloud meta links rail teaser teasers newsletter subscribe subscription signup login search bottombar colophon copyright skip trending popular".split(),
+    "top": "head header masthead topbar".split(),
+    "ad": "ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored dfp".split(),
+    "notice": "cookie cookies notice consent gdpr popup modal overlay alert disclaimer privacy warning toast paywall".split(),
     "comments": "comment comments disqus reply replies respond discussion".split(),
 }
 MEANING = {word: kind for kind, words in reversed(NAMES.items()) for word in words}
-FEATURES = ("one", "article", "nav", "header", "footer", "aside", "form", "good", "bad", "ad", "notice", "comments", "heading", "list", "links", "words", "long", "sentence", "outside", "paragraph")
-ADJACENT, SIBLING, TRAINING_PAGES = 0.8, 0.4, 300
+#: Names that start or end like this tell of a state of the page, not of a block.
+STATE_STARTS, STATE_ENDS = frozenset("has with no without is not show hide js".split()), frozenset("open closed active enabled disabled layout".split())
+FEATURES = ("one", "article", "nav", "header", "footer", "aside", "form", "good", "bad", "bad inside", "ad", "notice", "comments", "heading", "list", "table", "links", "linked list", "words", "long", "sentence", "comma", "paragraph", "copyright", "outside", "bare", "before title", "small container")
+ADJACENT, SIBLING, MOST_COST, TRAINING_PAGES = 3.0, 2.0, 4.0, 300
+#: Share of a page's text around which names of a container say nothing.
+WRAPS = 0.8
+#: Characters up to which a container is small, if it has less than a fifth of the page's.
+SMALL = 120
 TOKENS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "depth", "marks", "silences")
+    __slots__ = ("tag", "up", "depth", "block", "own", "names", "silences", "wraps", "chars", "marks")
 
-    def __init__(self, tag: str, up: Node | None, marks: frozenset, silences: bool = False):
-        self.tag, self.up, self.depth, self.silences = tag, up, up.depth + 1 if up else 0, silences
-        self.marks = (up.marks | marks) if up else marks
+    def __init__(self, tag: str, up: Node | None, own: set = frozenset(), names: set = frozenset(), silences: bool = False):
+        self.tag, self.up, self.depth, self.own, self.names, self.silences = tag, up, up.depth + 1 if up else 0, own, names, silences
+        self.block = up.block if up and tag in INLINE else self
+        self.wraps, self.chars, self.marks = False, 0, frozenset()
 
 
 class Block:
-    __slots__ = ("text", "node", "linked")
+    """A run of text: linked counts its characters in links; bare tells that the page has no markup that means something, early that its title comes later, aside that it stands in a small container."""
+
+    __slots__ = ("text", "node", "linked", "bare", "early", "aside")
 
     def __init__(self, text: str, node: Node, linked: int):
-        self.text, self.node, self.linked = text, node, linked
+        self.text, self.node, self.linked, self.bare, self.early, self.aside = text, node, linked, False, False, False
+
+
+def named(value: str) -> set[str]:
+    """What class or id names say."""
+    kinds = set()
+    for name in value.split():
+        # Parts with digits inside are made by programs and mean nothing.
+        parts = [x for x in re.split("[^A-Za-z0-9]+", name) if not re.search("[0-9]", x.rstrip("0123456789"))]
+        words = [w.lower() for x in parts for w in TOKENS.findall(x)]
+        if words and words[0] not in STATE_STARTS and words[-1] not in STATE_ENDS:
+            kinds |= {MEANING[w] for w in words if w in MEANING}
+    return kinds
 
 
 class Blocks(HTMLParser):
@@ -76,16 +115,13 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node, self.silent, self.anchors, self.open = Node("#", None, frozenset()), 0, 0, Counter()
-        self.parts, self.linked, self.found = [], 0, []
+        self.node, self.silent, self.anchors, self.open = Node("#", None), 0, 0, Counter()
+        self.nodes, self.parts, self.linked, self.found = [self.node], [], 0, []
 
     def end_block(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
-                node = self.node
-                while node.tag in INLINE:
-                    node = node.up
-                self.found.append(Block(text, node, self.linked))
+                self.found.append(Block(text, self.node.block, self.linked))
             self.parts, self.linked = [], 0
 
     def end_head(self) -> None:
@@ -106,20 +142,44 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self.end_block()
+            for kind, enders in ENDED_BY.items():
+                if self.open[kind] and tag in enders:
+                    self.end_nearest(kind)
             self.end_open({"p"} if tag not in CLOSES else CLOSES[tag], within=tag in CLOSES)
-        marks = {tag} if tag in MARKED else set()
+        elif tag == "a" and self.open["a"]:
+            self.end_inline("a")
+        own, names = {tag} if tag in MARKED else set(), set()
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                marks |= {MEANING[w] for w in map(str.lower, TOKENS.findall(value)) if w in MEANING}
-                if name == "role":
-                    marks |= ROLES.get(value, set())
-            elif name in ("hidden", "aria-hidden") and value != "false":
-                marks.add("hidden")
-        self.node = Node(tag, self.node, frozenset(marks), tag in SILENT or "hidden" in marks)
+            if name == "role" and value:
+                own |= ROLES.get(value.strip().lower(), set())
+            elif name in ("class", "id") and value and tag not in ("html", "body"):
+                names |= named(value)
+            elif name in ("hidden", "aria-hidden") and value != "false" and tag not in ("html", "body"):
+                own.add("hidden")
+        self.node = Node(tag, self.node, own, names, tag in SILENT or "hidden" in own)
+        self.nodes.append(self.node)
+        if own & {"article", "main"}:
+            node = self.node.up
+            while node and not node.wraps:
+                node.wraps, node = True, node.up
         self.open[tag] += 1
         self.silent += self.node.silences
         self.anchors += tag == "a"
 
+    def end_nearest(self, tag: str) -> None:
+        node = self.node
+        while node.tag != tag:
+            node = node.up
+        self.pop_to(node)
+
+    def end_inline(self, tag: str) -> None:
+        """Closes an open inline element of the running text."""
+        node = self.node
+        while node.tag in INLINE and node.tag != tag:
+            node = node.up
+        if node.tag == tag:
+            self.pop_to(node)
+
     def end_open(self, tags: set, within: bool) -> None:
         """Closes the innermost open element of these tags; within: only inside the nearest list or table."""
         node = self.node
@@ -160,109 +220,181 @@ class Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-MARKED = frozenset("article main nav header footer aside form h1 h2 h3 h4 h5 h6 ul ol p blockquote table figure dialog".split())
-ROLES = {"navigation": {"nav"}, "banner": {"header"}, "contentinfo": {"footer"}, "complementary": {"aside"}, "main": {"main"}, "article": {"article"}, "search": {"form"}, "dialog": {"notice"}, "alert": {"notice"}}
-
-
 def blocks_of(html: str) -> list[Block]:
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.end_block()
+    total = 0
+    for b in parser.found:
+        b.node.chars += len(b.text)
+        total += len(b.text)
+    for node in reversed(parser.nodes[1:]):
+        node.up.chars += node.chars
+    for node in parser.nodes[1:]:
+        around = node.wraps or node.chars > WRAPS * total and node.names != {"comments"}
+        node.marks = node.up.marks | node.own | (node.names & {"good"} if around else node.names)
+    plain = not any(node.own & BOXES or node.names for node in parser.nodes)
+    title = next((i for i, b in enumerate(parser.found) if "h1" in b.node.marks), 0)
+    for i, b in enumerate(parser.found):
+        b.bare, b.early, b.aside = plain, i < title, bool(b.node.up) and b.node.up.chars < min(SMALL, total / 5)
     return parser.found
 
 
 def features(block: Block) -> list[float]:
-    m, words = block.node.marks, block.text.count(" ") + 1
+    m, text = block.node.marks, block.text
+    words = text.count(" ") + 1
     inside = bool(m & {"article", "main"})
-    share = min(1.0, block.linked / len(block.text))
+    share = min(1.0, block.linked / len(text))
+    listed, held = bool(m & {"ul", "ol"}), not m & SET_APART - {"bad", "header", "top"}
     return [
-        1.0, inside, "nav" in m, "header" in m and not inside, "footer" in m, "aside" in m, "form" in m,
-        "good" in m, "bad" in m and not inside, "ad" in m, "notice" in m or "dialog" in m, "comments" in m,
-        bool(m & HEADINGS), bool(m & {"ul", "ol"}), share, min(1.0, words / 20), min(1.0, words / 80),
-        block.text[-1] in ".!?…:\"”»", not inside and "good" not in m, "p" in m or "blockquote" in m,
+        1.0, inside, "nav" in m, bool(m & {"header", "top"}) and not inside, "footer" in m, "aside" in m, "form" in m,
+        "good" in m, "bad" in m and not inside, "bad" in m and inside, "ad" in m, "notice" in m or "dialog" in m, "comments" in m,
+        bool(m & HEADINGS) and held, listed and held, "table" in m and held, share, listed and share > 0.5, min(1.0, words / 20), min(1.0, words / 80),
+        text[-1] in ".!?…:\"”»", ", " in text, bool(m & {"p", "blockquote", "pre"}), "©" in text, not inside and "good" not in m, block.bare,
+        block.early and not inside, block.aside and not inside,
     ]
 
 
-def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
-    """A page with menus, notices and so on around an article, and the label of each of its blocks."""
-    out, want = [], []
-    text = lambda lo, hi: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(lo, hi))).capitalize() + "."
+class Writer:
+    """Writes one page with known labels: menus, notices and so on around an article."""
 
-    def put(label: bool, html: str) -> None:
-        out.append(html)
-        want.append(label)
+    def __init__(self, rng: random.Random):
+        self.rng, self.out, self.want, self.style = rng, [], [], rng.choice(("semantic", "named", "silent"))
 
-    def box(tag: str, names: list[str], fill) -> None:
-        semantic = rng.random() < 0.5
-        out.append(f"<{tag}>" if semantic and tag != "div" else f'<div class="{rng.choice(names)}">')
+    def text(self, lo: int, hi: int, end: str = ".") -> str:
+        r = self.rng
+        words = ["".join(r.choice("aeioustrnlmdpé") for _ in range(r.randint(1, 9))) + ("," if r.random() < 0.06 else "") for _ in range(r.randint(lo, hi))]
+        return (" ".join(words).rstrip(",").capitalize() + end) if words else ""
+
+    def put(self, label: bool, html: str) -> None:
+        self.out.append(html)
+        self.want.append(label)
+
+    def box(self, tag: str, names: list[str], fill) -> None:
+        """A container: by its tag, by a name, or by nothing."""
+        r = self.rng
+        if self.style == "semantic" and tag != "div" and r.random() < 0.8:
+            head, end = tag, tag
+        elif self.style == "silent" and r.random() < (0.9 if tag != "div" else 0.4):
+            head, end = f'div class="c{r.randrange(16**5):05x}"', "div"
+        else:
+            extra = r.choice(["", "", " left", " block", " is-wide", " col-4"])
+            head, end = f'{r.choice(("div", "div", "section"))} class="{r.choice(names)}{extra}"', None
+            end = head.split()[0]
+        self.out.append(f"<{head}>")
         fill()
-        out.append(f"</{tag}>" if semantic and tag != "div" else "</div>")
+        self.out.append(f"</{end}>")
 
-    def links(n):
-        out.append("<ul>")
+    def links(self, n: int) -> None:
+        self.out.append("<ul>")
         for _ in range(n):
-            put(False, f'<li><a href="/x">{text(1, 3)[:-1]}</a></li>')
-        out.append("</ul>")
+            self.put(False, f'<li><a href="/x">{self.text(1, 4, "")}</a></li>')
+        self.out.append("</ul>")
 
-    def several(label, lo, hi, n, tag="p"):
+    def teasers(self, n: int) -> None:
         for _ in range(n):
-            put(label, f"<{tag}>{text(lo, hi)}</{tag}>")
-
-    def noise():
-        kind = rng.randrange(7)
-        if kind == 0:
-            box("nav", ["nav", "main-menu", "navbar"], lambda: links(rng.randint(3, 8)))
-        elif kind == 1:
-            box("aside", ["sidebar", "related-links", "widget"], lambda: (several(False, 3, 120, rng.randint(1, 3)), links(2)))
-        elif kind == 2:
-            box("div", ["ad", "advert", "ad-banner", "sponsored"], lambda: put(False, text(3, 80)))
-        elif kind == 3:
-            box("div", ["cookie-notice", "consent", "notice"], lambda: several(False, 8, 120, 1))
-        elif kind == 4:
-            box("form", ["search-form", "newsletter", "subscribe"], lambda: put(False, f"<label>{text(2, 8)}</label><input>"))
-        elif kind == 5:
-            box("div", ["comments", "comment-list", "replies"], lambda: several(False, 4, 150, rng.randint(1, 4)))
+            self.put(False, f'<h3><a href="/x">{self.text(3, 9, "")}</a></h3>')
+            if self.rng.random() < 0.5:
+                self.put(False, f"<p>{self.text(5, 18)}</p>")
+
+    def noise(self, inside: bool = False, kind: str | None = None) -> None:
+        r, text = self.rng, self.text
+        several = lambda lo, hi, n: [self.put(False, f"<p>{text(lo, hi)}</p>") for _ in range(n)]
+        kinds = {
+            "menu": lambda: self.box("nav", ["nav", "main-menu", "navbar", "topbar"], lambda: self.links(r.randint(3, 8)) if r.random() < 0.6 or self.style == "silent" else several(1, r.choice((4, 60)), r.randint(1, 4))),
+            "side": lambda: self.box("aside", ["sidebar", "related-links", "widget", "rail"], lambda: (self.teasers(r.randint(1, 3)), self.links(r.randint(2, 5)))),
+            "ad": lambda: self.box("div", ["ad", "advert", "ad-banner", "sponsored", "promo"], lambda: self.put(False, text(3, 60))),
+            "notice": lambda: self.box("div", ["cookie-notice", "consent", "notice", "gdpr-banner"], lambda: several(8, 60, 1)),
+            "form": lambda: self.box("form", ["search-form", "newsletter", "subscribe", "login"], lambda: self.put(False, f"<label>{text(2, 8, '')}</label><input>")),
+            "share": lambda: self.box("div", ["share", "breadcrumbs", "pagination", "tags"], lambda: self.links(r.randint(2, 5))),
+            "comments": lambda: self.box("div", ["comments", "comment-list", "replies"], lambda: several(4, 120, r.randint(1, 4)) if r.random() < 0.5 else (self.out.append("<ol>"), [self.put(False, f"<li>{text(2, 90)}</li>") for _ in range(r.randint(1, 4))], self.out.append("</ol>"))),
+        }
+        # What nothing tells from content is left out where names say nothing.
+        known = ["menu", "side", "share"] if self.style == "silent" else [*kinds]
+        kinds[kind or r.choice(["ad", "share", "side", "notice"] if inside and self.style != "silent" else known)]()
+
+    def article(self) -> None:
+        r, text = self.rng, self.text
+        if r.random() < 0.9:
+            head = r.choice(("div", "header")) if self.style != "silent" and r.random() < 0.3 else ""
+            out = f'<{head} class="{r.choice(("entry-header", "post-header", "article-head", "story-header"))}">' if head else ""
+            self.put(True, f"{out}<h1>{text(2, 12, '')}</h1>{head and f'</{head}>'}")
+        for _ in range(r.randint(1, 8)):
+            for _ in range(r.randint(1, 3)):
+                self.put(True, f"<p>{text(1, r.choice((6, 40, 150)))}{f' <a href=/y>{text(1, 3, str())}</a> {text(1, 20)}' if r.random() < 0.2 else ''}</p>")
+            kind = r.random()
+            if kind < 0.15:
+                self.put(True, f"<h2>{text(1, 8, '')}</h2>")
+            elif kind < 0.25:
+                self.out.append("<ul>")
+                for _ in range(3):
+                    self.put(True, f"<li>{text(1, 25, r.choice(('', '.')))}</li>")
+                self.out.append("</ul>")
+            elif kind < 0.3:
+                self.put(True, f"<blockquote>{text(5, 40)}</blockquote>")
+            elif kind < 0.34:
+                self.out.append("<table><tr>")
+                for _ in range(4):
+                    self.put(True, f"<td>{text(1, 5, '')}</td>")
+                self.out.append("</tr></table>")
+            elif kind < 0.38:
+                self.put(True, f"<pre>{text(3, 30)}</pre>")
+            elif kind < 0.5:
+                self.noise(inside=True)
+            elif kind < 0.58:
+                for _ in range(r.randint(2, 5)):
+                    self.out.append("<div>")
+                    self.put(True, f"<div>{text(1, 10, r.choice(('', '?')))}</div>")
+                    self.put(True, f"<div>{text(1, 60)}</div>")
+                    self.out.append("</div>")
+            elif kind < 0.62:
+                self.put(True, f"<p><a href=/z>{text(1, 8, '')}</a></p>")
+        if self.style != "silent" and r.random() < 0.25:
+            self.noise(kind=r.choice(("comments", "comments", "form", "share")))
+
+    def page(self) -> tuple[str, list[bool]]:
+        r, out, text = self.rng, self.out, self.text
+        if r.random() < 0.12:  # nothing but text
+            shape = r.choice(("<div>{}</div>", "<p>{}</p>", "{}<hr>"))
+            out.append(r.choice(("", "<div>", "<body><div class=page>")))
+            if r.random() < 0.3:
+                self.put(True, f"<h1>{text(1, 6, '')}</h1>")
+            for _ in range(r.randint(1, 6)):
+                self.put(True, shape.format(text(1, 80)))
+            return "".join(out), self.want
+        if r.random() < 0.08:  # nothing but boilerplate
+            for _ in range(r.randint(1, 3)):
+                self.noise()
+            return "".join(out), self.want
+        around = r.choice(["", "page has-sidebar with-footer", "wrapper", "main-nav-open layout"])
+        out.append(f'<body class="{around}"><div class="{around}">')
+        self.box("header", ["header", "masthead", "site-header"], lambda: self.put(False, f"<h2>{text(1, 4, '')}</h2>" if r.random() < 0.7 else f"<p>{text(2, 30)}</p>"))
+        for _ in range(r.randint(1, 3)):
+            self.noise()
+        if self.style == "semantic" and r.random() < 0.85:
+            tag = r.choice(("article", "main"))
+            out.append(f"<{tag}>")
+            self.article()
+            out.append(f"</{tag}>")
         else:
-            box("div", ["share", "breadcrumbs", "pagination"], lambda: links(3))
-
-    box("header", ["header", "masthead", "site-header"], lambda: put(False, f"<h2>{text(1, 5)}</h2>"))
-    for _ in range(rng.randint(1, 3)):
-        noise()
-
-    def article():
-        put(True, f"<h1>{text(3, 12)[:-1]}</h1>")
-        for _ in range(rng.randint(0, 8)):
-            several(True, 1, 150, rng.randint(1, 3))
-            if rng.random() < 0.2:
-                put(True, f"<h2>{text(1, 8)[:-1]}</h2>")
-            if rng.random() < 0.2:
-                out.append("<ul>")
-                several(True, 2, 30, 3, "li")
-                out.append("</ul>")
-            if rng.random() < 0.15:
-                noise()
-
-    if rng.random() < 0.7:
-        tag = rng.choice(["article", "main"])
-        out.append(f"<{tag}>")
-        article()
-        out.append(f"</{tag}>")
-    elif rng.random() < 0.7:
-        out.append(f'<div class="{rng.choice(["content", "post-body", "entry", "story"])}">')
-        article()
-        out.append("</div>")
-    else:
-        out.append("<div>")
-        article()
-        out.append("</div>")
-    for _ in range(rng.randint(0, 3)):
-        noise()
-    box("footer", ["footer", "site-footer"], lambda: several(False, 3, 30, rng.randint(1, 2)))
-    return "".join(out), want
-
-
-def fit_weights(pages: int = TRAINING_PAGES, seed: int = 7, ridge: float = 0.05) -> list[float]:
+            silent = self.style == "silent" or r.random() < 0.3
+            out.append(f'<div class="{f"c{r.randrange(16**5):05x}" if silent else r.choice(("content", "post-body", "entry", "story", "article-text", "main-column"))}">')
+            self.article()
+            out.append("</div>")
+        for _ in range(r.randint(0, 3)):
+            self.noise()
+        self.box("footer", ["footer", "site-footer", "colophon"], lambda: [self.put(False, f"<p>{r.choice(('© ', ''))}{text(2, r.choice((14, 14, 60)), r.choice(('', '.')))}</p>") for _ in range(r.randint(1, 2))])
+        out.append("</div></body>")
+        return "".join(out), self.want
+
+
+def generated_page(rng: random.Random) -> tuple[str, list[bool]]:
+    """A page and the label of each of its blocks."""
+    return Writer(rng).page()
+
+
+def fit_weights(pages: int = TRAINING_PAGES, seed: int = 7, ridge: float = 0.003) -> list[float]:
     """Weights of the logistic model, by Newton steps."""
     rng, x, y = random.Random(seed), [], []
     for _ in range(pages):
@@ -281,6 +413,11 @@ def fit_weights(pages: int = TRAINING_PAGES, seed: int = 7, ridge: float = 0.05)
     return w.tolist()
 
 
+def border(a: Block, b: Block) -> float:
+    """How much weaker ties are between blocks of which one is in a kind of container that the other isn't in."""
+    return BORDER if (a.node.marks ^ b.node.marks) & SET_APART else 1.0
+
+
 def apart(a: Node, b: Node) -> int:
     """Steps from a to b in the tree."""
     steps = 0
@@ -293,21 +430,27 @@ def apart(a: Node, b: Node) -> int:
     return steps
 
 
-def content(found: list[Block], weights: list[float]) -> list[bool]:
-    """Which blocks are content."""
-    if not found:
-        return []
-    z = np.clip(np.array([features(b) for b in found], float) @ np.array(weights), -30, 30)
+def costs_and_edges(found: list[Block], weights: list[float]) -> tuple[list[tuple[float, float]], list[tuple[int, int, float]]]:
+    """What it costs to call each block content or boilerplate, and what to call two related blocks different."""
+    z = np.clip(np.array([features(b) for b in found], float) @ np.array(weights), -MOST_COST, MOST_COST)
     costs = list(zip(np.log1p(np.exp(-z)).tolist(), np.log1p(np.exp(z)).tolist(), strict=True))
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, ADJACENT / (1 + apart(found[i - 1].node, b.node))))
-        parent = id(b.node.up or b.node)
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    return mincut.labels(costs, edges)
+            edges.append((i - 1, i, ADJACENT * border(found[i - 1], b) / (1 + apart(found[i - 1].node, b.node))))
+        container = b.node.up or b.node
+        for part, node in ((1.0, container), (0.5, container.up)):
+            if node and node.up:
+                before = last.get(id(node))
+                if before is not None:
+                    edges.append((before, i, part * SIBLING * border(found[before], b) / (i - before)))
+                last[id(node)] = i
+    return costs, edges
+
+
+def content(found: list[Block], weights: list[float]) -> list[bool]:
+    """Which blocks are content."""
+    return mincut.labels(*costs_and_edges(found, weights)) if found else []
 
 
 def main_text(html: str | None, weights: list[float]) -> str:

@@ -41,31 +41,40 @@ def labels(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]]
 
 
 def source_side(nodes: list[int], prefer: list[float], near: list[dict[int, float]], side: list[bool | None]) -> set[int]:
-    """Nodes that the source still reaches after a maximum flow (shortest augmenting paths)."""
+    """Nodes that the source still reaches after a maximum flow.
+
+    Each node that the source feeds looks for the nearest one that can still
+    give to the sink. What a node reaches when there is none stays cut off from
+    the sink, as no flow enters or leaves it again, and is not searched twice.
+    """
     open_nodes, tiny = set(nodes), 1e-12
     spare = {i: prefer[i] for i in nodes}  # what is left of the edge from the source (positive) or to the sink
     cap = {i: {j: w for j, w in near[i].items() if j in open_nodes} for i in nodes}
-    while True:
-        before: dict[int, int | None] = {i: None for i in nodes if spare[i] > tiny}
-        queue, end = deque(before), None
-        while queue:
-            i = queue.popleft()
-            if spare[i] < -tiny:
-                end = i
+    cut_off: set[int] = set()
+    for source in nodes:
+        while spare[source] > tiny and source not in cut_off:
+            before: dict[int, int | None] = {source: None}
+            queue, end = deque([source]), None
+            while queue:
+                i = queue.popleft()
+                if spare[i] < -tiny:
+                    end = i
+                    break
+                for j, w in cap[i].items():
+                    if w > tiny and j not in before and j not in cut_off:
+                        before[j] = i
+                        queue.append(j)
+            if end is None:
+                cut_off |= set(before)
                 break
-            for j, w in cap[i].items():
-                if w > tiny and j not in before:
-                    before[j] = i
-                    queue.append(j)
-        if end is None:
-            return set(before)
-        path = [end]
-        while before[path[-1]] is not None:
-            path.append(before[path[-1]])
-        path.reverse()
-        flow = min([spare[path[0]], -spare[end], *(cap[a][b] for a, b in zip(path, path[1:]))])
-        spare[path[0]] -= flow
-        spare[end] += flow
-        for a, b in zip(path, path[1:]):
-            cap[a][b] -= flow
-            cap[b][a] += flow
+            path = [end]
+            while before[path[-1]] is not None:
+                path.append(before[path[-1]])
+            path.reverse()
+            flow = min([spare[source], -spare[end], *(cap[a][b] for a, b in zip(path, path[1:]))])
+            spare[source] -= flow
+            spare[end] += flow
+            for a, b in zip(path, path[1:]):
+                cap[a][b] -= flow
+                cap[b][a] += flow
+    return cut_off

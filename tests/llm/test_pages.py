@@ -2,16 +2,21 @@
 
 import hashlib
 import random
+import sys
 from itertools import product
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from keepsight.llm import mincut
-from keepsight.llm.mainhtml import blocks_of, content, extract_main_text, fit_weights, generated_page, main_text
+from keepsight.llm.mainhtml import blocks_of, content, costs_and_edges, extract_main_text, fit_weights, generated_page, main_text
 from keepsight.llm.warc import Bundle, archive_round_trip, fetch_records, load_bundles, parsed, read_bundles, record_index, save_bundles, write_bundles
 
+sys.path.insert(0, str(Path(__file__).parent))
+from page_samples import LAYOUTS, sample  # noqa: E402
+
 SCHEMA = "page_id long, url string, html string, refers_to long, digest string, n_chars long"
 BIG = "<p>" + "x" * 2000
 
@@ -40,6 +45,74 @@ def test_held_out_accuracy(weights):
     assert right / total > 0.98
 
 
+def measured(layouts, weights, with_cut=True):
+    """Content blocks found, content blocks, blocks found, and labels that the cut changes, over some pages of each layout."""
+    found = total = shown = changed = 0
+    for k, layout in enumerate(layouts):
+        for seed in range(8):
+            html, want, other = sample(layout, 100 * k + seed)
+            blocks = blocks_of(html)
+            costs, _ = costs_and_edges(blocks, weights)
+            alone, cut = [a < b for a, b in costs], content(blocks, weights)
+            changed += sum(a != b for a, b in zip(alone, cut))
+            got = [b.text for b, keep in zip(blocks, cut if with_cut else alone) if keep]
+            assert set(want) | set(other) <= {b.text.removeprefix("© ") for b in blocks} | {w for w in other if any(w in b.text for b in blocks)}, layout
+            found, total, shown = found + len(set(want) & set(got)), total + len(want), shown + len(got)
+    return found / total, found / shown, changed
+
+
+def test_pages_in_the_manner_of_others(weights):
+    """None of these layouts is like the generated ones; most of their names are known, some say nothing, some mislead."""
+    recall, precision, changed = measured(LAYOUTS, weights)
+    alone = measured(LAYOUTS, weights, with_cut=False)
+    print(f"recall {recall:.3f}, precision {precision:.3f}; without the cut {alone[0]:.3f}, {alone[1]:.3f}; {changed} labels changed")
+    for layout in LAYOUTS:
+        print(layout.__name__, *measured([layout], weights), *measured([layout], weights, with_cut=False)[:2])
+    assert recall > 0.95 and precision > 0.95 and changed > 10
+    assert recall + precision > sum(alone[:2])
+
+
+def test_extraction_against_every_labelling(spark, weights):
+    """Of small pages: the text of the labelling of least cost among all."""
+    rng, pages = random.Random(8), []
+    while len(pages) < 25:
+        html = generated_page(rng)[0]
+        if 0 < len(blocks_of(html)) <= 12:
+            pages.append(html)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").selectExpr("page_id", "'u' as url", "html"), weights).collect()}
+    for i, html in enumerate(pages):
+        blocks = blocks_of(html)
+        costs, edges = costs_and_edges(blocks, weights)
+        price = lambda side: sum(a if s else b for s, (a, b) in zip(side, costs)) + sum(w for i, j, w in edges if side[i] != side[j])
+        best = min(product((False, True), repeat=len(blocks)), key=price)
+        assert got[i] == "\n\n".join(b.text for b, keep in zip(blocks, best) if keep)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("Plain text, no markup.", "Plain text, no markup."), ('<body class="post has-sidebar with-footer"><div><p>One paragraph of it.</p><p>Another, and then some.</p></div>', "One paragraph of it.\n\nAnother, and then some."),
+        ('<body class="nav-open"><p>Some text here.</p>', "Some text here."), ("<p>Before.</p><svg><path><p>After it, text goes on.</p>", "Before.\n\nAfter it, text goes on."),
+        ("<article><p>Text is here.</p><button>Click<p>The rest follows.</p></article>", "Text is here.\n\nThe rest follows."), ("<html><head><title>x</title><article><h1>T</h1><p>Some text.</p></article>", "T\n\nSome text."),
+        ("<nav>only a menu</nav>", ""), ('<article><p>Some text.</p><div class="comments"><p>A comment, and a long one at that, on all of it.</p></div></article>', "Some text."),
+    ],
+)
+def test_valid_but_unusual_pages(weights, html, want):
+    assert main_text(html, weights) == want
+
+
+@pytest.mark.parametrize("part", ["<b>x<hr>", "<div>x", "<i><b><a>x<p>y<svg><select>z</b></p></div>", "<p>Some words of it, ok.</p><div class=ad>ab</div><li>x"])
+def test_long_broken_pages_take_time_in_proportion(weights, part):
+    import time
+
+    times = []
+    for n in (3000, 12000):
+        start = time.process_time()
+        main_text(part * n, weights)
+        times.append(time.process_time() - start)
+    assert times[1] < 9 * max(times[0], 0.05)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice"><p>We use cookies on this site, as all do.</p></div>
 <div class="ad">Buy this now.</div><article><h1>A &lt;title&gt; &amp more</h1><p><b>Bold start.<br><p>Second
