@@ -76,6 +76,12 @@ def camera_centre(r: Column, t: Column) -> Column:
     return to_world(r, t, point(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
 
 
+def compose(r1: Column, t1: Column, r2: Column, t2: Column) -> tuple[Column, Column]:
+    """The pose that does (r1, t1) first and (r2, t2) then."""
+    r = F.array(*[F.array(*[r2[i][0] * r1[0][c] + r2[i][1] * r1[1][c] + r2[i][2] * r1[2][c] for c in range(3)]) for i in range(3)])
+    return r, to_camera(r2, t2, t1)
+
+
 def project(cam: Column, fx: Column, fy: Column, cx: Column, cy: Column) -> Column:
     """Pixel of a camera point; null behind the camera."""
     ahead = cam["z"] > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +71,45 @@ def persistent_segments(points: Column, limit: float, k: int) -> Column:
 def suppressed(detections: Column, overlap, limit: float) -> Column:
     """Greedy non-maximum suppression of a score-sorted array: keeps what overlaps no kept one by limit or more."""
     return F.aggregate(F.slice(detections, 2, F.size(detections)), F.slice(detections, 1, 1), lambda kept, d: F.when(F.exists(kept, lambda x: overlap(x, d) >= limit), kept).otherwise(F.concat(kept, F.array(d))))
+
+
+def persistent_labels(points: np.ndarray, limit: float, k: int) -> np.ndarray:
+    """persistent_segments of an array of points, in one pass, for tracks of any length."""
+    out, total, n, segment = np.full(len(points), -1, np.int32), np.zeros(3), 0, 0
+    pending: list[int] = []
+    for i, p in enumerate(points):
+        gap = p - total / n if n else np.zeros(3)
+        if not n or np.sqrt((gap * gap).sum()) <= limit:
+            out[i], total, n, pending = segment, total + p, n + 1, []
+            continue
+        pending.append(i)
+        if len(pending) == k:
+            segment += 1
+            out[pending], total, n = segment, points[pending].sum(0), k
+            pending = []
+    return out
+
+
+def threshold_labels(points: np.ndarray, limit: float) -> np.ndarray:
+    """threshold_segments of an array of points, in one pass."""
+    out, total, n, segment = np.empty(len(points), np.int32), np.zeros(3), 0, -1
+    for i, p in enumerate(points):
+        gap = p - total / n if n else np.zeros(3)
+        if not n or np.sqrt((gap * gap).sum()) > limit:
+            total, n, segment = np.zeros(3), 0, segment + 1
+        out[i], total, n = segment, total + p, n + 1
+    return out
+
+
+def labelled_tracks(points, keys: list[str], order: str, labels, *options):
+    """Rows of points (with x, y, z) and their segment by labels(points, *options), a track at a time as a grouped Arrow map."""
+    import pyarrow as pa
+
+    schema = points.select(*keys, order, F.lit(0).cast("int").alias("segment")).schema
+
+    def run(track: pa.Table) -> pa.Table:
+        track = track.sort_by(order)
+        xyz = np.column_stack([track.column(a).to_numpy() for a in "xyz"]) if track.num_rows else np.empty((0, 3))
+        return track.select([*keys, order]).append_column("segment", pa.array(labels(xyz, *options), pa.int32()))
+
+    return points.select(*keys, order, "x", "y", "z").groupBy(*keys).applyInArrow(run, schema)

@@ -54,22 +54,19 @@ def robust_scale(pairs: DataFrame, keys: list[str], min_pairs: int = 12, min_pos
     estimate is the median ratio; one pass of Cauchy weights around it gives the
     scale.
     """
-    usable = pairs.filter("base > 1e-6")
-    cut = usable.groupBy(*keys).agg(F.median("base").alias("_mb"))
-    marked = usable.join(cut, keys).withColumn("_far", F.col("base") >= F.col("_mb"))
-    enough = marked.groupBy(*keys).agg(F.count_if("_far").alias("_nf"), F.count("*").alias("n_all"))
-    used = marked.join(enough, keys).filter(F.col("_far") | (F.col("_nf") < min_pairs)).withColumn("_per", F.col("num") / F.col("den"))
-    first = used.groupBy(*keys).agg(F.median("_per").alias("_s0"), F.count("*").alias("n_pairs"), F.avg((F.col("_per") > 0).cast("double")).alias("positive"))
-    spread = used.join(first, keys).withColumn("_dev", F.abs(F.col("_per") - F.col("_s0")))
-    mad = spread.groupBy(*keys).agg((1.4826 * F.median("_dev")).alias("mad"))
+    w = Window.partitionBy(*keys)
+    usable = pairs.filter("base > 1e-6").select(*keys, "num", "den", "base")
+    # Each step is a window over the same partitions, so pairs move once.
+    far = usable.withColumn("_far", F.col("base") >= F.median("base").over(w)).withColumn("_nf", F.count_if("_far").over(w))
+    used = far.filter(F.col("_far") | (F.col("_nf") < min_pairs)).withColumn("_per", F.col("num") / F.col("den")).withColumn("_s0", F.median("_per").over(w))
+    spread = used.withColumn("_dev", F.abs(F.col("_per") - F.col("_s0"))).withColumn("mad", 1.4826 * F.median("_dev").over(w))
     z = F.col("_dev") / F.greatest(F.lit(1e-6), F.col("mad"))
-    sums = spread.join(mad, keys).withColumn("_w", 1.0 / (1.0 + z * z)).groupBy(*keys).agg(F.sum(F.col("_w") * F.col("num")).alias("_n"), F.sum(F.col("_w") * F.col("den")).alias("_d"))
+    out = spread.withColumn("_w", 1.0 / (1.0 + z * z)).groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.avg((F.col("_per") > 0).cast("double")).alias("positive"), F.first("_s0").alias("_s0"), F.first("mad").alias("mad"), F.sum(F.col("_w") * F.col("num")).alias("_n"), F.sum(F.col("_w") * F.col("den")).alias("_d"))
     s = F.when(F.col("_d") != 0, F.col("_n") / F.col("_d"))
     reason = (
         F.when(F.col("n_pairs") < min_pairs, "too few pairs").when(s.isNull() | (s <= 0), "scale not positive")
         .when(F.col("positive") < min_positive, "ratios of both signs").when(F.col("mad") > max_mad_ratio * F.abs(F.col("_s0")), "ratios too spread")
     )
-    out = first.join(mad, keys).join(sums, keys)
     return out.select(*keys, "n_pairs", "positive", "mad", F.when(reason.isNull(), s).alias("scale"), reason.alias("reason"))
 
 

@@ -84,14 +84,31 @@ def within_distance(a: DataFrame, b: DataFrame, keys: list[str], axes: list[str]
     return l.join(r, on).filter(F.sqrt(sum(squares[1:], squares[0])) < radius)
 
 
-def best_overlap(new: DataFrame, old: DataFrame, keys: list[str], new_id: list[str], value: str, pos: str) -> DataFrame:
-    """For each new interval (t0, t1) the value of the old one of largest overlap, first on ties; overlaps may be as low as -1, exclusive."""
-    n, o = new.alias("n"), old.alias("o")
+def best_overlap(new: DataFrame, old: DataFrame, keys: list[str], new_id: list[str], value: str, pos: str, bucket: float = 3600.0) -> DataFrame:
+    """For each new interval (t0, t1) the value of the old one of largest overlap, first on ties; overlaps may be as low as -1, exclusive.
+
+    Intervals meet in buckets of time, each pair in the first that both reach;
+    bucket should be about as long as they are.
+    """
+    spread = lambda df: df.withColumn("_first", F.floor((F.col("t0") - 1) / bucket)).withColumn("_b", F.explode(F.sequence(F.col("_first"), F.floor((F.greatest("t0", "t1") + 1) / bucket))))
+    n, o = spread(new).alias("n"), spread(old).alias("o")
     overlap = F.least(F.col("n.t1"), F.col("o.t1")) - F.greatest(F.col("n.t0"), F.col("o.t0"))
-    pairs = n.join(o, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]).filter(overlap > -1)
+    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in [*keys, "_b"]]
+    pairs = n.join(o, on).filter((F.col("n._b") == F.greatest("n._first", "o._first")) & (overlap > -1))
     return pairs.groupBy(*[F.col(f"n.{c}").alias(c) for c in new_id]).agg(F.max_by(F.col(f"o.{value}"), F.struct(overlap, -F.col(f"o.{pos}"))).alias(value))
 
 
+def observation_pairs(obs: DataFrame, keys: list[str], max_gap: float, least: float = 1e-6) -> DataFrame:
+    """Pairs (a before b) of one object's observations at most max_gap seconds apart, with the distance between their positions (base) above least.
+
+    obs: keys, pos, time_s, x, y, z. Time bands keep a long track from meeting all of itself.
+    """
+    side = obs.select(*keys, "pos", "time_s", "x", "y", "z")
+    later = band_pairs(side, side, keys, "time_s", "time_s", max_gap).filter((F.col("l.time_s") < F.col("r.time_s")) | (F.col("l.time_s") == F.col("r.time_s")) & (F.col("l.pos") < F.col("r.pos")))
+    base = F.sqrt(sum(((F.col(f"l.{a}") - F.col(f"r.{a}")) * (F.col(f"l.{a}") - F.col(f"r.{a}")) for a in "xyz"), F.lit(0.0)))
+    return later.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.pos").alias("a"), F.col("r.pos").alias("b"), F.col("l.time_s").alias("ta"), F.col("r.time_s").alias("tb"), base.alias("base")).filter(F.col("base") > least)
+
+
 def same_frame_pairs(objects: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Pairs (a.*, b.*) of objects of one frame, a before b; cap the frame first."""
     a, b = objects.alias("a"), objects.alias("b")

@@ -67,3 +67,19 @@ def rescaled(table: DataFrame, scales: DataFrame, keys: list[str], columns: list
     """Columns times each clip's scale (1 where it has none); base tables stay as they are, so nothing is scaled twice."""
     joined = table.join(scales.select(*keys, F.col("scale").alias("_s")), keys, "left").withColumn("_s", F.coalesce("_s", F.lit(1.0)))
     return joined.withColumns({c: F.col(c) * F.col("_s") for c in columns}).drop("_s")
+
+
+def with_pose(obs: DataFrame, track: DataFrame, keys: list[str]) -> DataFrame:
+    """Observations whose frame has a pose, with it."""
+    return obs.join(track, [*keys, "frame"])
+
+
+def depth_scale(pixels: DataFrame, keys: list[str], least: float = 0.05, min_pixels: int = 500) -> DataFrame:
+    """Scale between two depth maps of each clip: the median over frames of the median ratio a / b of a frame's pixels.
+
+    Pixels count where both depths are finite and b is above least, frames where
+    more than min_pixels do. Quartiles of the frames' ratios tell how far to trust it.
+    """
+    ok = pixels.filter(~F.isnan("a") & ~F.isnan("b") & (F.abs("a") < float("inf")) & (F.abs("b") < float("inf")) & (F.col("b") > least))
+    frames = ok.groupBy(*keys, "frame").agg(F.median(F.col("a") / F.col("b")).alias("_r"), F.count("*").alias("_n")).filter(F.col("_n") > min_pixels)
+    return frames.groupBy(*keys).agg(F.median("_r").alias("scale"), F.percentile("_r", 0.25).alias("q1"), F.percentile("_r", 0.75).alias("q3"), F.count("*").alias("n_frames"))

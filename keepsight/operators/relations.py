@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsight.functions.geometry import RELATION_LIMITS, pair_labels
+from keepsight.functions.geometry import RELATION_LIMITS, distance, pair_labels
 from keepsight.operators.aggregates import quantised
-from keepsight.operators.joins import same_frame_pairs
 from keepsight.operators.windows import gap_islands, top_k
 
 GAP_S, MIN_FRAMES, PER_FRAME = 8.0, 2, 20
@@ -22,12 +21,14 @@ def relation_episodes(obs: DataFrame, gap: float = GAP_S, min_frames: int = MIN_
     per_frame objects of a frame, so a frame's pairs are bounded. Runs of a
     relation break where neighbours are more than gap apart.
     """
-    best = top_k(obs, ["clip", "frame", "id"], [F.desc("score"), "pos"], 1)
+    # One exchange by frame serves all three steps that follow.
+    best = top_k(obs.select("clip", "frame", "id", "time_s", "score", "pos", "cam", "box").repartition("clip", "frame"), ["clip", "frame", "id"], [F.desc("score"), "pos"], 1)
     capped = top_k(best, ["clip", "frame"], [F.desc("score"), "pos"], per_frame)
-    pairs = same_frame_pairs(capped, ["clip", "frame"], "id")
-    d = F.sqrt(sum(((F.col(f"a.cam.{k}") - F.col(f"b.cam.{k}")) * (F.col(f"a.cam.{k}") - F.col(f"b.cam.{k}")) for k in "xyz"), F.lit(0.0)))
+    grouped = capped.groupBy("clip", "frame").agg(F.array_sort(F.collect_list(F.struct("id", "time_s", "cam", "box"))).alias("o"))
+    pairs = F.flatten(F.transform("o", lambda a, i: F.transform(F.slice("o", i + 2, F.size("o")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met = grouped.select("clip", F.explode(pairs).alias("p")).select("clip", "p.a", "p.b")
     labels = pair_labels(F.col("a.cam"), F.col("b.cam"), F.col("a.box"), F.col("b.box"), limits)
-    seen = pairs.select(F.col("a.clip").alias("clip"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.time_s").alias("t"), d.alias("dist"), F.explode(labels).alias("rel"))
+    seen = met.select("clip", F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.time_s").alias("t"), distance(F.col("a.cam"), F.col("b.cam")).alias("dist"), F.explode(labels).alias("rel"))
     runs = gap_islands(seen, ["clip", "a", "b", "rel"], ["t", "dist"], "t", gap)
     episodes = runs.groupBy("clip", "a", "b", "rel", "island").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n_frames"), F.median("dist").alias("dist_m"))
     return episodes.filter(F.col("n_frames") >= min_frames).select("clip", "a", "b", "rel", quantised(F.col("t0"), 1).alias("t0"), quantised(F.col("t1"), 1).alias("t1"), "n_frames", quantised(F.col("dist_m"), 2).alias("dist_m"))

@@ -64,16 +64,17 @@ def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6) ->
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        members: list[list[np.ndarray]] = []
-        out = []
+        members, centroids, out = [], np.empty((0, 3)), []
         for p in pdf[["x", "y", "z"]].to_numpy(float):
-            d = [float(np.linalg.norm(np.median(m, axis=0) - p)) for m in members]
-            best = int(np.argmin(d)) if d else -1
+            d = np.linalg.norm(centroids - p, axis=1)
+            best = int(d.argmin()) if len(d) else -1
             if best >= 0 and d[best] < radius:
                 members[best].append(p)
+                centroids[best] = np.median(members[best], axis=0)
             else:
                 best = len(members)
                 members.append([p])
+                centroids = np.vstack([centroids, p])
             out.append(best)
         return pdf.assign(cluster=np.array(out, np.int32))
 
@@ -155,12 +156,10 @@ def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str],
     objects: id, first_s, frames (array); scores: a, b, match_iou, distance.
     Gives id, member_of.
     """
-    pairs = scores.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "match_iou", "distance")).alias("_p"))
-    grouped = objects.join(pairs, keys, "left")
     schema = widened(objects.select(*keys, "id"), member_of=objects.schema["id"].dataType)
 
-    def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
-        match = {(p["a"], p["b"]): (p["match_iou"], p["distance"]) for p in (pdf["_p"].iloc[0] if pdf["_p"].iloc[0] is not None else [])}
+    def collapse(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        match = dict(zip(zip(pairs["a"], pairs["b"]), zip(pairs["match_iou"], pairs["distance"])))
         pdf = pdf.assign(_t=pdf["first_s"].fillna(1e9)).sort_values(["_t", "id"], kind="stable")
         left, frames, out = list(pdf["id"]), {i: set(f) for i, f in zip(pdf["id"], pdf["frames"])}, {}
         while left:
@@ -176,4 +175,5 @@ def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str],
             left = rest
         return pdf[[*keys, "id"]].assign(member_of=pdf["id"].map(out))
 
-    return grouped.groupBy(*keys).applyInPandas(collapse, schema)
+    right = scores.select(*[F.col(k).alias(f"_{k}") for k in keys], "a", "b", "match_iou", "distance")
+    return objects.groupBy(*keys).cogroup(right.groupBy(*[f"_{k}" for k in keys])).applyInPandas(collapse, schema)

@@ -21,11 +21,11 @@ def with_partner(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def repaired_groups(groups: DataFrame, vocabulary: DataFrame, key: str, group: str, pos: str) -> DataFrame:
-    """Each known word once: in the first group that names it, or in one of its own (negative group ids)."""
+    """Each known word once: in the first group that names it, or in one of its own, whose negative id comes from a digest of the word."""
     known = groups.join(vocabulary.select(key), key, "left_semi")
     first = known.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(pos))).filter("_rn = 1").select(key, group)
     left = vocabulary.select(key).join(first, key, "left_anti")
-    alone = left.withColumn(group, -F.row_number().over(Window.orderBy(key)).cast("long"))
+    alone = left.withColumn(group, -1 - F.conv(F.substring(F.md5(F.col(key)), 1, 15), 16, 10).cast("long"))
     return first.unionByName(alone)
 
 

@@ -7,16 +7,33 @@ then answers. Nothing is done question by question.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.functions.geometry import distance, iou
+from keepsight.functions.geometry import distance, iou, point_score
 from keepsight.functions.text import parse_id, parse_markup, parse_reply, plain_question, terms
-from keepsight.operators import joins, ranking, relations
+from keepsight.operators import joins, places, ranking, relations
 from keepsight.plans import contexts
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What the context of a question holds."""
+
+    path: bool = True
+    places: bool = True
+    relations: bool = True
+    events: bool = True
+    max_relations: int = 10
+
+
+def named_off(profile: Profile) -> list[str]:
+    """Parts that a profile leaves out."""
+    return [f.name for f in fields(profile) if getattr(profile, f.name) is False]
+
+
 def candidates(objects: DataFrame) -> DataFrame:
     """Objects with a position, and all their names, the main one first."""
     named = objects.filter("x is not null")
@@ -26,22 +43,34 @@ def candidates(objects: DataFrame) -> DataFrame:
 def text_candidates(questions: DataFrame, objects: DataFrame, obs: DataFrame) -> DataFrame:
     """Ranked objects for text questions (qid, clip, question, t), from what was seen by t.
 
-    objects: clip, id, name, description; obs: clip, id, time_s, x, y, z.
+    objects: clip, id, name, description; obs: clip, id, time_s, x, y, z. An
+    object's observations are laid out once as a track in time order; a question
+    meets tracks, not observations, and reads each up to its time.
     """
     q = questions.select("qid", "clip", "t", terms(F.col("question")).alias("qt"))
     o = objects.select("clip", "id", "name", terms(F.col("name")).alias("nt"), terms(F.coalesce("description", F.lit(""))).alias("dt"))
-    seen = q.join(obs, "clip").filter(F.col("time_s") <= F.col("t"))
-    facts = seen.groupBy("qid", "id").agg(F.count("*").alias("n_obs"), F.min(F.abs(F.col("time_s") - F.col("t"))).alias("best_dt"), *[F.median(a).alias(a) for a in "xyz"])
-    both = facts.join(q, "qid").join(o, ["clip", "id"])
+    tracks = obs.groupBy("clip", "id").agg(F.array_sort(F.collect_list(F.struct("time_s", "x", "y", "z"))).alias("_p")).join(o, ["clip", "id"])
     hits = lambda c: F.size(F.array_intersect("qt", c))
-    return ranking.rank_text(both.withColumns({"name_hits": hits("nt"), "text_hits": hits("dt")}), "qid", "id").drop("qt", "nt", "dt")
+    asked = q.join(tracks, "clip").withColumns({"name_hits": hits("nt"), "text_hits": hits("dt"), "_p": F.filter("_p", lambda p: p["time_s"] <= F.col("t"))})
+    asked = asked.withColumn("n_obs", F.size("_p").cast("long")).filter("n_obs > 0").withColumn("best_dt", F.col("t") - F.element_at("_p", -1)["time_s"])
+    told = ranking.rank_text(asked, "qid", "id")
+
+    def middle(axis):
+        v = F.array_sort(F.transform("_p", lambda p: p[axis]))
+        half = F.floor((F.size(v) - 1) / 2).cast("int")
+        low, high = F.get(v, half), F.get(v, F.size(v) - 1 - half)
+        return low * 0.5 + high * 0.5
 
+    return told.withColumns({a: middle(a) for a in "xyz"}).drop("qt", "nt", "dt", "_p")
 
-def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segments: DataFrame, events: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Context for text-anchored questions: candidates, their history, events and relations up to t.
+
+def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segments: DataFrame, events: DataFrame, episodes: DataFrame, centres: DataFrame | None = None, visits: DataFrame | None = None, profile: Profile = Profile()) -> DataFrame:
+    """Context for text-anchored questions: the wearer's path and places, candidates, their history, relations and events up to t, with a trace.
 
     segments: clip, id, t0, t1, description; events: clip, time_s, text;
-    episodes: clip, a, b, rel, t0, t1.
+    episodes: clip, a, b, rel, t0, t1; centres: clip, time_s, x, y, z; visits:
+    clip, label, t0, t1. What the profile switches off, or isn't given, is left
+    out. Gives qid, context, retrieved (names in rank order), has_path.
     """
     ranked = text_candidates(questions, objects, obs)
     lines = contexts.candidate_lines(ranked.withColumns({"unit": F.lit("scene units"), "ego": F.lit(None).cast("string")}), "qid")
@@ -50,12 +79,27 @@ def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segm
     heard = questions.select("qid", "clip", "t", terms(F.col("question")).alias("qt")).join(events, "clip").filter(F.col("time_s") <= F.col("t") + 1e-6)
     heard = heard.withColumn("hits", F.size(F.array_intersect("qt", terms(F.col("text")))))
     recalled = ranking.recall_events(heard.withColumn("pos", F.col("time_s")), ["qid"], "time_s", "hits", "pos")
-    said = recalled.select("qid", (F.col("time_s") * 10).cast("int").alias("rank"), F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"))
+    said = recalled.select("qid", (F.col("time_s") * 10).cast("long").alias("rank"), F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"))
     names = objects.select("clip", F.col("id"), "name")
     asked = ranked.select("qid", "clip", "id", F.col("t").alias("until"))
     known = episodes.join(names.select("clip", F.col("id").alias("a"), F.col("name").alias("a_name")), ["clip", "a"]).join(names.select("clip", F.col("id").alias("b"), F.col("name").alias("b_name")), ["clip", "b"])
-    related = contexts.relation_lines(relations.relation_context(known.drop("clip"), asked.drop("clip"), "qid", "until"), "qid")
-    return contexts.assembled({"CANDIDATES": lines, "HISTORY": told, "RELATIONS": related, "EVENTS": said}, "qid")
+    parts, one = {}, lambda df, c="line": df.select("qid", F.lit(0).alias("rank"), F.col(c).alias("line"))
+    if centres is not None and profile.path:
+        walked = contexts.wearer_path(questions.select("qid", "clip", "t").join(centres, "clip"), "qid", "time_s", "t")
+        parts["PATH"] = one(walked, "path")
+    if visits is not None and profile.places:
+        seen = places.current_visit(visits, questions.select("qid", "clip", F.col("t").alias("until")), ["clip"], "until")
+        parts["PLACES"] = one(contexts.places_text(seen, ["qid"]))
+    parts |= {"CANDIDATES": lines, "HISTORY": told}
+    if profile.relations:
+        pairs = known.select(F.struct("clip", "a").alias("a"), F.struct("clip", "b").alias("b"), "a_name", "b_name", "rel", "t0", "t1")
+        parts["RELATIONS"] = contexts.relation_lines(relations.relation_context(pairs, asked.select("qid", "until", F.struct("clip", "id").alias("id")), "qid", "until", profile.max_relations), "qid")
+    if profile.events:
+        parts["EVENTS"] = said
+    trace = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("retrieved"))
+    out = contexts.assembled(parts, "qid").join(trace, "qid", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
+    has_path = parts["PATH"].select("qid", F.lit(True).alias("has_path")) if "PATH" in parts else None
+    return out.withColumn("has_path", F.lit(False)) if has_path is None else out.join(has_path, "qid", "left").withColumn("has_path", F.coalesce("has_path", F.lit(False)))
 
 
 def spatial_question(questions: DataFrame, obs: DataFrame, segments: DataFrame, dt: float = ranking.DT) -> DataFrame:
@@ -86,6 +130,31 @@ def picked_points(prompts: DataFrame, provider: Callable[[DataFrame], DataFrame]
     return contexts.point_answer(picks, listed, obs)
 
 
+def listed_candidates(summary: DataFrame, clip: str, object_id: str) -> DataFrame:
+    """The objects of each recording that have a position, numbered from 0 in order of their ids."""
+    from pyspark.sql import Window
+
+    return summary.filter("x is not null").withColumn("idx", (F.row_number().over(Window.partitionBy(clip).orderBy(object_id)) - 1).cast("int"))
+
+
+def scored_points(answers: DataFrame, first: Column, second: Column) -> DataFrame:
+    """answers (x, y, z) with their distance to the annotated point and whether they count as found; null where nothing was picked."""
+    score = point_score(F.struct("x", "y", "z"), first, second)
+    found = F.col("x").isNotNull()
+    return answers.withColumns({"l2": F.when(found, score["l2"]), "success": F.when(found, score["success"])})
+
+
+def synonym_groups(tags: DataFrame, provider: Callable[[DataFrame], DataFrame], block: int = 60) -> DataFrame:
+    """Tags (clip, pos, tag) grouped as a provider says, a line of comma-separated tags for each group; a tag that no line names, or a block without a reply, is a group of its own."""
+    blocked = tags.withColumn("block", F.floor(F.col("pos") / block)).groupBy("clip", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("raw"))
+    replied = provider(blocked.withColumn("request", F.array_join("raw", "\n")))
+    lines = F.filter(F.transform(F.split(F.lower(F.coalesce("reply", F.lit(""))), "\n"), lambda x: F.filter(F.transform(F.split(x, ","), lambda y: F.trim(y)), lambda y: y != "")), lambda x: F.size(x) > 0)
+    said = replied.select("clip", "block", F.posexplode(lines).alias("_g", "_tags")).select("clip", "block", "_g", F.explode("_tags").alias("_tag"))
+    first = said.groupBy("clip", "block", "_tag").agg(F.min("_g").alias("_g"))
+    own = tags.withColumns({"block": F.floor(F.col("pos") / block), "_tag": F.lower("tag")})
+    return own.join(first, ["clip", "block", "_tag"], "left").select("clip", "pos", "tag", F.coalesce(F.concat_ws("-", "block", "_g"), F.lit("")).alias("_k"), "_g").select("clip", "pos", "tag", F.when(F.col("_g").isNull(), F.concat(F.lit("own "), F.col("tag"))).otherwise(F.col("_k")).alias("group"))
+
+
 def canonical_tags(tags: DataFrame, provider: Callable[[DataFrame], DataFrame], block: int = 60) -> DataFrame:
     """Tags (clip, pos, tag) as a provider rewrites them, in blocks; a block without a reply keeps its own. Distinct, in order of first use."""
     blocked = tags.withColumn("block", F.floor(F.col("pos") / block)).groupBy("clip", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tag"))), lambda x: x["tag"]).alias("raw"))

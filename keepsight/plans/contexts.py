@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.functions.geometry import distance, elevation, sector_label
-from keepsight.functions.text import python_format
+from keepsight.functions.geometry import azimuth, distance, elevation, sector_label
+from keepsight.functions.text import python_format, terms
 from keepsight.operators.windows import even_sample, top_k
 
 STALE_S, MAX_SEGMENTS, WAYPOINTS = 20.0, 8, 6
@@ -40,8 +40,8 @@ def candidate_lines(candidates: DataFrame, question: str) -> DataFrame:
 
 
 def relation_lines(context: DataFrame, question: str) -> DataFrame:
-    span = F.when(F.col("current"), F.concat(F.lit("since "), seconds(F.col("t0")))).otherwise(F.concat(seconds(F.col("t0")), F.lit("-"), seconds(F.col("t1")), F.lit(", not seen since")))
-    return context.select(question, "rank", F.concat(F.col("a_name"), F.lit(" "), F.col("rel"), F.lit(" "), F.col("b_name"), F.lit(" ("), span, F.lit(")")).alias("line"))
+    span = F.when(F.col("current"), F.concat(F.lit("since "), seconds(F.col("t0")))).otherwise(F.concat(python_format(".0f")("t0"), F.lit("-"), seconds(F.col("t1")), F.lit(", not seen since")))
+    return context.select(question, "rank", F.concat(F.col("a_name"), F.lit(" is "), F.col("rel"), F.lit(" "), F.col("b_name"), F.lit(" ("), span, F.lit(")")).alias("line"))
 
 
 def wearer_path(centres: DataFrame, question: str, time: str, until: str, n: int = WAYPOINTS) -> DataFrame:
@@ -58,13 +58,48 @@ def direct_observation(last: DataFrame, time: str, until: str, stale: float = ST
     """Age and direction of an object's last camera-relative view (cam), stale beyond a limit."""
     age = F.col(until) - F.col(time)
     kind = F.when(F.col(time).isNull(), "never").when(age < 1, "now").when(age > stale, "stale").otherwise("recent")
-    return last.withColumns({"age_s": age, "freshness": kind, "direction": sector_label(F.col("cam.x"), F.col("cam.y"), F.col("cam.z")), "elevation": elevation(F.col("cam.x"), F.col("cam.y"), F.col("cam.z"))})
+    c, origin = F.col("cam"), F.struct(*[F.lit(0.0).alias(a) for a in "xyz"])
+    number, far = python_format(".0f"), F.concat(python_format(".1f")(distance(c, origin)), F.lit(" m away"))
+    when = F.when(age < 1, "at the question time").otherwise(F.concat(number(age), F.lit(" s before")))
+    line = F.when(kind == "stale", F.concat(F.lit("last seen "), number(age), F.lit(" s before, "), far, F.lit(" then; you have moved since"))).when(kind != "never", F.concat(F.lit("seen "), when, F.lit(", "), far, F.lit(" ("), python_format("+.0f")(azimuth(c["x"], c["z"])), F.lit(" deg)")))
+    return last.withColumns({"age_s": age, "freshness": kind, "direction": sector_label(c["x"], c["y"], c["z"]), "elevation": elevation(c["x"], c["y"], c["z"]), "line": line})
+
+
+def trajectory_text(obs: DataFrame, keys: list[str], most: int, last: bool = False) -> DataFrame:
+    """The first (or last) `most` points of an object that has no segments, as one text."""
+    order = [F.desc("time_s"), F.desc("pos")] if last else ["time_s", "pos"]
+    number = python_format(".2f")
+    line = F.concat(seconds(F.col("time_s"), 1), F.lit(" at ("), F.concat_ws(", ", *[number(a) for a in "xyz"]), F.lit(")"))
+    rows = top_k(obs, keys, order, most).withColumn("_l", line).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("time_s", "pos", "_l"))).alias("_l"))
+    return rows.select(*keys, F.array_join(F.transform("_l", lambda x: x["_l"]), "; ").alias("line"))
+
+
+def places_text(visits: DataFrame, keys: list[str]) -> DataFrame:
+    """Where the wearer is and came from: visits (label, t0, t1, back), newest first by back."""
+    now = F.concat(F.col("label"), F.lit(" since "), seconds(F.col("t0")))
+    span = F.concat(F.col("label"), F.lit(" ("), python_format(".0f")("t0"), F.lit("-"), seconds(F.col("t1")), F.lit(")"))
+    told = visits.withColumns({"_now": F.when(F.col("back") == 1, now), "_span": span}).groupBy(*keys).agg(F.max("_now").alias("_now"), F.array_sort(F.collect_list(F.struct("t0", "_span"))).alias("_all"))
+    return told.select(*keys, F.concat(F.lit("now in "), F.col("_now"), F.lit("; before: "), F.array_join(F.transform("_all", lambda x: x["_span"]), " -> ")).alias("line"))
+
+
+def match_text(listed: DataFrame, clip: str) -> DataFrame:
+    """The candidates of a recording (idx, name, n_obs, x, y, z) as one listing."""
+    number = python_format(".2f")
+    line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("] "), F.col("name"), F.lit(", seen "), F.col("n_obs").cast("string"), F.lit("x at ("), F.concat_ws(", ", *[number(a) for a in "xyz"]), F.lit(")"))
+    rows = listed.withColumn("_l", line).groupBy(clip).agg(F.array_sort(F.collect_list(F.struct("idx", "_l"))).alias("_l"))
+    return rows.select(clip, F.array_join(F.transform("_l", lambda x: x["_l"]), "\n").alias("listing"))
 
 
 def counting_aid(obs: DataFrame, questions: DataFrame, noun: str, recent: float = 60.0) -> DataFrame:
-    """For each question that counts: distinct objects named by a noun, the most in one frame, and those of the last minute. questions: qid, until, noun forms (array)."""
+    """For each question that counts: distinct objects with a noun among the words of their name or tags, the most in one frame, and those of the last minute.
+
+    questions: qid, until, noun forms (array); obs: id, frame, time_s, name, and tags (array) if there are any.
+    """
     q = questions.select("qid", "until", F.explode(noun).alias("_noun")).distinct()
-    seen = q.join(obs, F.col("_noun") == F.lower("name")).filter(F.col("time_s") <= F.col("until")).dropDuplicates(["qid", "id", "frame"])
+    told = F.concat_ws(" ", "name", "tags") if "tags" in obs.columns else F.col("name")
+    said = obs.select("id", told.alias("_told")).distinct().select("id", F.explode(terms(F.col("_told"), [])).alias("_noun"))
+    named = q.join(said, "_noun").select("qid", "until", "id").distinct()
+    seen = named.join(obs.select("id", "frame", "time_s"), "id").filter(F.col("time_s") <= F.col("until"))
     frames = seen.groupBy("qid", "frame").agg(F.count_distinct("id").alias("_n")).groupBy("qid").agg(F.max("_n").alias("most_at_once"))
     return seen.groupBy("qid").agg(F.count_distinct("id").alias("n_objects"), F.count_distinct(F.when(F.col("time_s") >= F.col("until") - recent, F.col("id"))).alias("n_recent")).join(frames, "qid")
 
@@ -73,7 +108,7 @@ def assembled(parts: dict[str, DataFrame], question: str) -> DataFrame:
     """Lines of several parts as one text for each question, in the order given."""
     rows = None
     for k, (title, lines) in enumerate(parts.items()):
-        part = lines.select(question, F.lit(k).alias("_k"), F.lit(title).alias("_t"), F.col("rank").cast("int").alias("rank"), "line")
+        part = lines.select(question, F.lit(k).alias("_k"), F.lit(title).alias("_t"), F.col("rank").cast("long").alias("rank"), "line")
         rows = part if rows is None else rows.unionByName(part)
     blocks = rows.groupBy(question, "_k", "_t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("_b"))
     return blocks.groupBy(question).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat("_t", F.lit(":\n"), "_b").alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))

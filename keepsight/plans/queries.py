@@ -426,7 +426,7 @@ def scene_filter(spark, sf_dir):
 
 
 @query(f"""WITH {OBS_SQL}, e AS (SELECT id AS a, id + 1 + k::BIGINT % 3 AS b, CASE WHEN tag = 'view' THEN 'on' ELSE 'near' END AS rel, time_s AS t0, time_s + 600 AS t1 FROM obs),
-c AS (SELECT g AS q, 40 + g + i AS id, (SELECT median(time_s) FROM obs) AS until FROM range(0, 5) t(g), range(0, 4) s(i)),
+c AS (SELECT g AS q, g + i AS id, (SELECT median(time_s) FROM obs) AS until FROM (SELECT DISTINCT id AS g FROM obs) t, range(0, 4) s(i)),
 m AS (SELECT DISTINCT q, a, b, rel, t0, least(t1, until) AS t1, until FROM e JOIN c ON e.a = c.id OR e.b = c.id WHERE t0 <= until),
 k AS (SELECT * FROM m WHERE rel = 'on' OR (q, a) IN (SELECT (q, id) FROM c) AND (q, b) IN (SELECT (q, id) FROM c)),
 l AS (SELECT *, row_number() OVER (PARTITION BY q, a, b, rel ORDER BY t0 DESC, t1 DESC) AS rn FROM k),
@@ -435,7 +435,7 @@ SELECT q, a, b, rel, t0, t1, rank, t1 >= until - 8 AS current FROM r WHERE rank
 def relation_context(spark, sf_dir):
     o = observations(spark, sf_dir)
     e = o.select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("k").cast("long") % 3).alias("b"), F.when(F.col("tag") == "view", "on").otherwise("near").alias("rel"), F.col("time_s").alias("t0"), (F.col("time_s") + 600).alias("t1"))
-    q = spark.range(5).select(F.col("id").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("q", (40 + F.col("q") + F.col("i")).alias("id"), F.lit("c").alias("clip"))
+    q = o.select(F.col("id").alias("q")).distinct().select("q", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("q", (F.col("q") + F.col("i")).alias("id"), F.lit("c").alias("clip"))
     c = q.join(o.groupBy("clip").agg(F.median("time_s").alias("until")), "clip").drop("clip")
     return relations.relation_context(e, c, "q", "until").select("q", "a", "b", "rel", "t0", "t1", F.col("rank").cast("long").alias("rank"), "current")
 
@@ -470,20 +470,22 @@ def semi_catalog(spark, sf_dir):
 
 @query("""WITH g AS (SELECT p_brand AS tag, p_size::BIGINT AS grp, p_partkey AS pos FROM part WHERE p_size < 20), v AS (SELECT DISTINCT p_brand AS tag FROM part UNION SELECT DISTINCT p_type FROM part),
 f AS (SELECT tag, grp FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY pos) AS rn FROM g SEMI JOIN v USING (tag)) WHERE rn = 1)
-SELECT tag, grp FROM f UNION ALL SELECT tag, -row_number() OVER (ORDER BY tag) FROM v WHERE tag NOT IN (SELECT tag FROM f)""")
+SELECT tag, grp FROM f UNION ALL SELECT tag, -1 - ('0x' || substr(md5(tag), 1, 15))::BIGINT FROM v WHERE tag NOT IN (SELECT tag FROM f)""")
 def union_fill(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     groups = p.filter("p_size < 20").select(F.col("p_brand").alias("tag"), F.col("p_size").cast("long").alias("grp"), F.col("p_partkey").alias("pos"))
     return sets.repaired_groups(groups, p.select(F.col("p_brand").alias("tag")).union(p.select("p_type")).distinct(), "tag", "grp", "pos")
 
 
-@query(f"""WITH {OBS_SQL}, c AS (SELECT a.id AS a, b.id AS b FROM (SELECT DISTINCT id FROM obs WHERE id < 40) a JOIN (SELECT DISTINCT id FROM obs WHERE id < 40) b ON a.id < b.id)
+@query(f"""WITH {OBS_SQL}, m AS (SELECT id, median(x) AS x, median(y) AS y, median(z) AS z FROM obs GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 0.05)
 SELECT a, b FROM c WHERE NOT EXISTS (SELECT 1 FROM obs o JOIN obs p ON o.frame = p.frame WHERE o.id = c.a AND p.id = c.b)""")
 def frame_disjoint(spark, sf_dir):
-    o = observations(spark, sf_dir).select("id", "frame").distinct()
-    ids = o.filter("id < 40").select("id").distinct()
-    c = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    return sets.without_common_frames(c, o, "a", "b", "id", "frame")
+    """Objects that lie within 5 cm of each other (by grid cells, over all objects) and never share a frame."""
+    o = observations(spark, sf_dir)
+    m = aggregates.median_position(o, ["id"]).withColumn("all", F.lit(1))
+    c = joins.within_distance(m, m, ["all"], ["x", "y", "z"], 0.05).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return sets.without_common_frames(c, o.select("id", "frame").distinct(), "a", "b", "id", "frame")
 
 
 @query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
@@ -614,25 +616,18 @@ def frame_grid(spark, sf_dir):
 # Segments and entity resolution: beyond plain SQL, held against sequential twins in the tests.
 
 
-def tracks(spark, sf_dir):
-    o = observations(spark, sf_dir)
-    return o.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time_s", "pos", "x", "y", "z"))).alias("p"))
-
-
-def segment_rows(df, segments):
-    return df.select("id", F.explode(F.arrays_zip(F.col("p.pos").alias("pos"), segments.alias("segment"))).alias("s")).select("id", "s.pos", "s.segment")
+def track_points(spark, sf_dir):
+    return observations(spark, sf_dir).select("id", F.struct("time_s", "pos").alias("at"), "x", "y", "z")
 
 
 @query()
 def segment_running_mean(spark, sf_dir):
-    t = tracks(spark, sf_dir)
-    return segment_rows(t, seq.threshold_segments(F.col("p"), 1.5))
+    return seq.labelled_tracks(track_points(spark, sf_dir), ["id"], "at", seq.threshold_labels, 1.5).select("id", "at.pos", "segment")
 
 
 @query()
 def segment_persist(spark, sf_dir):
-    t = tracks(spark, sf_dir)
-    return segment_rows(t, seq.persistent_segments(F.col("p"), 1.5, 2))
+    return seq.labelled_tracks(track_points(spark, sf_dir), ["id"], "at", seq.persistent_labels, 1.5, 2).select("id", "at.pos", "segment")
 
 
 @query()

@@ -34,23 +34,28 @@ class Function:
     setup: Callable[[], Callable[[list], list]]
     attempts: int = 3
     backoff_s: float = 0.5
+    #: Whether a batch that fails every time fails the job; else its replies are null, and `error` tells why.
+    strict: bool = False
 
     def __call__(self, requests: DataFrame) -> DataFrame:
-        setup, attempts, backoff = self.setup, self.attempts, self.backoff_s
+        setup, attempts, backoff, strict = self.setup, self.attempts, self.backoff_s, self.strict
 
         def run(batches):
             model = setup()
             for pdf in batches:
-                reply = [None] * len(pdf)
+                reply, error = [None] * len(pdf), None
                 for k in range(attempts):
                     try:
-                        reply = model(pdf["request"].tolist())
+                        reply, error = model(pdf["request"].tolist()), None
                         break
-                    except Exception:  # noqa: BLE001 - whatever a model raises; the reply stays null
+                    except Exception as e:  # noqa: BLE001 - whatever a model raises
+                        if strict and k + 1 == attempts:
+                            raise
+                        error = f"{type(e).__name__}: {e}"
                         time.sleep(backoff * (k + 1) if k + 1 < attempts else 0)
-                yield pdf.assign(reply=pd.Series(reply, index=pdf.index, dtype=object))
+                yield pdf.assign(reply=pd.Series(reply, index=pdf.index, dtype=object), error=error)
 
-        return requests.mapInPandas(run, widened(requests, reply="string"))
+        return requests.mapInPandas(run, widened(requests, reply="string", error="string"))
 
 
 @dataclass

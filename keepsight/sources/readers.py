@@ -27,10 +27,16 @@ def read_documents(spark: SparkSession, kind: str, path: str) -> DataFrame:
         return spark.createDataFrame([], DOCUMENTS[kind] + ", path STRING")
 
 
+def world_position() -> Column:
+    """The first of the two world positions that isn't empty."""
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return F.coalesce(some("world_egoloc"), some("world_vggt"))
+
+
 def observations(objects: DataFrame) -> DataFrame:
     """One row for each trajectory point of an object document; world is the first of its two positions."""
     points = objects.select("path", "id", "primary_tag", F.posexplode("trajectory").alias("pos", "o"))
-    return points.select("path", "id", F.col("primary_tag").alias("tag"), "pos", "o.*").withColumn("world", F.coalesce("world_egoloc", "world_vggt"))
+    return points.select("path", "id", F.col("primary_tag").alias("tag"), "pos", "o.*").withColumn("world", world_position())
 
 
 def episodes(relations: DataFrame) -> DataFrame:
@@ -110,3 +116,19 @@ def remaining(todo: DataFrame, path: str, keys: list[str]) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return todo
+
+
+def checked_metadata(videos: DataFrame, fps: float, tolerance: float = 0.05) -> DataFrame:
+    """Video metadata (clip, width, height, n_frames, fps), and off_rate where the frame rate isn't the one expected. A dimension table: cache it where many stages read it."""
+    return videos.withColumn("off_rate", F.abs(F.col("fps") - fps) > tolerance)
+
+
+def grid_spec(clips: DataFrame, stride: int = 40, max_frames: int = 1200) -> DataFrame:
+    """The grid document of each clip (clip_uid, n_frames, clip_ratio, fps): its frames in order, their number in the video, rate, ratio and source."""
+    frames = sampling_grid(clips, stride, max_frames).groupBy("clip_uid").agg(F.array_sort(F.collect_list("clip_frame")).alias("grid_clip_frames"))
+    return clips.join(frames, "clip_uid", "left").select("clip_uid", F.col("n_frames").alias("N"), "fps", F.col("clip_ratio").cast("int").alias("clip_ratio"), source_of(F.col("clip_uid")).alias("source"), F.coalesce("grid_clip_frames", F.array().cast("array<bigint>")).alias("grid_clip_frames"))
+
+
+def empty_truth(clips: DataFrame) -> DataFrame:
+    """Ground truth of recordings that have none: no objects and no names."""
+    return clips.select("clip_uid", F.array().cast("array<bigint>").alias("objects"), F.array().cast("array<string>").alias("names"))

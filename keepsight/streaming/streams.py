@@ -35,11 +35,11 @@ def windowed(events: DataFrame, ts: str, keys: list[str], size: str, slide: str
 class Associator(StatefulProcessor):
     """Keeps the last position of each cluster of a (clip, tag) and links what comes, a frame at a time."""
 
-    def __init__(self, radius: float = 1.0):
-        self.radius = radius
+    def __init__(self, radius: float = 1.0, ttl_ms: int | None = None):
+        self.radius, self.ttl_ms = radius, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "x double, y double, z double")
+        self.last = handle.getListState("last", "x double, y double, z double", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         last = np.array([tuple(r) for r in self.last.get()], float).reshape(-1, 3)
@@ -66,9 +66,9 @@ class Associator(StatefulProcessor):
         pass
 
 
-def associate_stream(obs: DataFrame, radius: float = 1.0) -> DataFrame:
-    """associate() over a stream of (clip, tag, frame, pos, score, x, y, z) that comes in frame order."""
-    return obs.groupBy("clip", "tag").transformWithStateInPandas(Associator(radius), "clip string, tag string, frame long, pos long, cluster int", "Append", "None")
+def associate_stream(obs: DataFrame, radius: float = 1.0, ttl_ms: int | None = None) -> DataFrame:
+    """associate() over a stream of (clip, tag, frame, pos, score, x, y, z) that comes in frame order; clusters that nothing touches for ttl_ms are forgotten."""
+    return obs.groupBy("clip", "tag").transformWithStateInPandas(Associator(radius, ttl_ms), "clip string, tag string, frame long, pos long, cluster int", "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def latest_view(observations: DataFrame, ts: str, keys: list[str], values: list[str], watermark: str = WATERMARK) -> DataFrame:

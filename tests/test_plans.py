@@ -35,7 +35,7 @@ def test_text_question_is_causal(spark):
     q = spark.createDataFrame([("q1", "c", "Where is the red mug?", 8.0)], "qid string, clip string, question string, t double")
     text = answers.text_question(q, *memory(spark)).first()["context"]
     assert "#1 red mug (3 obs) at (1.00, 0.00, 2.00) scene units" in text and "0s-8s: a mug by the sink" in text
-    assert "red mug near lamp (since 0s)" in text and "8s the mug moves 8" in text
+    assert "red mug is near lamp (since 0s)" in text and "8s the mug moves 8" in text
     assert "door" not in text and "moves 12" not in text
 
 
