@@ -1,33 +1,46 @@
-"""Language-model scores by a Katz back-off bigram model (operator 7).
+"""Language-model scores by a Katz back-off model (operator 7).
 
 The model is learnt from all training documents and scores every document. The
 probability of a word after a history is its Good-Turing discounted share if
-the pair was seen in training, else the back-off weight of the history times
-the probability of the word alone; words never seen share what discounting
-leaves of the unigrams. Weights are normalised exactly: over all known words
-and the unknown one, probabilities after any history sum to one.
+the n-gram was seen in training, else the back-off weight of the history times
+the probability after the history without its first word, and so on down to
+the words themselves; words never seen share what discounting leaves of them.
+Weights are normalised exactly: over all known words and the unknown one,
+probabilities after any history sum to one.
 
 Counts are too many to broadcast and some words are too common to group by, so
 the work is a dialogue between chunks (a few million tokens each) and buckets
-(ranges of hashed keys), all of it in written tables of packed arrays:
+(parts of the hashed keys), all of it in written tables of packed arrays:
 
-1. texts become chunks; each sends each bucket the distinct words and pairs that hash to it,
-   with their counts; a common word is one entry of a chunk, not a row of each
-   occurrence;
-2. buckets add up counts, send them back, and name for each pair one chunk as
+1. texts become chunks; each sends each bucket the distinct n-grams that hash
+   to it, with their counts; a common word is one entry of a chunk, not a row of
+   each occurrence;
+2. buckets add up counts, send them back, and name for each n-gram one chunk as
    its owner;
-3. chunks score pairs that were seen, and send the buckets of histories what
-   the pairs they own contribute to back-off weights, and which weights they
-   need;
-4. buckets send the weights back, and chunks add them.
-
-The threshold k of Good-Turing discounting is 5. Above it the absolute discount
-of k continues, so every history keeps some mass for backing off. Copies of
+3. order by order, chunks send the buckets of histories what the n-grams they
+   own contribute to back-off weights, and which weights they need; buckets send
+   the weights back, and chunks know the probabilities of that order, which the
+   next one backs off to;
+4. at the highest order chunks score what they know, and add the weights that
+   come back.
+
+The threshold k of Good-Turing discounting is 5; counts above it are left as
+they are. A history whose followers all lie above it would leave nothing to
+back off with: it counts once more, and that once is what is left. Copies of
 documents raise some counts of counts above their neighbours, at any size of a
 corpus; where a discount from the plain counts of counts is not valid, all come
 from a log-linear fit to those up to k + 1 (Simple Good-Turing). Half a count is
 taken from each only where that line does not fall faster than 1/r, or has
-fewer than two points. Words are known by 64-bit hashes and pairs by 60-bit ones.
+fewer than two points.
+
+An n-gram is known by its bucket and a 64-bit key from hashes that are
+independent of those that choose the bucket. Buckets grow in number with the
+input and hold about as many keys at any size, so the chance that two n-grams of
+a bucket share a key stays near 1e-7, and in a corpus of 100 TB about one pair
+does.
+
+The first word of a document has one end token as its history, so every n-gram
+of it begins there.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id
 counts as empty text for the choice of training documents; without training
@@ -49,28 +62,28 @@ from pyspark.sql import functions as F
 
 from keepsight.llm.tables import Table, own_columns, release
 
-FOLDS, HELD_FOLD, K = 7, 2, 5
+FOLDS, HELD_FOLD, K, ORDER = 7, 2, 5, 3
+#: Sizes for workers of about 1 GB: tokens of a chunk, least number of buckets, and bytes of input for each. Messages are as
+#: many as chunks times buckets, so on larger workers raise both sizes alike: ten times each makes a hundredth of the messages.
 CHUNK_TOKENS, MIN_BUCKETS, BUCKET_BYTES = 2_000_000, 64, 16 << 20
-#: Bits of a pair's key; the low ones are left out, as keys are most of what is moved.
-KEY_BITS = np.uint64(0xFFFFFFFFFFFFFFF0)
 END = b"\n"  # no word can be this; also the history of a first word
 
 
 def deltas(counts_of_counts: list[int], k: int = K) -> np.ndarray:
-    """What discounting takes from a count r, at [min(r, k)]; counts_of_counts[r - 1] for r up to k + 1."""
+    """What discounting takes from a count r, at [min(r, k + 1)]; counts_of_counts[r - 1] for r up to k + 1."""
     n = [0, *counts_of_counts]
     if all(n[1 : k + 2]):
         a = (k + 1) * n[k + 1] / n[1]
         if a < 1:
             d = [((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) for r in range(1, k + 1)]
             if all(0 < x < 1 for x in d):
-                return np.array([0.0, *((1 - x) * r for r, x in enumerate(d, 1))])
+                return np.array([0.0, *((1 - x) * r for r, x in enumerate(d, 1)), 0.0])
     slope = fitted_slope(n)
     if slope < -1:
         # With n_r = c r^slope, r* / r is (1 + 1/r)^(slope + 1), and what is taken falls between 0 and r for every r.
         taken = np.expm1((slope + 1) * np.log1p(1 / np.arange(1, k + 1))) / math.expm1((slope + 1) * math.log(k + 1))
-        return np.array([0.0, *(taken * np.arange(1, k + 1))])
-    return np.array([0.0] + [0.5] * k)
+        return np.array([0.0, *(taken * np.arange(1, k + 1)), 0.0])
+    return np.array([0.0] + [0.5] * k + [0.0])
 
 
 def fitted_slope(n: list[int]) -> float:
@@ -105,16 +118,26 @@ def stepped(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.zeros(1, np.uint64))
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their histories and last words."""
     x = h * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))) & KEY_BITS
+    return x ^ (x >> np.uint64(32))
+
+
+def mixed_sides(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The same for the hashes that choose buckets."""
+    x = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) + w * np.uint32(0x297A2D39)
+    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts in sorted keys, and the end."""
-    limits = ((np.arange(buckets, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)) << np.uint64(32)
-    return np.append(np.searchsorted(keys, limits), len(keys))
+def in_buckets(keys: np.ndarray, sides: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys by bucket and key, and where each bucket starts in it, with the end."""
+    order = np.argsort(keys)
+    of = (sides[order] % np.uint32(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    again = np.argsort(of, kind="stable")
+    return order[again], np.append(np.searchsorted(of[again], np.arange(buckets)), len(keys))
 
 
 class Ids(dict):
@@ -123,32 +146,44 @@ class Ids(dict):
         return n
 
 
-class Chunk:
-    """Documents as arrays: word hashes in order of first appearance, tokens (each document ends with END), lengths, ids, folds."""
-
-    def __init__(self, hashes, tokens, lengths, doc_ids, known_ids, held):
-        self.hashes, self.tokens, self.lengths, self.doc_ids, self.known_ids, self.held = hashes, tokens, lengths, doc_ids, known_ids, held
+class Level:
+    """The distinct n-grams of a chunk by bucket and key: for each its history and its shorter form, as places in the level below, and for each token its n-gram (-1: too near the start)."""
 
-    def words(self):
-        """Hashes in order, and the rank of each token."""
-        order = np.argsort(self.hashes)
+    def __init__(self, keys, sides, history, shorter, place, buckets):
+        order, self.edges = in_buckets(keys, sides, buckets)
+        self.keys, self.sides = keys[order], sides[order]
+        self.history, self.shorter = (None if x is None else x[order] for x in (history, shorter))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return self.hashes[order], rank[self.tokens]
+        self.place = np.where(place < 0, -1, rank[place]) if len(order) else place
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place[train & (self.place >= 0)], minlength=len(self.keys))
+
 
-    def pairs(self, hashes, ranks):
-        """Sorted keys of distinct pairs, (history, word) of each, and each token's place among them."""
-        before = np.empty_like(ranks)
-        before[1:] = ranks[:-1]
+class Chunk:
+    """Documents as arrays: hashes of words in order of first appearance, tokens (each document ends with END), lengths, ids, folds."""
+
+    def __init__(self, hashes, sides, tokens, lengths, doc_ids, known_ids, held):
+        self.hashes, self.sides, self.tokens, self.lengths, self.doc_ids, self.known_ids, self.held = hashes, sides, tokens, lengths, doc_ids, known_ids, held
+
+    def levels(self, order: int, buckets: int) -> list[Level]:
+        found = [Level(self.hashes, self.sides, None, None, self.tokens.astype(np.int64), buckets)]
+        words = found[0].place
         ends = np.cumsum(self.lengths)
-        before[np.concatenate([[0], ends[:-1]])] = ranks[ends[0] - 1]  # the rank of END
-        codes, place = np.unique(before << 32 | ranks, return_inverse=True)
-        h, w = codes >> 32, codes & 0xFFFFFFFF
-        keys = pair_keys(hashes[h], hashes[w])
-        order = np.argsort(keys)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return keys[order], h[order], w[order], rank[place]
+        position = np.arange(len(words)) - np.repeat(np.concatenate([[0], ends[:-1]]), self.lengths)
+        for n in range(2, order + 1):
+            below = found[-1]
+            history = np.empty_like(words)
+            history[1:] = below.place[:-1]
+            if n == 2:
+                history[position == 0] = words[ends[0] - 1]  # END
+            there = position >= n - 2
+            codes, first, inverse = np.unique(history[there] << 32 | words[there], return_index=True, return_inverse=True)
+            h, w, place = codes >> 32, codes & 0xFFFFFFFF, np.full(len(words), -1, np.int64)
+            place[there] = inverse
+            found.append(Level(mixed(below.keys[h], found[0].keys[w]), mixed_sides(below.sides[h], found[0].sides[w]), h, below.place[there][first], place, buckets))
+        return found
 
     def trained(self):
         return np.repeat(~self.held, self.lengths)
@@ -173,8 +208,8 @@ def make_chunks(chunk_tokens: int):
 
         def ended():
             lengths = np.array([len(p) for p in parts], np.int64)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, len(ids))
-            data = packed(hashes=hashes, tokens=np.concatenate(parts).astype(np.uint32), lengths=lengths, doc_ids=np.array([d or 0 for d in docs], np.int64), known_ids=np.array([d is not None for d in docs]), held=np.array(held, bool))
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ids)), np.uint64).reshape(-1, 2)
+            data = packed(hashes=digests[:, 0], sides=(digests[:, 1] >> np.uint64(32)).astype(np.uint32), tokens=np.concatenate(parts).astype(np.uint32), lengths=lengths, doc_ids=np.array([d or 0 for d in docs], np.int64), known_ids=np.array([d is not None for d in docs]), held=np.array(held, bool))
             return messages([("T", (pid << 24) + number, -1, data)])
 
         for batch in batches:
@@ -194,20 +229,17 @@ def make_chunks(chunk_tokens: int):
     return run
 
 
-def send_counts(buckets: int):
-    """For mapInArrow over chunks: their words and pairs, with counts in training text, for each bucket."""
+def send_counts(order: int, buckets: int):
+    """For mapInArrow over chunks: their n-grams, with counts in training text, for each bucket; kind is n."""
 
     def run(batches):
         for batch in batches:
             for chunk_id, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
                 chunk = Chunk(**unpacked(data.as_py()))
-                hashes, ranks = chunk.words()
-                keys, _, _, place = chunk.pairs(hashes, ranks)
-                train, rows = chunk.trained(), []
-                for kind, k, at in (("V", hashes, ranks), ("B", keys, place)):
-                    counts, edges = np.bincount(at[train], minlength=len(k)), bucket_edges(k, buckets)
-                    rows += [(kind, chunk_id, b, packed(k=stepped(k[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if e > s]
-                yield messages(rows)
+                train = chunk.trained()
+                for n, level in enumerate(chunk.levels(order, buckets), 1):
+                    counts, edges = level.counts(train), level.edges.tolist()
+                    yield messages([(f"{n}", chunk_id, b, packed(k=stepped(level.keys[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
 
     return run
 
@@ -229,7 +261,7 @@ def add_counts(table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(p["k"]) for p in parts]).tolist()
     out = {"kind": [], "chunk": [], "bucket": [], "data": [], **{s: [] for s in STATS}}
     for (chunk, _), s, e in zip(rows, [0, *ends[:-1]], ends, strict=True):
-        data = packed(n=total[inverse[s:e]], **({"own": owner[s:e]} if kind == "B" else {}))
+        data = packed(n=total[inverse[s:e]], own=owner[s:e])
         for name, value in zip(out, (kind, chunk, bucket, data, *[0] * len(STATS)), strict=True):
             out[name].append(value)
     stats = [int(total.sum()), int((total > 0).sum()), *((total == r).sum().item() for r in range(1, K + 2))]
@@ -239,65 +271,132 @@ def add_counts(table: pa.Table) -> pa.Table:
 
 
 class Model:
-    """What a chunk must know besides its own counts: totals and discounts of words and of pairs."""
+    """What a chunk must know besides its own counts: totals and discounts of each order."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int]):
+    def __init__(self, stats: list[dict[str, int]]):
+        words = stats[0]
         self.n, self.v = words["n"], words["v"]
-        self.word_delta, self.pair_delta = (deltas([s[f"r{r}"] for r in range(1, K + 2)]) for s in (words, pairs))
-        low = [words[f"r{r}"] for r in range(1, K + 1)]
-        left = float(np.dot(low, self.word_delta[1:]) + (self.v - sum(low)) * self.word_delta[K])
-        self.unknown = left / self.n if self.n else 1.0
+        self.deltas = [deltas([s[f"r{r}"] for r in range(1, K + 2)]) for s in stats]
+        left = float(np.dot([words[f"r{r}"] for r in range(1, K + 1)], self.deltas[0][1 : K + 1]))
+        # Words that all lie above the threshold leave nothing to the unknown one but one more count.
+        self.total = self.n + (left == 0)
+        self.unknown = (left or 1.0) / self.total
 
     def word_probability(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, (c - self.word_delta[np.minimum(c, K)]) / max(self.n, 1), self.unknown)
+        return np.where(c > 0, (c - self.deltas[0][np.minimum(c, K + 1)]) / self.total, self.unknown)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
 
-def score_seen(model: Model, buckets: int):
-    """For cogrouped applyInArrow over a chunk and its counts: partial scores (kind D) and messages about histories (kind H)."""
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        chunk_id, t = key[0].as_py(), unpacked(left["data"][0].as_py())
-        chunk = Chunk(**t)
-        answers: dict[str, list] = {"V": [], "B": []}
-        for kind, bucket, data in zip(*(right[c].to_pylist() for c in ("kind", "bucket", "data")), strict=True):
-            answers[kind].append((bucket, unpacked(data)))
-        joined = lambda kind, field: np.concatenate([a[field] for _, a in sorted(answers[kind], key=lambda x: x[0])])
-        hashes, ranks = chunk.words()
-        keys, h, w, place = chunk.pairs(hashes, ranks)
-        c, r, own = joined("V", "n"), joined("B", "n"), joined("B", "own")
-        p_word = model.word_probability(c)
+def weight_of(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Back-off weights from what buckets send: the mass left over one less the mass of known followers, negative where a history counts once more."""
+    return np.where(sums > 0, sums / counts, -sums / (counts + 1))
+
+
+class Known:
+    """What a chunk knows of its n-grams from the answers so far."""
+
+    def __init__(self, model: Model, chunk: Chunk, order: int, buckets: int, answers: pa.Table):
+        self.model, self.chunk, self.levels = model, chunk, chunk.levels(order, buckets)
+        found: dict[str, list] = {}
+        for kind, bucket, data in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "data")), strict=True):
+            found.setdefault(kind, []).append((bucket, unpacked(data)))
+        join = lambda kind, field: np.concatenate([x[field] for _, x in sorted(found[kind], key=lambda x: x[0])]) if kind in found else np.empty(0, np.int64)
+        self.counts = [join(f"{n}", "n") for n in range(1, order + 1)]
+        self.own = [join(f"{n}", "own") for n in range(1, order + 1)]
+        self.sums = {n: join(f"W{n}", "sums") for n in range(2, order + 1) if f"W{n}" in found}
+        self.probability = [model.word_probability(self.counts[0])]
+        for n in range(2, order):
+            self.probability.append(self.probabilities(n))
+
+    def asks(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n-grams that back off with a weight, seen ones whose history may count once more, and the histories of both, in order."""
+        level, r, c = self.levels[n - 1], self.counts[n - 1], self.counts[n - 2]
+        back = (r == 0) & (c[level.history] > 0)
+        low = np.zeros(len(c), bool)
+        low[level.history[(r > 0) & (r <= K)]] = True
+        unsure = (r > K) & ~low[level.history]
+        return back, unsure, np.unique(level.history[back | unsure])
+
+    def probabilities(self, n: int) -> np.ndarray:
+        """Of every n-gram of this order, once its weights have come."""
+        level, r, c = self.levels[n - 1], self.counts[n - 1], self.counts[n - 2]
+        back, unsure, asked = self.asks(n)
+        sums = self.sums.get(n, np.empty(0))
+        at = lambda which: np.searchsorted(asked, level.history[which])
+        p = self.probability[n - 2][level.shorter]
         seen = r > 0
-        logp = np.empty(len(keys))
-        logp[seen] = np.log10((r[seen] - model.pair_delta[np.minimum(r[seen], K)]) / c[h[seen]])
-        logp[~seen] = np.log10(p_word[w[~seen]])
-        starts = np.concatenate([[0], np.cumsum(chunk.lengths)[:-1]])
-        add = lambda x: np.add.reduceat(x, starts)
-        backs = ~seen & (c[h] > 0)  # pairs that need their history's weight
-        asked = np.unique(h[backs])
-        token_backs = backs[place]
-        doc_of = np.repeat(np.arange(len(starts)), chunk.lengths)[token_backs]
-        waits = np.searchsorted(asked, h[place[token_backs]])
-        rows = [("D", chunk_id, -1, packed(doc_ids=chunk.doc_ids, known_ids=chunk.known_ids, held=chunk.held, tokens=chunk.lengths, known=add((c[ranks] > 0).astype(np.int64)), base=add(model.base(c)[ranks]), score=add(logp[place]), wait_doc=doc_of.astype(np.uint32), wait_for=waits.astype(np.uint32), asked_count=c[asked]))]
-        owned_h, owned_r = h[own], np.minimum(r[own], K)
-        given = np.unique(owned_h)
-        at = np.searchsorted(given, owned_h)
-        low = {f"r{k}": np.bincount(at[owned_r == k], minlength=len(given)) for k in range(1, K + 1)}
-        mass = np.bincount(at, p_word[w[own]], len(given))
-        ge, ae = bucket_edges(hashes[given], buckets), bucket_edges(hashes[asked], buckets)
+        p[seen] = (r[seen] - self.model.deltas[n - 1][np.minimum(r[seen], K + 1)]) / c[level.history[seen]]
+        p[back] *= weight_of(sums[at(back)], c[level.history[back]])
+        once = np.flatnonzero(unsure)[sums[at(unsure)] < 0]
+        p[once] = r[once] / (c[level.history[once]] + 1)
+        return p
+
+    def contributions(self, n: int, buckets: int, chunk_id: int) -> list[tuple]:
+        """Messages to the buckets of this order's histories: what owned n-grams give to their weights, and which weights are asked for."""
+        level, below, r, own = self.levels[n - 1], self.levels[n - 2], self.counts[n - 1], self.own[n - 1].astype(bool)
+        asked = self.asks(n)[2]
+        given, at = np.unique(level.history[own], return_inverse=True)
+        low = {f"r{k}": np.bincount(at[r[own] == k], minlength=len(given)) for k in range(1, K + 1)}
+        mass = np.bincount(at, self.probability[n - 2][level.shorter[own]], len(given))
+        ge, ae = np.searchsorted(given, below.edges).tolist(), np.searchsorted(asked, below.edges).tolist()
+        rows = []
         for b in range(buckets):
             g, a = slice(ge[b], ge[b + 1]), slice(ae[b], ae[b + 1])
             if g.stop > g.start or a.stop > a.start:
-                rows.append(("H", chunk_id, b, packed(given=stepped(hashes[given[g]]), mass=mass[g], asked=stepped(hashes[asked[a]]), **{k: x[g] for k, x in low.items()})))
-        return pa.Table.from_batches([messages(rows)])
+                rows.append((f"H{n}", chunk_id, b, packed(given=stepped(below.keys[given[g]]), mass=mass[g], asked=stepped(below.keys[asked[a]]), **{k: x[g] for k, x in low.items()})))
+        return rows
+
+
+def contribute(model: Model, n: int, buckets: int):
+    """For cogrouped applyInArrow over a chunk and its answers so far: messages about the histories of order n (kind Hn)."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        known = Known(model, Chunk(**unpacked(left["data"][0].as_py())), n, buckets, right)
+        return pa.Table.from_batches([messages(known.contributions(n, buckets, key[0].as_py()))])
+
+    return run
+
+
+def score_known(model: Model, order: int, buckets: int):
+    """The same at the highest order, with the partial scores of the chunk's documents (kind D) and what they wait for."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk_id, chunk = key[0].as_py(), Chunk(**unpacked(left["data"][0].as_py()))
+        known = Known(model, chunk, order, buckets, right)
+        c1, words = known.counts[0], known.levels[0].place
+        starts = np.concatenate([[0], np.cumsum(chunk.lengths)[:-1]])
+        add = lambda x: np.add.reduceat(x, starts)
+        logs, waits = np.log10(known.probability[0])[words] if order == 1 else np.empty(len(words)), {}
+        if order > 1:
+            for n in range(2, order):  # tokens too near the start for longer n-grams
+                near = (known.levels[n].place < 0) & (known.levels[n - 1].place >= 0)
+                logs[near] = np.log10(known.probability[n - 1])[known.levels[n - 1].place[near]]
+            if order > 2:
+                first = known.levels[1].place < 0
+                logs[first] = np.log10(known.probability[0])[words[first]]
+            level, r, c = known.levels[-1], known.counts[-1], known.counts[-2]
+            back, unsure, asked = known.asks(order)
+            p = known.probability[-1][level.shorter]
+            seen = r > 0
+            p[seen] = (r[seen] - model.deltas[-1][np.minimum(r[seen], K + 1)]) / c[level.history[seen]]
+            there = level.place >= 0
+            logs[there] = np.log10(p)[level.place[there]]
+            doc_of = np.repeat(np.arange(len(starts)), chunk.lengths)
+            for name, which in (("back", back), ("unsure", unsure)):
+                tokens = np.flatnonzero(there)[which[level.place[there]]]
+                waits[f"{name}_doc"] = doc_of[tokens].astype(np.uint32)
+                waits[f"{name}_for"] = np.searchsorted(asked, level.history[level.place[tokens]]).astype(np.uint32)
+            waits["asked_count"] = c[asked]
+        partial = packed(doc_ids=chunk.doc_ids, known_ids=chunk.known_ids, held=chunk.held, tokens=chunk.lengths, known=add((c1[words] > 0).astype(np.int64)), base=add(model.base(c1)[words]), score=add(logs), **waits)
+        return pa.Table.from_batches([messages([("D", chunk_id, -1, partial), *(known.contributions(order, buckets, chunk_id) if order > 1 else [])])])
 
     return run
 
 
-def weigh(model: Model):
-    """For applyInArrow over the messages about the histories of a bucket: what each chunk asked for, the weight times the history's count."""
+def weigh(model: Model, n: int):
+    """For applyInArrow over the messages about the histories of a bucket: to each chunk that asked, what weight_of needs (kind Wn)."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -305,10 +404,10 @@ def weigh(model: Model):
         parts = [unpacked(d) for _, d in rows]
         keys, inverse = np.unique(np.concatenate([np.cumsum(p["given"], dtype=np.uint64) for p in parts]), return_inverse=True)
         left, mass = np.zeros(len(keys)), np.zeros(len(keys))
-        np.add.at(left, inverse, np.concatenate([sum(model.pair_delta[k] * p[f"r{k}"] for k in range(1, K + 1)) for p in parts]))
+        np.add.at(left, inverse, np.concatenate([sum(model.deltas[n - 1][k] * p[f"r{k}"] for k in range(1, K + 1)) for p in parts]))
         np.add.at(mass, inverse, np.concatenate([p["mass"] for p in parts]))
-        weight = left / np.maximum(1 - mass, 1e-300)
-        return pa.Table.from_batches([messages([("A", chunk, bucket, packed(weight=weight[np.searchsorted(keys, np.cumsum(p["asked"], dtype=np.uint64))])) for (chunk, _), p in zip(rows, parts, strict=True) if len(p["asked"])])])
+        sums = np.where(left > 0, left, -1.0) / np.maximum(1 - mass, 1e-300)
+        return pa.Table.from_batches([messages([(f"W{n}", chunk, bucket, packed(sums=sums[np.searchsorted(keys, np.cumsum(p["asked"], dtype=np.uint64))])) for (chunk, _), p in zip(rows, parts, strict=True) if len(p["asked"])])])
 
     return run
 
@@ -322,41 +421,63 @@ def finish(model: Model):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         d = unpacked(left["data"][0].as_py())
         score = d["score"]
-        if len(d["wait_doc"]):
-            weights = np.concatenate([unpacked(x)["weight"] for _, x in sorted(zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True))])
-            score = score + np.bincount(d["wait_doc"], np.log10(weights / d["asked_count"])[d["wait_for"]], len(score))
+        if len(d.get("asked_count", ())):
+            sums, counts = np.concatenate([unpacked(x)["sums"] for _, x in sorted(zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True))]), d["asked_count"]
+            once = np.where(sums < 0, np.log10(counts / (counts + 1)), 0.0)
+            score = score + np.bincount(d["back_doc"], np.log10(weight_of(sums, counts))[d["back_for"]], len(score)) + np.bincount(d["unsure_doc"], once[d["unsure_for"]], len(score))
         ids = pa.array(d["doc_ids"], mask=~d["known_ids"])
         return pa.Table.from_arrays([ids, pa.array(d["held"]), pa.array(d["tokens"]), pa.array(d["known"]), pa.array(np.full(len(score), model.n, np.int64)), pa.array(d["base"]), pa.array(score)], schema=SCORES)
 
     return run
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets for the size of the table as the optimizer knows it."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(MIN_BUCKETS, min(-(-size // BUCKET_BYTES), 1 << 16))
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for the size of the texts as the optimizer knows it; where it knows nothing, they are measured."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= int(texts.sparkSession.conf.get("spark.sql.defaultSizeInBytes")):
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
+
+
+SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int = CHUNK_TOKENS, order: int = ORDER) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, texts = docs.sparkSession, own_columns(docs, ["doc_id", "text"])
-    buckets = buckets or bucket_count(docs)
+    buckets = buckets or bucket_count(texts)
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        """df by its keys; to as many tasks as there are buckets where Spark's own number is less."""
+        return df.repartition(parts, *keys) if parts == buckets else df
+
     chunks = Table(texts.mapInArrow(make_chunks(chunk_tokens), MESSAGE_SQL), "katz-chunks", "none")
-    sent = chunks.read().select("chunk", "data").mapInArrow(send_counts(buckets), MESSAGE_SQL)
-    counted = Table(sent.groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
+    sent = chunks.read().select("chunk", "data").mapInArrow(send_counts(order, buckets), MESSAGE_SQL)
+    counted = Table(dealt(sent, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
     del sent
     release(spark)
     stats = {r["kind"]: r.asDict() for r in counted.read().filter("chunk = -1").groupBy("kind").agg(*[F.sum(s).alias(s) for s in STATS]).collect()}
-    empty = dict.fromkeys(STATS, 0)
-    model = Model(stats.get("V", empty), stats.get("B", empty))
-    answers = counted.read().filter("chunk >= 0").select("kind", "chunk", "bucket", "data")
-    partial = Table(chunks.read().select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_seen(model, buckets), MESSAGE_SQL), "katz-partial", "none")
-    for t in (chunks, counted):
-        t.drop()
-    release(spark)
-    weights = Table(partial.read().filter("kind = 'H'").groupBy("bucket").applyInArrow(weigh(model), MESSAGE_SQL), "katz-weights", "none")
-    done = partial.read().filter("kind = 'D'").groupBy("chunk").cogroup(weights.read().groupBy("chunk")).applyInArrow(finish(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = Model([stats.get(f"{n}", dict.fromkeys(STATS, 0)) for n in range(1, order + 1)])
+    texts_of = dealt(chunks.read().select("chunk", "data"), "chunk").groupBy("chunk")
+    answers, weights, used = counted.read().filter("chunk >= 0").select("kind", "chunk", "bucket", "data"), None, [chunks, counted]
+    for n in range(2, order + 1):
+        step = contribute(model, n, buckets) if n < order else score_known(model, order, buckets)
+        needed = answers.filter(F.col("kind").isin([*map(str, range(1, n + 1)), *(f"W{m}" for m in range(2, n))]))
+        told = Table(texts_of.cogroup(dealt(needed, "chunk").groupBy("chunk")).applyInArrow(step, MESSAGE_SQL), "katz-partial", "none")
+        if n == order:
+            for t in used:
+                t.drop()
+            used = []
+        release(spark)
+        weights = Table(dealt(told.read().filter(f"kind = 'H{n}'"), "bucket").groupBy("bucket").applyInArrow(weigh(model, n), MESSAGE_SQL), "katz-weights", "none")
+        used += [told, weights]
+        if n < order:
+            told.drop()
+            used.remove(told)
+            answers = answers.union(weights.read())
+    done = told.read().filter("kind = 'D'").groupBy("chunk").cogroup(weights.read().groupBy("chunk")).applyInArrow(finish(model), SCORES_SQL)
     scores = Table(done, "katz-scores").read()
-    for t in (partial, weights):
+    for t in used:
         t.drop()
     return scores

@@ -10,37 +10,47 @@ import pytest
 from keepsight.llm.katz import K, deltas, katz_scores
 
 
-def plain(docs):
-    tokens = {k: [*(t or "").encode().lower().split(), None] for k, (_, t) in enumerate(docs)}
+def plain(docs, order=3):
+    """Katz's recursion word by word, over counters of tuples."""
+    tokens = {k: [None, *(t or "").encode().lower().split(), None] for k, (_, t) in enumerate(docs)}
     held = {k: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for k, (i, _) in enumerate(docs)}
-    words, pairs = Counter(), Counter()
+    counts = {n: Counter() for n in range(1, order + 1)}
     for k, ts in tokens.items():
         if not held[k]:
-            words.update(ts)
-            pairs.update(zip([None, *ts], ts))
-    n, v = sum(words.values()), len(words)
-    cc = lambda c: [sum(x == r for x in c.values()) for r in range(1, K + 2)]
-    d1, d2 = deltas(cc(words)), deltas(cc(pairs))
-    unknown = sum(d1[min(c, K)] for c in words.values()) / n if n else 1.0
-    p1 = lambda w: (words[w] - d1[min(words[w], K)]) / n if words[w] else unknown
+            counts[1].update((w,) for w in ts[1:])
+            for n in range(2, order + 1):
+                counts[n].update(tuple(ts[i : i + n]) for i in range(len(ts) - n + 1))
+    words = Counter({w: c for (w,), c in counts[1].items()})
+    total = sum(words.values())
+    taken = {n: deltas([sum(x == r for x in c.values()) for r in range(1, K + 2)]) for n, c in counts.items()}
+    discounted = lambda n, c: c - (taken[n][c] if c <= K else 0)
+    left = sum(taken[1][c] for c in words.values() if c <= K)
     after = defaultdict(list)
-    for h, w in pairs:
-        after[h].append(w)
-
-    def p2(h, w):
-        if pairs[h, w]:
-            return (pairs[h, w] - d2[min(pairs[h, w], K)]) / words[h]
-        if not words[h]:
-            return p1(w)
-        left = sum(d2[min(pairs[h, x], K)] for x in after[h]) / words[h]
-        return left / (1 - sum(map(p1, after[h]))) * p1(w)
+    for n in range(2, order + 1):
+        for g in counts[n]:
+            after[g[:-1]].append(g[-1])
+
+    def p(history, w):
+        n = len(history) + 1
+        if n == 1:
+            if left:
+                return discounted(1, words[w]) / total if words[w] else left / total
+            return (words[w] or 1) / (total + 1)
+        seen = sum(counts[n][(*history, x)] for x in after[history])
+        if not seen:
+            return p(history[1:], w)
+        rest = sum(counts[n][(*history, x)] - discounted(n, counts[n][(*history, x)]) for x in after[history])
+        more = 0 if rest else 1
+        if c := counts[n][(*history, w)]:
+            return discounted(n, c) / (seen + more)
+        return (rest or 1) / (seen + more) / (1 - sum(p(history[1:], x) for x in after[history])) * p(history[1:], w)
 
     rows = []
     for k, (i, _) in enumerate(docs):
         ts = tokens[k]
-        base = sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ts)
-        rows.append((i, held[k], len(ts), sum(words[w] > 0 for w in ts), n, base, sum(math.log10(p2(h, w)) for h, w in zip([None, *ts], ts))))
-    return rows, words, p1, p2, unknown
+        base = sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in ts[1:])
+        rows.append((i, held[k], len(ts) - 1, sum(words[w] > 0 for w in ts[1:]), total, base, sum(math.log10(p(tuple(ts[max(0, j - order + 1) : j]), ts[j])) for j in range(1, len(ts)))))
+    return rows, words, p, after
 
 
 def corpus(n, seed=3):
@@ -56,23 +66,32 @@ def corpus(n, seed=3):
     return docs + [(n, None), (n + 1, " \n"), (None, "W1 w2 w3"), (n + 2, "w1 w1 w1"), (n + 2, "w1 w1 w1"), (n + 3, "Ünknown ünknown " * 30), (n + 4, "the " * 5000)]
 
 
-@pytest.mark.parametrize("docs", [corpus(150), [(0, "a b"), (1, "b a c")], [(9, "only held"), (9, None)]])
-def test_scores(spark, docs):
-    want = plain(docs)[0]
+FREQUENT = [(i, "a b a c " * 9) for i in range(10)] + [(11, "b b d"), (2, "a c a d")]  # every count lies above the threshold
+
+
+@pytest.mark.parametrize("docs", [corpus(60), [(0, "a b"), (1, "b a c")], [(9, "only held"), (9, None)], FREQUENT])
+@pytest.mark.parametrize("order", [3, 2, 4])
+def test_scores(spark, docs, order):
+    want = plain(docs, order)[0]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, kind string, bucket int").repartition(3)
-    for options in ({"buckets": 3, "chunk_tokens": 500}, {}):
-        got = katz_scores(df, **options).collect()
-        key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
-        assert len(got) == len(want)
-        for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
-            assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+    got = katz_scores(df, buckets=3, chunk_tokens=500, order=order).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9, abs=1e-9)
+
+
+def test_scores_in_one_chunk(spark):
+    docs = corpus(60)
+    got = katz_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(r[6] for r in plain(docs)[0]), rel=1e-9, abs=1e-9)
 
 
-def test_probabilities_add_up_to_one():
-    _, words, p1, p2, unknown = plain(corpus(150))
-    assert sum(map(p1, words)) + unknown == pytest.approx(1)
-    for h in [None, b"w1", b"w2", b"the", *list(words)[:40]]:
-        assert sum(p2(h, w) for w in words) + p2(h, b"never seen") == pytest.approx(1)
+@pytest.mark.parametrize("docs", [corpus(60), FREQUENT])
+def test_probabilities_add_up_to_one(docs):
+    _, words, p, after = plain(docs)
+    for h in [(), *list(after)[:25], (b"w1", b"never"), (b"never",)]:
+        assert sum(p(h, w) for w in words) + p(h, b"never seen") == pytest.approx(1)
 
 
 def test_good_turing_discounts():
@@ -85,7 +104,7 @@ def test_good_turing_discounts():
 def test_copies_leave_good_turing_discounts(n):
     d = deltas(n)
     left = [r - d[r] for r in range(1, K + 1)]
-    assert d[0] == 0 and all(0 < d[r] < r for r in range(1, K + 1)) and left == sorted(left) and len(set(d[1:])) == K
+    assert d[0] == d[K + 1] == 0 and all(0 < d[r] < r for r in range(1, K + 1)) and left == sorted(left) and len(set(d[1:-1])) == K
     x, y = [math.log(r) for r in range(1, K + 2)], [math.log(c) for c in n]
     mx, my = sum(x) / len(x), sum(y) / len(y)
     slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
@@ -102,7 +121,7 @@ def test_copied_documents_are_scored_with_good_turing(spark):
     rows, words, *_ = plain(docs)
     n = [sum(x == r for x in words.values()) for r in range(1, K + 2)]
     assert 3 * n[2] > 2 * n[1]  # 2* is above 2: the plain counts of counts give no valid discount
-    assert len(set(deltas(n)[1:])) == K and all(0 < deltas(n)[r] < r for r in range(1, K + 1))
+    assert len(set(deltas(n)[1:-1])) == K and all(0 < deltas(n)[r] < r for r in range(1, K + 1))
     got = katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), buckets=3, chunk_tokens=500).collect()
     assert sorted(r["score"] for r in got) == pytest.approx(sorted(r[6] for r in rows), rel=1e-9, abs=1e-9)
 
