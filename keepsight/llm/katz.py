@@ -431,10 +431,14 @@ def finish(model: Model):
     return run
 
 
+#: Sizes from here on mean that the optimizer knows none.
+UNKNOWN_SIZE = 1 << 60
+
+
 def bucket_count(texts: DataFrame) -> int:
     """Buckets for the size of the texts as the optimizer knows it; where it knows nothing, they are measured."""
     size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= int(texts.sparkSession.conf.get("spark.sql.defaultSizeInBytes")):
+    if size >= UNKNOWN_SIZE:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
 
