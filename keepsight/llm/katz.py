@@ -65,7 +65,9 @@ from keepsight.llm.tables import Table, own_columns, release
 FOLDS, HELD_FOLD, K, ORDER = 7, 2, 5, 3
 #: Sizes for workers of about 1 GB: tokens of a chunk, least number of buckets, and bytes of input for each. Messages are as
 #: many as chunks times buckets, so on larger workers raise both sizes alike: ten times each makes a hundredth of the messages.
-CHUNK_TOKENS, MIN_BUCKETS, BUCKET_BYTES = 2_000_000, 64, 16 << 20
+CHUNK_TOKENS, MIN_BUCKETS, BUCKET_BYTES = 1_000_000, 64, 16 << 20
+#: Unit of the masses that chunks send, which are numbers from 0 to 1.
+MASS_BITS = 52
 END = b"\n"  # no word can be this; also the history of a first word
 
 
@@ -229,15 +231,17 @@ def make_chunks(chunk_tokens: int):
     return run
 
 
-def send_counts(order: int, buckets: int):
-    """For mapInArrow over chunks: their n-grams, with counts in training text, for each bucket; kind is n."""
+def send_counts(orders: list[int], buckets: int):
+    """For mapInArrow over chunks: their n-grams of these orders, with counts in training text, for each bucket; kind is n."""
 
     def run(batches):
         for batch in batches:
             for chunk_id, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
                 chunk = Chunk(**unpacked(data.as_py()))
                 train = chunk.trained()
-                for n, level in enumerate(chunk.levels(order, buckets), 1):
+                levels = chunk.levels(orders[-1], buckets)
+                for n in orders:
+                    level = levels[n - 1]
                     counts, edges = level.counts(train), level.edges.tolist()
                     yield messages([(f"{n}", chunk_id, b, packed(k=stepped(level.keys[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
 
@@ -345,7 +349,7 @@ class Known:
         for b in range(buckets):
             g, a = slice(ge[b], ge[b + 1]), slice(ae[b], ae[b + 1])
             if g.stop > g.start or a.stop > a.start:
-                rows.append((f"H{n}", chunk_id, b, packed(given=stepped(below.keys[given[g]]), mass=mass[g], asked=stepped(below.keys[asked[a]]), **{k: x[g] for k, x in low.items()})))
+                rows.append((f"H{n}", chunk_id, b, packed(given=stepped(below.keys[given[g]]), mass=np.rint(mass[g] * (1 << MASS_BITS)).astype(np.int64), asked=stepped(below.keys[asked[a]]), **{k: x[g] for k, x in low.items()})))
         return rows
 
 
@@ -403,10 +407,10 @@ def weigh(model: Model, n: int):
         rows = sorted(zip(table["chunk"].to_pylist(), table["data"].to_pylist(), strict=True))
         parts = [unpacked(d) for _, d in rows]
         keys, inverse = np.unique(np.concatenate([np.cumsum(p["given"], dtype=np.uint64) for p in parts]), return_inverse=True)
-        left, mass = np.zeros(len(keys)), np.zeros(len(keys))
+        left, mass = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         np.add.at(left, inverse, np.concatenate([sum(model.deltas[n - 1][k] * p[f"r{k}"] for k in range(1, K + 1)) for p in parts]))
         np.add.at(mass, inverse, np.concatenate([p["mass"] for p in parts]))
-        sums = np.where(left > 0, left, -1.0) / np.maximum(1 - mass, 1e-300)
+        sums = np.where(left > 0, left, -1.0) / np.maximum(1 - mass / (1 << MASS_BITS), 1e-300)
         return pa.Table.from_batches([messages([(f"W{n}", chunk, bucket, packed(sums=sums[np.searchsorted(keys, np.cumsum(p["asked"], dtype=np.uint64))])) for (chunk, _), p in zip(rows, parts, strict=True) if len(p["asked"])])])
 
     return run
@@ -457,14 +461,20 @@ def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int =
         return df.repartition(parts, *keys) if parts == buckets else df
 
     chunks = Table(texts.mapInArrow(make_chunks(chunk_tokens), MESSAGE_SQL), "katz-chunks", "none")
-    sent = chunks.read().select("chunk", "data").mapInArrow(send_counts(order, buckets), MESSAGE_SQL)
-    counted = Table(dealt(sent, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
-    del sent
-    release(spark)
-    stats = {r["kind"]: r.asDict() for r in counted.read().filter("chunk = -1").groupBy("kind").agg(*[F.sum(s).alias(s) for s in STATS]).collect()}
+    used = [chunks]
+    # One exchange after another, so that only one lies on the disks at a time.
+    counted = None
+    for orders in [list(range(1, min(order, 2) + 1)), *([n] for n in range(3, order + 1))]:
+        sent = chunks.read().select("chunk", "data").mapInArrow(send_counts(orders, buckets), MESSAGE_SQL)
+        some = Table(dealt(sent, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(add_counts, MESSAGE_SQL + "".join(f", {s} long" for s in STATS)), "katz-answers", "none")
+        used.append(some)
+        counted = some.read() if counted is None else counted.union(some.read())
+        del sent
+        release(spark)
+    stats = {r["kind"]: r.asDict() for r in counted.filter("chunk = -1").groupBy("kind").agg(*[F.sum(s).alias(s) for s in STATS]).collect()}
     model = Model([stats.get(f"{n}", dict.fromkeys(STATS, 0)) for n in range(1, order + 1)])
     texts_of = dealt(chunks.read().select("chunk", "data"), "chunk").groupBy("chunk")
-    answers, weights, used = counted.read().filter("chunk >= 0").select("kind", "chunk", "bucket", "data"), None, [chunks, counted]
+    answers, weights = counted.filter("chunk >= 0").select("kind", "chunk", "bucket", "data"), None
     for n in range(2, order + 1):
         step = contribute(model, n, buckets) if n < order else score_known(model, order, buckets)
         needed = answers.filter(F.col("kind").isin([*map(str, range(1, n + 1)), *(f"W{m}" for m in range(2, n))]))
