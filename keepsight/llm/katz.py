@@ -242,8 +242,8 @@ def send_counts(orders: list[int], buckets: int):
                 levels = chunk.levels(orders[-1], buckets)
                 for n in orders:
                     level = levels[n - 1]
-                    counts, edges = level.counts(train), level.edges.tolist()
-                    yield messages([(f"{n}", chunk_id, b, packed(k=stepped(level.keys[s:e]), n=counts[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
+                    counts, held, edges = level.counts(train), level.counts(~train) > 0, level.edges.tolist()
+                    yield messages([(f"{n}", chunk_id, b, packed(k=stepped(level.keys[s:e]), n=counts[s:e], held=held[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:])) if e > s])
 
     return run
 
@@ -252,7 +252,12 @@ STATS = ["n", "v", *(f"r{r}" for r in range(1, K + 2))]
 
 
 def add_counts(table: pa.Table) -> pa.Table:
-    """For applyInArrow over the messages of a bucket: counts for each chunk, which pairs it owns, and counts of counts (chunk -1)."""
+    """For applyInArrow over the messages of a bucket: counts for each chunk, which n-grams it owns, which may be asked for as histories, and counts of counts (chunk -1).
+
+    Only histories that held-out documents have can back off, as every n-gram of
+    training text is known; and only those of more than k occurrences may count
+    once more.
+    """
     kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
     rows = sorted(zip(table["chunk"].to_pylist(), table["data"].to_pylist(), strict=True))
     parts = [unpacked(d) for _, d in rows]
@@ -260,12 +265,14 @@ def add_counts(table: pa.Table) -> pa.Table:
     unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     total = np.zeros(len(unique), np.int64)
     np.add.at(total, inverse, np.concatenate([p["n"] for p in parts]))
+    held = np.zeros(len(unique), bool)
+    held[inverse[np.concatenate([p["held"] for p in parts])]] = True
     owner = np.zeros(len(keys), bool)
     owner[first] = total > 0
     ends = np.cumsum([len(p["k"]) for p in parts]).tolist()
     out = {"kind": [], "chunk": [], "bucket": [], "data": [], **{s: [] for s in STATS}}
     for (chunk, _), s, e in zip(rows, [0, *ends[:-1]], ends, strict=True):
-        data = packed(n=total[inverse[s:e]], own=owner[s:e])
+        data = packed(n=total[inverse[s:e]], own=owner[s:e], wanted=(held | (total > K))[inverse[s:e]])
         for name, value in zip(out, (kind, chunk, bucket, data, *[0] * len(STATS)), strict=True):
             out[name].append(value)
     stats = [int(total.sum()), int((total > 0).sum()), *((total == r).sum().item() for r in range(1, K + 2))]
@@ -308,7 +315,7 @@ class Known:
             found.setdefault(kind, []).append((bucket, unpacked(data)))
         join = lambda kind, field: np.concatenate([x[field] for _, x in sorted(found[kind], key=lambda x: x[0])]) if kind in found else np.empty(0, np.int64)
         self.counts = [join(f"{n}", "n") for n in range(1, order + 1)]
-        self.own = [join(f"{n}", "own") for n in range(1, order + 1)]
+        self.own, self.wanted = ([join(f"{n}", x).astype(bool) for n in range(1, order + 1)] for x in ("own", "wanted"))
         self.sums = {n: join(f"W{n}", "sums") for n in range(2, order + 1) if f"W{n}" in found}
         self.probability = [model.word_probability(self.counts[0])]
         for n in range(2, order):
@@ -339,7 +346,8 @@ class Known:
 
     def contributions(self, n: int, buckets: int, chunk_id: int) -> list[tuple]:
         """Messages to the buckets of this order's histories: what owned n-grams give to their weights, and which weights are asked for."""
-        level, below, r, own = self.levels[n - 1], self.levels[n - 2], self.counts[n - 1], self.own[n - 1].astype(bool)
+        level, below, r = self.levels[n - 1], self.levels[n - 2], self.counts[n - 1]
+        own = self.own[n - 1] & self.wanted[n - 2][level.history]
         asked = self.asks(n)[2]
         given, at = np.unique(level.history[own], return_inverse=True)
         low = {f"r{k}": np.bincount(at[r[own] == k], minlength=len(given)) for k in range(1, K + 1)}
