@@ -153,10 +153,10 @@ def completions(counts: dict[int, int], room: int, width: int | None = WIDTH) ->
                     path.append((left - k * n, i + 1, 0, held + (n,) * k))
 
     found: list[Filling] = []
+    tries = 0
     for target in range(room, -1, -1):
         if not reach[-1] >> target & 1:
             continue
-        tries = 0
         for x in fillings(target, 0):
             if width is not None and (len(found) >= width or tries >= 4 * width):
                 return found, False
