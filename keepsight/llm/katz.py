@@ -66,6 +66,8 @@ FOLDS, HELD_FOLD, K, ORDER = 7, 2, 5, 3
 #: Sizes for workers of about 1 GB: tokens of a chunk, least number of buckets, and bytes of input for each. Messages are as
 #: many as chunks times buckets, so on larger workers raise both sizes alike: ten times each makes a hundredth of the messages.
 CHUNK_TOKENS, MIN_BUCKETS, BUCKET_BYTES = 1_000_000, 64, 16 << 20
+#: Parts of the chunks that get their answers one after another, so that no exchange holds all chunks and answers a second time.
+WAVES = 2
 #: Unit of the masses that chunks send, which are numbers from 0 to 1.
 MASS_BITS = 52
 END = b"\n"  # no word can be this; also the history of a first word
@@ -455,10 +457,17 @@ def bucket_count(texts: DataFrame) -> int:
     return max(MIN_BUCKETS, -(-size // BUCKET_BYTES))
 
 
+def together(tables: list[Table]) -> DataFrame:
+    found = tables[0].read()
+    for t in tables[1:]:
+        found = found.union(t.read())
+    return found
+
+
 SCORES_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int = CHUNK_TOKENS, order: int = ORDER) -> DataFrame:
+def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int = CHUNK_TOKENS, order: int = ORDER, waves: int = WAVES) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, texts = docs.sparkSession, own_columns(docs, ["doc_id", "text"])
     buckets = buckets or bucket_count(texts)
@@ -481,25 +490,32 @@ def katz_scores(docs: DataFrame, buckets: int | None = None, chunk_tokens: int =
         release(spark)
     stats = {r["kind"]: r.asDict() for r in counted.filter("chunk = -1").groupBy("kind").agg(*[F.sum(s).alias(s) for s in STATS]).collect()}
     model = Model([stats.get(f"{n}", dict.fromkeys(STATS, 0)) for n in range(1, order + 1)])
-    texts_of = dealt(chunks.read().select("chunk", "data"), "chunk").groupBy("chunk")
-    answers, weights = counted.filter("chunk >= 0").select("kind", "chunk", "bucket", "data"), None
+    texts_of, answers, weights = chunks.read().select("chunk", "data"), counted.filter("chunk >= 0").select("kind", "chunk", "bucket", "data"), None
     for n in range(2, order + 1):
         step = contribute(model, n, buckets) if n < order else score_known(model, order, buckets)
         needed = answers.filter(F.col("kind").isin([*map(str, range(1, n + 1)), *(f"W{m}" for m in range(2, n))]))
-        told = Table(texts_of.cogroup(dealt(needed, "chunk").groupBy("chunk")).applyInArrow(step, MESSAGE_SQL), "katz-partial", "none")
+        told = []
+        for wave in range(waves):
+            # Not the hash that deals rows to tasks, or a wave would leave some of them empty.
+            of_wave = F.expr(f"pmod(xxhash64(chunk), {waves}) = {wave}")
+            left, right = (dealt(x.filter(of_wave), "chunk").groupBy("chunk") for x in (texts_of, needed))
+            told.append(Table(left.cogroup(right).applyInArrow(step, MESSAGE_SQL), "katz-partial", "none"))
+            del left, right
+            release(spark)
         if n == order:
             for t in used:
                 t.drop()
             used = []
-        release(spark)
-        weights = Table(dealt(told.read().filter(f"kind = 'H{n}'"), "bucket").groupBy("bucket").applyInArrow(weigh(model, n), MESSAGE_SQL), "katz-weights", "none")
-        used += [told, weights]
+        sent = together(told)
+        weights = Table(dealt(sent.filter(f"kind = 'H{n}'"), "bucket").groupBy("bucket").applyInArrow(weigh(model, n), MESSAGE_SQL), "katz-weights", "none")
+        used.append(weights)
         if n < order:
-            told.drop()
-            used.remove(told)
+            for t in told:
+                t.drop()
             answers = answers.union(weights.read())
-    done = told.read().filter("kind = 'D'").groupBy("chunk").cogroup(weights.read().groupBy("chunk")).applyInArrow(finish(model), SCORES_SQL)
+    done = sent.filter("kind = 'D'").groupBy("chunk").cogroup(weights.read().groupBy("chunk")).applyInArrow(finish(model), SCORES_SQL)
     scores = Table(done, "katz-scores").read()
+    used += told
     for t in used:
         t.drop()
     return scores
