@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsight.llm import licences
+from keepsight.llm import filteraudit, licences
 from keepsight.llm.exactdedup import exact_dedup
 from keepsight.llm.katz import katz_scores
 from keepsight.llm.mainhtml import extract_main_text
@@ -59,6 +59,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source", "text_key")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -134,8 +138,8 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_main_text, op4_quality_rules, op5_pack_documents, op6_warc_bundles, op7_katz_scores, op8_token_counts, op9_exact_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_main_text, op4_quality_rules, op5_pack_documents, op6_warc_bundles, op7_katz_scores, op8_token_counts, op9_exact_dedup, op10_mix_sources, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licences.oracle(), "op4_quality_rules": OP4_SQL, "op6_warc_bundles": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op2_license_scan": licences.oracle(), "op4_quality_rules": OP4_SQL, "op6_warc_bundles": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_filter_audit": filteraudit.SQL}
