@@ -205,7 +205,7 @@ def upper_nodes(tops: DataFrame, above: DataFrame) -> DataFrame:
 def prefix_trie(conversations: DataFrame, most: int = MAX_SEQUENCES) -> DataFrame:
     """A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     small, above = subtrees(sequences(conversations), most)
-    buckets = small.count() // (2 * most) + 1
+    buckets = max(small.count() // (2 * most) + 1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     built = small.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(tries, f"{NODES}, key string, path array<string>, path_sizes array<long>")
     nodes = Table(built, "trie-nodes").read()
     tops = nodes.filter("key is not null")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepsight.llm import filteraudit, licences, prefixtrie
+from keepsight.llm import filteraudit, licences, prefixtrie, suffixdedup
 from keepsight.llm.exactdedup import exact_dedup
 from keepsight.llm.katz import katz_scores
 from keepsight.llm.mainhtml import extract_main_text
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -142,8 +146,8 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_main_text, op4_quality_rules, op5_pack_documents, op6_warc_bundles, op7_katz_scores, op8_token_counts, op9_exact_dedup, op10_mix_sources, op11_filter_audit, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_main_text, op4_quality_rules, op5_pack_documents, op6_warc_bundles, op7_katz_scores, op8_token_counts, op9_exact_dedup, op10_mix_sources, op11_filter_audit, op12_suffix_dedup, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licences.oracle(), "op4_quality_rules": OP4_SQL, "op6_warc_bundles": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_filter_audit": filteraudit.SQL, "op13_prefix_trie": prefixtrie.SQL}
+    return {"op2_license_scan": licences.oracle(), "op4_quality_rules": OP4_SQL, "op6_warc_bundles": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_mix_sources": OP10_SQL, "op11_filter_audit": filteraudit.SQL, "op12_suffix_dedup": suffixdedup.SQL, "op13_prefix_trie": prefixtrie.SQL}
