@@ -1,7 +1,8 @@
 """Temporal, interval and spatial joins, as equi-joins and windows.
 
-As-of joins are a union and one window pass, linear in their input, however many
-rows share a key range. Band joins go through buckets of the tolerance, so each
+As-of joins are a union and one window pass, linear in their input; a key that is
+too long for a task is cut into ranges of time, with a carried row across them.
+Band joins go through buckets of the tolerance, so each
 row meets the rows of two or three buckets and never all of a key.
 """
 
@@ -10,22 +11,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsight.functions.text import python_format
+from keepsight.operators.ranges import Ranges, before, inside, with_summary
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], max_age: float | None = None, forward: bool = False) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], max_age: float | None = None, forward: bool = False, tie: str | None = None, first: bool = True, ranges: Ranges | None = None) -> DataFrame:
     """left and the latest row of right at or before its time (forward: the earliest at or after), as <value>.
 
-    Of right rows of one time the last by their values wins. Without a match, or
-    with one older than max_age, values are null.
+    Of right rows of one time the first by `tie` wins, or the last where first is
+    false; without a tie column, the first or last by their values. Without a
+    match, or with one older than max_age, values are null; so are those of a
+    left row without a time. ranges cut a key that is too long for one task: the
+    last row of each range is carried to the ranges after it.
     """
     sign = -1 if forward else 1
-    l = left.withColumns({"_t": sign * F.col(left_time), "_side": F.lit(1), "_v": F.lit(None)})  # noqa: E741
-    pick = F.struct(F.col(right_time).alias("_rt"), *values)
-    r = right.select(*keys, (sign * F.col(right_time)).alias("_t"), F.lit(0).alias("_side"), pick.alias("_v"))
-    both = l.drop("_v").unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    fresh = F.lit(True) if max_age is None else F.abs(F.col(left_time) - F.col("_last._rt")) <= max_age
-    return found.select(*left.columns, *[F.when(fresh, F.col("_last")[v]).alias(v) for v in values])
+    listed = [tie] if tie else values
+    # The row that wins is the last one before the left row.
+    turn = F.desc_nulls_first if first else F.asc_nulls_last
+    number = (lambda t: sign * ranges(t)) if ranges else lambda t: F.lit(0)
+    l = left.withColumns({"_t": sign * F.col(left_time), "_side": F.lit(1), "_r": number(F.col(left_time))})  # noqa: E741
+    r = right.filter(F.col(right_time).isNotNull()).select(
+        *keys, (sign * F.col(right_time)).alias("_t"), F.lit(0).alias("_side"), number(F.col(right_time)).alias("_r"), F.struct(F.col(right_time).alias("_rt"), *values).alias("_v"), F.struct(*listed).alias("_tie")
+    )
+    both = l.unionByName(r, allowMissingColumns=True)
+    w = inside(keys).orderBy("_t", "_side", turn("_tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("_here", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
+    if ranges:
+        pick = F.min_by if first else F.max_by
+        latest = r.groupBy(*keys, "_r", "_t").agg(pick("_v", "_tie").alias("_v")).groupBy(*keys, "_r").agg(F.max_by("_v", "_t").alias("_v"))
+        spans = l.select(*keys, "_r").distinct().unionByName(latest, allowMissingColumns=True).groupBy(*keys, "_r").agg(F.first("_v", ignorenulls=True).alias("_v"))
+        carried = spans.select(*keys, "_r", F.last("_v", ignorenulls=True).over(before(keys)).alias("_carried"))
+        here = with_summary(here, carried, keys).withColumn("_here", F.coalesce("_here", "_carried"))
+    fresh = F.col(left_time).isNotNull() if max_age is None else F.abs(F.col(left_time) - F.col("_here._rt")) <= max_age
+    return here.select(*[F.col(c) for c in left.columns], *[F.when(fresh, F.col("_here")[v]).alias(v) for v in values])
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance: float) -> DataFrame:
@@ -43,11 +61,17 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: li
     return band_pairs(left, right, keys, left_time, right_time, tolerance).groupBy(*[F.col(f"l.{c}").alias(c) for c in left_id]).agg(best.alias("_n")).select(*left_id, "_n.*")
 
 
-def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], tie: str) -> DataFrame:
-    """left with the last right row at or before its time and the first at or after it: before_time, before_<value>, after_time, after_<value>."""
-    r = right.select(*keys, F.col(time).alias("_time"), *values, tie)
-    back = asof_join(left, r.withColumns({"before_time": F.col("_time"), **{f"before_{v}": F.col(v) for v in values}}), keys, time, "_time", ["before_time", *[f"before_{v}" for v in values]])
-    return asof_join(back, r.withColumns({"after_time": F.col("_time"), **{f"after_{v}": F.col(v) for v in values}}), keys, time, "_time", ["after_time", *[f"after_{v}" for v in values]], forward=True)
+def bracket_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], tie: str, ranges: Ranges | None = None) -> DataFrame:
+    """left with the last right row at or before its time and the first at or after it: before_time, before_<value>, after_time, after_<value>.
+
+    Of rows of one time the last by `tie` is before, and the first is after.
+    """
+    r = right.select(*keys, F.col(time).alias("_time"), *values, F.col(tie).alias("_listed"))
+    out = left
+    for side, forward in (("before", False), ("after", True)):
+        named = r.withColumns({f"{side}_time": F.col("_time"), **{f"{side}_{v}": F.col(v) for v in values}})
+        out = asof_join(out, named, keys, time, "_time", [f"{side}_time", *[f"{side}_{v}" for v in values]], forward=forward, tie="_listed", first=forward, ranges=ranges)
+    return out
 
 
 def interpolated(bracketed: DataFrame, time: str, value: str, max_gap: float = 12.0) -> DataFrame:
@@ -59,8 +83,21 @@ def interpolated(bracketed: DataFrame, time: str, value: str, max_gap: float = 1
     return bracketed.withColumns({value: at, "how": how})
 
 
-def closest_approach(a: DataFrame, b: DataFrame, keys: list[str], pair: list[str], time: str, pos: str, apart: Column) -> DataFrame:
-    """For each pair of tracks, apart at the rows nearest in time (first of a, then of b, on ties).
+def provenance() -> Column:
+    """What an interpolated position is known from, as a phrase; over the result of interpolated()."""
+    at = lambda c: F.concat(python_format(".1f")(c), F.lit(" s"))
+    t0, t1 = F.col("before_time"), F.col("after_time")
+    return (
+        F.when(F.col("how") == "observed", F.concat(F.lit("seen at "), at(t0)))
+        .when(F.col("how") == "interpolated", F.concat(F.lit("between the views at "), at(t0), F.lit(" and "), at(t1)))
+        .when(F.col("how") == "nearest", F.concat(F.lit("the nearer view of those at "), at(t0), F.lit(" and "), at(t1), F.lit(", too far apart to interpolate")))
+        .when(F.col("how") == "before", F.concat(F.lit("last seen at "), at(t0), F.lit(", not seen since")))
+        .when(F.col("how") == "after", F.concat(F.lit("first seen at "), at(t1), F.lit(", after the question")))
+    )
+
+
+def closest_approach(a: DataFrame, b: DataFrame, keys: list[str], pair: list[str], time: str, pos: str, apart: Column, ranges: Ranges | None = None) -> DataFrame:
+    """For each pair of tracks, apart at the rows nearest in time (first of a, then of b by pos, on ties).
 
     a and b have the keys that say which tracks are compared. Each row of a
     meets its neighbours in time only, before and after.
@@ -68,7 +105,8 @@ def closest_approach(a: DataFrame, b: DataFrame, keys: list[str], pair: list[str
     payload = [c for c in b.columns if c not in keys]
     right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in payload])
     values = [f"b_{c}" for c in payload]
-    both = asof_join(a, right, keys, time, f"b_{time}", values).unionByName(asof_join(a, right, keys, time, f"b_{time}", values, forward=True)).filter(F.col(f"b_{time}").isNotNull())
+    sides = [asof_join(a, right, keys, time, f"b_{time}", values, forward=forward, tie=f"b_{pos}", ranges=ranges) for forward in (False, True)]
+    both = sides[0].unionByName(sides[1]).filter(F.col(f"b_{time}").isNotNull())
     return both.groupBy(*pair).agg(F.min_by(apart, F.struct(F.abs(F.col(time) - F.col(f"b_{time}")), F.col(pos), F.col(f"b_{pos}"))).alias("distance"))
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsight.operators.ranges import Ranges
 from keepsight.operators.windows import first_appearance, label_islands, majority_filter, top_k
 
 
-def visits(frames: DataFrame, keys: list[str], time: str, label: str, half: int = 1) -> DataFrame:
-    """Visits (label, t0, t1, n_frames, place_id) of frames in time order, after smoothing."""
-    smooth = label_islands(majority_filter(frames, keys, [time], label, half), keys, [time], label, "visit")
+def visits(frames: DataFrame, keys: list[str], time: str, label: str, half: int = 1, ranges: Ranges | None = None) -> DataFrame:
+    """Visits (label, t0, t1, n_frames, place_id) of frames in time order, after smoothing; ranges of time cut a recording that is too long for one task."""
+    smooth = label_islands(majority_filter(frames, keys, [time], label, half, ranges), keys, [time], label, "visit", ranges)
     v = smooth.groupBy(*keys, "visit", label).agg(F.min(time).alias("t0"), F.max(time).alias("t1"), F.count("*").alias("n_frames"))
     return first_appearance(v, keys, label, "t0", "place_id")
 

@@ -20,21 +20,21 @@ def without_summaries(objects: DataFrame, until: str) -> DataFrame:
     return objects.withColumn("summary", F.when(F.col(until).isNull(), F.col("summary")))
 
 
-def snapshot_segments(segments: DataFrame, until: str, points: DataFrame | None = None, keys: list[str] | None = None, time: str = "time_s") -> DataFrame:
+def snapshot_segments(segments: DataFrame, until: str, points: DataFrame | None = None, keys: list[str] | None = None, time: str = "time_s", tie: str | None = None) -> DataFrame:
     """Segments begun by `until`, their ends clipped; a description from a later frame is withheld.
 
     Such a segment's `world`, if segments have one, becomes that of the last
     positioned row of points (keys, time, world) from its start to `until`; without
-    such a row it stays. A `summary` of the segment's object is withheld.
+    such a row it stays; of rows of one time the last by tie counts. A `summary` of the segment's object is withheld.
     """
     t = F.col(until)
     kept = segments.filter(F.col("t0").isNotNull() & (t.isNull() | (F.col("t0") <= t)))
     if "world" in segments.columns:
         if points is None or not keys:
             raise ValueError("segments with a world position need points and keys")
-        seen = points.filter(F.col(time).isNotNull() & F.col("world").isNotNull()).select(*keys, F.col(time).alias("_seen_s"), F.col("world").alias("_seen"))
+        seen = points.filter(F.col(time).isNotNull() & F.col("world").isNotNull()).select(*keys, F.col(time).alias("_seen_s"), F.col("world").alias("_seen"), *([F.col(tie).alias("_listed")] if tie else []))
         # The last row by `until` is in the segment if any is.
-        last = asof_join(kept.withColumn("_until", t), seen.withColumn("_s", F.col("_seen_s")), keys, "_until", "_s", ["_seen_s", "_seen"])
+        last = asof_join(kept.withColumn("_until", t), seen.withColumn("_s", F.col("_seen_s")), keys, "_until", "_s", ["_seen_s", "_seen"], tie="_listed" if tie else None, first=False)
         kept = last.withColumn("world", F.when((F.col("rep_s") > t) & (F.col("_seen_s") >= F.col("t0")), F.col("_seen")).otherwise(F.col("world"))).select(*segments.columns)
     if "summary" in segments.columns:
         kept = without_summaries(kept, until)

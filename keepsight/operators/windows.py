@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsight.functions.sequences import even_indices
+from keepsight.operators.ranges import Ranges, previous, ranked, running
 
 
-def gap_islands(df: DataFrame, keys: list[str], order: list, time: str, gap: float, name: str = "island") -> DataFrame:
-    """Numbers runs whose neighbours are at most gap apart, from 0 for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = (F.col(time) - F.lag(time).over(w) > gap).cast("int")
-    return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(df: DataFrame, keys: list[str], order: list[str], columns: list[str], opens, name: str, ranges: Ranges | None) -> DataFrame:
+    """Numbers the runs of a key from 0; opens(row before) says whether a row starts a run."""
+    laid = previous(df, keys, order, columns, ranges)
+    new = F.when(F.col("_before").isNotNull(), opens(F.col("_before")))
+    return running(laid.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")), keys, order, "_new", name, ranges).drop("_new", "_before")
 
 
-def label_islands(df: DataFrame, keys: list[str], order: list, label: str, name: str = "island") -> DataFrame:
-    """Numbers runs of equal labels, from 0 for each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.coalesce((~F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.row_number().over(w) > 1)).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def gap_islands(df: DataFrame, keys: list[str], order: list[str], time: str, gap: float, name: str = "island", ranges: Ranges | None = None) -> DataFrame:
+    """Numbers runs whose neighbours are at most gap apart, from 0 for each key. ranges cut a key that is too long for one task."""
+    return islands(df, keys, order, [time], lambda b: F.col(time) - b[time] > gap, name, ranges)
+
+
+def label_islands(df: DataFrame, keys: list[str], order: list[str], label: str, name: str = "island", ranges: Ranges | None = None) -> DataFrame:
+    """Numbers runs of equal labels, from 0 for each key. ranges cut a key that is too long for one task."""
+    return islands(df, keys, order, [label], lambda b: ~F.col(label).eqNullSafe(b[label]), name, ranges)
 
 
 def first_appearance(df: DataFrame, keys: list[str], label: str, order: str, name: str) -> DataFrame:
@@ -28,21 +32,25 @@ def first_appearance(df: DataFrame, keys: list[str], label: str, order: str, nam
     return df.join(first.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("_first")) - 1).drop("_first"), [*keys, label])
 
 
-def majority_filter(df: DataFrame, keys: list[str], order: list, label: str, half: int = 1) -> DataFrame:
+def majority_filter(df: DataFrame, keys: list[str], order: list[str], label: str, half: int = 1, ranges: Ranges | None = None, block_size: int = 4096) -> DataFrame:
     """Each label by the majority of the window of half rows to each side, clipped at the ends.
 
     A label that ties for the most stays; else the first of the most frequent
-    wins. Fewer than three rows, or half 0, change nothing.
+    wins. Fewer than three rows, or half 0, change nothing. With ranges, rows are
+    numbered and smoothed in blocks, each with the half rows on either side of it.
     """
     if half <= 0:
         return df
-    w = Window.partitionBy(*keys).orderBy(*order)
-    near = F.collect_list(label).over(w.rowsBetween(-half, half))
+    placed = ranked(df, keys, order, ranges, "_i")
+    block = F.floor(F.col("_i") / max(block_size, half)) if ranges else F.lit(0)
+    ends = F.array_distinct(F.array(*[F.floor((F.col("_i") + k) / max(block_size, half)) for k in (-half, 0, half)])) if ranges else F.array(F.lit(0))
+    halo = placed.withColumns({"_own": block, "_block": ends}).withColumn("_block", F.explode("_block"))
+    near = F.collect_list(label).over(Window.partitionBy(*keys, "_block").orderBy("_i").rowsBetween(-half, half))
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
     most = F.array_max(F.transform(F.col("_near"), lambda x: count(F.col("_near"), x)))
     winner = F.try_element_at(F.filter(F.col("_near"), lambda x: count(F.col("_near"), x) == most), F.lit(1))
-    kept = F.when((F.col("_n") < 3) | (count(F.col("_near"), F.col(label)) == most), F.col(label)).otherwise(winner)
-    return df.withColumn("_near", near).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn(label, kept).drop("_near", "_n")
+    kept = F.when((F.col("_i_of") < 3) | (count(F.col("_near"), F.col(label)) == most), F.col(label)).otherwise(winner)
+    return halo.withColumn("_near", near).filter("_block = _own").withColumn(label, kept).drop("_near", "_i", "_i_of", "_own", "_block")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepsight.functions import geometry as geo
 from keepsight.functions import sequences as seq
 from keepsight.functions import text as txt
-from keepsight.operators import aggregates, joins, places, ranking, relations, sets, snapshots, windows
+from keepsight.operators import aggregates, joins, places, ranges, ranking, relations, sets, snapshots, windows
 from keepsight.operators.aggregates import quantised
 from keepsight.plans.bindings import OBS_SQL, POINTS_SQL, observations, points, table
 from keepsight.sources import readers
@@ -19,6 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: What an object's track is cut into, so that none is one task.
+WEEKS = ranges.every(7 * 86400.0)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -82,7 +86,7 @@ v AS (SELECT id, visit, tag, min(time_s) AS t0, max(time_s) AS t1, count(*) AS n
 f AS (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY min(t0)) - 1 AS place_id FROM v GROUP BY id, tag)
 SELECT id, visit::BIGINT AS visit, tag, t0, t1, n_frames, place_id FROM v JOIN f USING (id, tag)""")
 def visit_islands(spark, sf_dir):
-    return places.visits(observations(spark, sf_dir), ["id"], "time_s", "tag", half=0).withColumns(long("visit", "place_id"))
+    return places.visits(observations(spark, sf_dir), ["id"], "time_s", "tag", half=0, ranges=WEEKS).withColumns(long("visit", "place_id"))
 
 
 @query(f"""
@@ -90,7 +94,7 @@ WITH {OBS_SQL}
 SELECT id, pos, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a = b AND a <> tag THEN a ELSE tag END AS tag
 FROM (SELECT *, lag(tag) OVER w AS a, lead(tag) OVER w AS b FROM obs WINDOW w AS (PARTITION BY id ORDER BY time_s))""")
 def majority_filter(spark, sf_dir):
-    return windows.majority_filter(observations(spark, sf_dir), ["id"], ["time_s"], "tag", 1).select("id", "pos", "tag")
+    return windows.majority_filter(observations(spark, sf_dir), ["id"], ["time_s"], "tag", 1, WEEKS).select("id", "pos", "tag")
 
 
 SESSION_SQL = f"""
@@ -110,7 +114,7 @@ def gap_sessions(spark, sf_dir):
 
 @query(SESSION_SQL)
 def gap_islands(spark, sf_dir):
-    isl = windows.gap_islands(observations(spark, sf_dir), ["id"], ["time_s"], "time_s", 43200.0)
+    isl = windows.gap_islands(observations(spark, sf_dir), ["id"], ["time_s"], "time_s", 43200.0, ranges=WEEKS)
     return isl.groupBy("id", "island").agg(F.min("time_s").alias("t0"), F.max("time_s").alias("t1"), F.count("*").alias("n")).drop("island")
 
 
@@ -150,14 +154,46 @@ def views(o):
 @query(ASK_SQL + " SELECT ask.id, ask_pos, ask.time_s, v.pos, v.score FROM ask ASOF LEFT JOIN v ON ask.id = v.id AND ask.time_s >= v.vt")
 def asof_last_view(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return joins.asof_join(asks(o), views(o), ["id"], "time_s", "vt", ["pos", "score"])
+    return joins.asof_join(asks(o), views(o), ["id"], "time_s", "vt", ["pos", "score"], tie="pos", ranges=WEEKS)
+
+
+TIES_SQL = f"""WITH {OBS_SQL},
+ask AS (SELECT tag, pos AS ask_pos, frame FROM obs WHERE pos % 4 = 0), v AS (SELECT tag, pos, frame AS f, x FROM obs WHERE pos % 4 <> 0)"""
+
+
+def hourly(o):
+    """Views and questions by whole hours, so many share a time, and by event type, so a key is a fifth of the table."""
+    ask = o.filter("pos % 4 = 0").select("tag", F.col("pos").alias("ask_pos"), "frame")
+    return ask, o.filter("pos % 4 <> 0").select("tag", "pos", F.col("frame").alias("f"), "x")
+
+
+@query(TIES_SQL + """, t AS (SELECT tag, f, min(pos) AS pos, max(pos) AS last_pos FROM v GROUP BY tag, f)
+SELECT ask.tag, ask_pos, frame, t.pos AS first_listed, t.last_pos AS last_listed FROM ask ASOF LEFT JOIN t ON ask.tag = t.tag AND ask.frame >= t.f""")
+def asof_equal_times(spark, sf_dir):
+    ask, v = hourly(observations(spark, sf_dir))
+    by_day = ranges.every(24.0)
+    out = joins.asof_join(ask, v.withColumn("first_listed", F.col("pos")), ["tag"], "frame", "f", ["first_listed"], tie="pos", ranges=by_day)
+    return joins.asof_join(out, v.withColumn("last_listed", F.col("pos")), ["tag"], "frame", "f", ["last_listed"], tie="pos", first=False, ranges=by_day)
+
+
+@query(TIES_SQL + """, t AS (SELECT tag, f, arg_min(x, pos) AS first_x, arg_max(x, pos) AS last_x FROM v GROUP BY tag, f),
+b AS (SELECT ask.*, t.f AS t0, t.last_x AS xa FROM ask ASOF LEFT JOIN t ON ask.tag = t.tag AND ask.frame >= t.f),
+c AS (SELECT b.*, t.f AS t1, t.first_x AS xb FROM b ASOF LEFT JOIN t ON b.tag = t.tag AND b.frame <= t.f)
+SELECT tag, ask_pos, CASE WHEN t0 IS NULL THEN xb WHEN t1 IS NULL OR t0 = t1 THEN xa ELSE xa + (xb - xa) * ((frame - t0) / (t1 - t0)::DOUBLE) END AS x,
+  CASE WHEN t0 = t1 THEN 'seen at ' || t0 || '.0 s' WHEN t0 IS NULL THEN 'first seen at ' || t1 || '.0 s, after the question' WHEN t1 IS NULL THEN 'last seen at ' || t0 || '.0 s, not seen since'
+  ELSE 'between the views at ' || t0 || '.0 s and ' || t1 || '.0 s' END AS source FROM c""")
+def bracket_equal_times(spark, sf_dir):
+    ask, v = hourly(observations(spark, sf_dir))
+    b = joins.bracket_join(ask, v.withColumn("frame", F.col("f")), ["tag"], "frame", ["x"], "pos", ranges.every(24.0))
+    seconds = b.withColumns({c: F.col(c).cast("double") for c in ("before_time", "after_time")})
+    return joins.interpolated(seconds, "frame", "x", 1e9).withColumn("source", joins.provenance()).select("tag", "ask_pos", "x", "source")
 
 
 @query(ASK_SQL + """ SELECT id, ask_pos, time_s, CASE WHEN time_s - vt <= 86400 THEN pos END AS pos
 FROM (SELECT ask.id, ask_pos, ask.time_s, v.pos, v.vt FROM ask ASOF LEFT JOIN v ON ask.id = v.id AND ask.time_s >= v.vt)""")
 def asof_with_expiry(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return joins.asof_join(asks(o), views(o), ["id"], "time_s", "vt", ["pos"], max_age=86400.0)
+    return joins.asof_join(asks(o), views(o), ["id"], "time_s", "vt", ["pos"], max_age=86400.0, tie="pos", ranges=WEEKS)
 
 
 @query(ASK_SQL + """ SELECT id, ask_pos, gap, pos FROM (
@@ -177,7 +213,7 @@ SELECT id, ask_pos,
 FROM c""")
 def bracket_interp(spark, sf_dir):
     o = observations(spark, sf_dir)
-    b = joins.bracket_join(asks(o), views(o).withColumn("time_s", F.col("vt")), ["id"], "time_s", ["x"], "pos")
+    b = joins.bracket_join(asks(o), views(o).withColumn("time_s", F.col("vt")), ["id"], "time_s", ["x"], "pos", WEEKS)
     return joins.interpolated(b, "time_s", "x", 172800.0).select("id", "ask_pos", "how", "x")
 
 
@@ -193,7 +229,7 @@ def closest_approach(spark, sf_dir):
     o = observations(spark, sf_dir)
     a, b = (o.filter(F.col("tag") == t).select("id", "time_s", "pos", "x", "y", "z") for t in ("view", "click"))
     d = F.sqrt((F.col("x") - F.col("b_x")) * (F.col("x") - F.col("b_x")) + (F.col("y") - F.col("b_y")) * (F.col("y") - F.col("b_y")) + (F.col("z") - F.col("b_z")) * (F.col("z") - F.col("b_z")))
-    return joins.closest_approach(a, b, ["id"], ["id"], "time_s", "pos", d)
+    return joins.closest_approach(a, b, ["id"], ["id"], "time_s", "pos", d, WEEKS)
 
 
 @query(f"""WITH {OBS_SQL}, n AS (SELECT id, pos, time_s AS t0, time_s + 7200 AS t1 FROM obs WHERE tag = 'click'), o AS (SELECT id, pos, time_s - 3600 AS t0, time_s + 3600 AS t1, k FROM obs WHERE tag = 'view'),

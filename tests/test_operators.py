@@ -16,8 +16,9 @@ def rows(df, *columns):
 
 def test_asof_keeps_the_latest_and_expires(spark):
     left = spark.createDataFrame([(1, 0.5), (1, 2.0), (1, 9.0), (2, 1.0)], "k int, t double")
-    right = spark.createDataFrame([(1, 1.0, "a"), (1, 2.0, "b"), (1, 2.0, "c")], "k int, rt double, v string")
-    assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"]).fillna("-"), "k", "t", "v") == [(1, 0.5, "-"), (1, 2.0, "c"), (1, 9.0, "c"), (2, 1.0, "-")]
+    right = spark.createDataFrame([(1, 1.0, "a", 2), (1, 2.0, "c", 0), (1, 2.0, "b", 1)], "k int, rt double, v string, pos int")
+    for first, v in ((True, "c"), (False, "b")):
+        assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"], tie="pos", first=first).fillna("-"), "k", "t", "v") == [(1, 0.5, "-"), (1, 2.0, v), (1, 9.0, v), (2, 1.0, "-")]
     assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"], max_age=5.0).fillna("-"), "t", "v")[-1] == (9.0, "-")
     assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"], forward=True).fillna("-"), "k", "t", "v")[0] == (1, 0.5, "a")
 
