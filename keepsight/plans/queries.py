@@ -395,16 +395,23 @@ TERMS_SQL = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]+'),
 
 
 @query(f"""WITH q AS (SELECT item_id, unnest({TERMS_SQL.format("text")}) AS term FROM benchmark), o AS (SELECT doc_id, unnest({TERMS_SQL.format("text")}) AS term FROM documents),
-h AS (SELECT item_id, doc_id, count(*) AS hits FROM q JOIN o USING (term) GROUP BY item_id, doc_id),
-s AS (SELECT *, floor((hits + 2.0::DOUBLE * (doc_id % 13 <= 6)::INT + 1 / (1 + (doc_id % 13) / 60.0::DOUBLE)) * 1000 + 0.5) / 1000 AS score FROM h),
+n AS (SELECT doc_id, unnest({TERMS_SQL.format("substr(text, 1, 60)")}) AS term FROM documents),
+h AS (SELECT item_id, doc_id, sum(hit)::BIGINT AS hits, sum(name)::BIGINT AS name_hits FROM (
+  SELECT item_id, doc_id, 1 AS hit, 0 AS name FROM q JOIN o USING (term) UNION ALL SELECT item_id, doc_id, 0, 1 FROM q JOIN n USING (term)) GROUP BY item_id, doc_id),
+s AS (SELECT *, floor((3.0::DOUBLE * name_hits + hits + 2.0::DOUBLE * (doc_id % 13 <= 6)::INT + 1 / (1 + (doc_id % 13) / 60.0::DOUBLE)) * 1000 + 0.5) / 1000 AS score FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id % 13, doc_id) AS rank FROM s)
-SELECT item_id, doc_id, hits, score, rank FROM r WHERE rank <= 4""")
+SELECT item_id, doc_id, hits, name_hits, score, rank FROM r WHERE rank <= 4""")
 def text_topk(spark, sf_dir):
+    """The beginning of a document stands for its name."""
+    from keepsight.operators.textindex import build_index, search
+
     q = table(spark, sf_dir, "benchmark").select("item_id", txt.terms(F.col("text")).alias("qt"))
-    o = table(spark, sf_dir, "documents").select("doc_id", txt.terms(F.col("text")).alias("ot"))
-    hits = ranking.term_hits(q, o, "item_id", "doc_id", "qt", "ot", "text_hits")
-    c = hits.withColumns({"name_hits": F.lit(0), "best_dt": (F.col("doc_id") % 13).cast("double")})
-    return ranking.rank_text(c, "item_id", "doc_id").select("item_id", "doc_id", F.col("text_hits").alias("hits"), "score", F.col("rank").cast("long").alias("rank"))
+    o = table(spark, sf_dir, "documents").select("doc_id", txt.terms(F.col("text")).alias("ot"), txt.terms(F.substring("text", 1, 60)).alias("nt"))
+    age = (F.col("doc_id") % 13).cast("double")
+    bound = 2.0 * (age <= ranking.DT).cast("double") + 1.0 / (1.0 + age / 60.0)
+    index = build_index(o.withColumn("bound", bound), "doc_id", "ot", "nt", "bound")
+    found = search(index, q, "item_id", "qt", lambda pairs: pairs.withColumn("best_dt", age))
+    return found.select("item_id", "doc_id", F.col("text_hits").cast("long").alias("hits"), F.col("name_hits").cast("long").alias("name_hits"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {OBS_SQL}, q AS (SELECT pos AS q, time_s AS t, x AS qx, y AS qy, z AS qz FROM obs WHERE tag = 'signup'),
