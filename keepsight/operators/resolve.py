@@ -1,20 +1,24 @@
 """Entity resolution: the operators that depend on their own earlier decisions.
 
-They run as grouped maps over one clip, or one tag of one clip: the input of a
-group is bounded by the frames that a clip may have. All that is independent of
-order (suppression, medians, overlap tests) stays in columns.
+They run as grouped maps over what may depend on each other: one tag of a clip,
+or a connected component of tracks or identities. All that is independent of
+order (suppression, candidates, components, numbering) stays in columns.
 """
 
 from __future__ import annotations
 
+from bisect import insort
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsight.functions.geometry import iou
 from keepsight.functions.sequences import suppressed
+from keepsight.operators.components import connected_components
 from keepsight.operators.sets import widened
+from keepsight.sources.shared import written
 
 
 def suppress(detections: DataFrame, keys: list[str], limit: float = 0.7) -> DataFrame:
@@ -59,21 +63,23 @@ def associate(obs: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame
 
 
 def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6) -> DataFrame:
-    """Offline clusters: best scores first, each to the nearest centroid (median of members) within radius, else its own."""
+    """Offline clusters: best scores first, each to the nearest centroid (median of members) within radius, else its own. Rows without a position are left out."""
     schema = widened(obs, cluster="int")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
+        pdf = pdf.dropna(subset=["x", "y", "z"]).sort_values(["score", "pos"], ascending=[False, True], kind="stable")
         members, centroids, out = [], np.empty((0, 3)), []
         for p in pdf[["x", "y", "z"]].to_numpy(float):
             d = np.linalg.norm(centroids - p, axis=1)
             best = int(d.argmin()) if len(d) else -1
             if best >= 0 and d[best] < radius:
-                members[best].append(p)
-                centroids[best] = np.median(members[best], axis=0)
+                for axis, v in zip(members[best], p):
+                    insort(axis, v)
+                half = (len(members[best][0]) - 1) // 2
+                centroids[best] = [(axis[half] + axis[-1 - half]) / 2 for axis in members[best]]
             else:
                 best = len(members)
-                members.append([p])
+                members.append([[v] for v in p])
                 centroids = np.vstack([centroids, p])
             out.append(best)
         return pdf.assign(cluster=np.array(out, np.int32))
@@ -113,38 +119,72 @@ def cluster_seeds(dets: DataFrame, keys: list[str], limit: float = 0.5, most: in
     return dets.groupBy(*keys).applyInPandas(seeds, schema)
 
 
-def merge_tracks(boxes: DataFrame, keys: list[str], limit: float = 0.6) -> DataFrame:
+def overlapping_tracks(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """Pairs (a, b) of tracks, as structs of keys and track, with a common frame in which their boxes overlap; found by frame and grid cell."""
+    span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    at = boxes.select(*keys, "frame", "x1", "y1", "x2", "y2", F.struct(*keys, "track").alias("node")).withColumn("_cx", span("x1", "x2")).withColumn("_cy", span("y1", "y2"))
+    l, r = at.alias("l"), at.alias("r")  # noqa: E741
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "frame", "_cx", "_cy"]]
+    meet = [F.least(F.col(f"l.{h}"), F.col(f"r.{h}")) > F.greatest(F.col(f"l.{low}"), F.col(f"r.{low}")) for low, h in (("x1", "x2"), ("y1", "y2"))]
+    return l.join(r, on).filter((F.col("l.node") < F.col("r.node")) & meet[0] & meet[1]).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def merge_tracks(boxes: DataFrame, keys: list[str], limit: float = 0.6, cell: float = 256.0) -> DataFrame:
     """Merges tracks of a clip whose boxes contain each other: median containment over common frames of limit at least.
 
-    Tracks go from most frames and best score down; an absorbed track gives its
-    boxes, the smaller one where both have one, and later tests see the result.
-    Rows: track, frame, score, x1, y1, x2, y2. Gives them merged, with the
-    number of the track by (frames, score).
+    Tracks go from most frames and best score down, and each is tested with all
+    after it, always as the roots of what they have been merged into: a root that
+    has grown is tested again and may itself be absorbed. The earlier root keeps
+    its score and takes the other's boxes, the smaller one where both have one.
+    Rows: track, frame, score, x1, y1, x2, y2, one for each track and frame; empty
+    boxes don't count. Gives them merged, with the number of the root in its clip
+    by (frames, score).
+
+    A merged box is always one of the given ones, and roots with a median above 0
+    overlap somewhere, so only tracks that given boxes connect can ever merge:
+    components of overlapping tracks are merged apart from each other.
     """
-    schema = widened(boxes, merged="int")
+    if limit <= 0:
+        raise ValueError("a limit of 0 merges tracks that never overlap")
+    boxes = boxes.filter("x2 > x1 and y2 > y1")
+    parts = connected_components(overlapping_tracks(boxes, keys, cell))
+    linked = boxes.join(parts, F.struct(*keys, "track").eqNullSafe(F.col("node")), "left").drop("node").withColumn("_part", F.coalesce("component", F.struct(*keys, "track"))).drop("component")
+    names, schema = boxes.columns, widened(boxes, _root=boxes.schema["track"].dataType, _score="double")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks = {t: {"boxes": {f: (b, i) for f, b, i in zip(g["frame"], g[["x1", "y1", "x2", "y2"]].to_numpy(float), g.index)}, "score": g["score"].max()} for t, g in pdf.groupby("track", sort=True)}
-        order = sorted(tracks, key=lambda t: (-len(tracks[t]["boxes"]), -tracks[t]["score"], t))
-        roots: list = []
-        for t in order:
-            for r in roots:
-                a, b = tracks[r]["boxes"], tracks[t]["boxes"]
-                common = a.keys() & b.keys()
-                if common and np.median([box_containment(a[f][0], b[f][0]) for f in common]) >= limit:
-                    size = lambda x: (x[0][2] - x[0][0]) * (x[0][3] - x[0][1])
+        tracks, score = {}, {}
+        for t, g in pdf.groupby("track", sort=True):
+            tracks[t] = {f: (b, i) for f, b, i in zip(g["frame"], g[["x1", "y1", "x2", "y2"]].to_numpy(float), g.index)}
+            score[t] = g["score"].max()
+        order = sorted(tracks, key=lambda t: (-len(tracks[t]), -score[t], t))
+        root = {t: t for t in order}
+
+        def of(t):
+            while root[t] != t:
+                root[t] = root[root[t]]
+                t = root[t]
+            return t
+
+        area = lambda x: (x[0][2] - x[0][0]) * (x[0][3] - x[0][1])
+        for k, first in enumerate(order):
+            for second in order[k + 1 :]:
+                ra, rb = of(first), of(second)
+                a, b = tracks[ra], tracks[rb]
+                if ra == rb or not (common := a.keys() & b.keys()):
+                    continue
+                if np.median([box_containment(a[f][0], b[f][0]) for f in common]) >= limit:
                     for f, x in b.items():
-                        if f not in a or size(x) < size(a[f]):
+                        if f not in a or area(x) < area(a[f]):
                             a[f] = x
-                    tracks[r]["score"] = max(tracks[r]["score"], tracks[t]["score"])
-                    break
-            else:
-                roots.append(t)
-        final = sorted(roots, key=lambda r: (-len(tracks[r]["boxes"]), -tracks[r]["score"], r))
-        rows = [(i, k) for k, r in enumerate(final) for _, (_, i) in sorted(tracks[r]["boxes"].items())]
-        return pdf.loc[[i for i, _ in rows]].assign(merged=np.array([k for _, k in rows], np.int32))
+                    root[rb] = ra
+        rows = [(i, t) for t in order if root[t] == t for _, (_, i) in tracks[t].items()]
+        return pdf.loc[[i for i, _ in rows], names].assign(_root=[t for _, t in rows], _score=[score[t] for _, t in rows])
 
-    return boxes.groupBy(*keys).applyInPandas(merge, schema)
+    merged = written(linked.groupBy("_part").applyInPandas(merge, schema), "merged-tracks")
+    roots = merged.groupBy(*keys, "_root").agg(F.count("*").alias("_n"), F.first("_score").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc("_s"), "_root")
+    numbered = roots.select((F.row_number().over(w) - 1).alias("merged"), *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_root"]])
+    return merged.join(numbered, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_root"]]).select(*names, "merged")
 
 
 def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str], tau: float = 0.3, max_distance: float = 1.0) -> DataFrame:
@@ -154,8 +194,12 @@ def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str],
     shares no frame with the seed, matches its mask by tau at least, and was not
     farther than max_distance at the closest time (null passes; 0 disables).
     objects: id, first_s, frames (array); scores: a, b, match_iou, distance.
-    Gives id, member_of.
+    Gives id, member_of. Only objects that matches connect can be the same, so
+    components of matches are grouped apart from each other.
     """
+    matched = scores.filter(F.col("match_iou") >= tau)
+    ends = connected_components(matched.select(F.struct(*keys, F.col("a").alias("id")).alias("a"), F.struct(*keys, F.col("b").alias("id")).alias("b")))
+    part = lambda df, i: df.join(ends, F.struct(*[df[k] for k in keys], df[i].alias("id")).eqNullSafe(F.col("node")), "left").withColumn("_part", F.coalesce("component", F.struct(*keys, F.col(i).alias("id")))).drop("node", "component")
     schema = widened(objects.select(*keys, "id"), member_of=objects.schema["id"].dataType)
 
     def collapse(pdf: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -175,5 +219,5 @@ def collapse_identities(objects: DataFrame, scores: DataFrame, keys: list[str],
             left = rest
         return pdf[[*keys, "id"]].assign(member_of=pdf["id"].map(out))
 
-    right = scores.select(*[F.col(k).alias(f"_{k}") for k in keys], "a", "b", "match_iou", "distance")
-    return objects.groupBy(*keys).cogroup(right.groupBy(*[f"_{k}" for k in keys])).applyInPandas(collapse, schema)
+    right = part(matched, "a").select(F.col("_part").alias("_p"), "a", "b", "match_iou", "distance")
+    return part(objects, "id").groupBy("_part").cogroup(right.groupBy("_p")).applyInPandas(collapse, schema)

@@ -1,6 +1,8 @@
 """Queries that SQL cannot say, against plain sequential versions on the smallest tables."""
 
 import math
+import random
+import statistics
 from collections import defaultdict
 
 import numpy as np
@@ -140,6 +142,21 @@ def test_seed_clusters(spark, obs):
     assert got(spark, "seed_clusters", "clip", "tag", "pos", "support") == sorted(want)
 
 
+def merged_by_roots(tracks, score, limit=0.6):
+    """Every pair of tracks in order, tested as what they have become; gives (frames of each root, in order of their final numbers)."""
+    order = sorted(tracks, key=lambda t: (-len(tracks[t]), -score[t], t))
+    now = {t: dict(b) for t, b in tracks.items()}
+    belongs = {t: {t} for t in order}  # a root and all that it has taken
+    for i, j in ((i, j) for i in range(len(order)) for j in range(i + 1, len(order))):
+        a, b = (next(r for r, m in belongs.items() if order[k] in m) for k in (i, j))
+        both = [f for f in now[a] if f in now[b]]
+        if a == b or not both or statistics.median(overlap(now[a][f], now[b][f]) / min(area(now[a][f]), area(now[b][f])) for f in both) < limit:
+            continue
+        now[a] |= {f: x for f, x in now[b].items() if f not in now[a] or area(x) < area(now[a][f])}
+        belongs[a] |= belongs.pop(b)
+    return [now[r] for r in sorted(belongs, key=lambda r: (-len(now[r]), -score[r], r))]
+
+
 def test_merged_tracks(spark, obs):
     want = []
     for (clip,), rows in by(obs, "id").items():
@@ -147,23 +164,55 @@ def test_merged_tracks(spark, obs):
         for r in sorted(rows, key=lambda r: (r["score"], -r["pos"])):  # the best of a frame is written last
             tracks[r["tag"]][r["frame"]] = r
         score = {t: max(r["score"] for r in b.values()) for t, b in tracks.items()}
-        roots = []
-        for t in sorted(tracks, key=lambda t: (-len(tracks[t]), -score[t], t)):
-            for r in roots:
-                common = tracks[r].keys() & tracks[t].keys()
-                if common and np.median([overlap(tracks[r][f], tracks[t][f]) / min(area(tracks[r][f]), area(tracks[t][f])) for f in common]) >= 0.6:
-                    for f, b in tracks[t].items():
-                        if f not in tracks[r] or area(b) < area(tracks[r][f]):
-                            tracks[r][f] = b
-                    score[r] = max(score[r], score[t])
-                    break
-            else:
-                roots.append(t)
-        roots.sort(key=lambda r: (-len(tracks[r]), -score[r], r))
-        want += [(clip, f, k) for k, r in enumerate(roots) for f in tracks[r]]
+        want += [(clip, f, k) for k, frames in enumerate(merged_by_roots(tracks, score)) for f in frames]
     assert got(spark, "merge_tracks", "clip", "frame", "merged") == sorted(want)
 
 
+def test_merged_tracks_of_random_clips(spark):
+    """Crowded clips, in which roots grow, are tested again and are absorbed themselves."""
+    from keepsight.operators.resolve import merge_tracks
+
+    rng, rows, want = random.Random(8), [], []
+    for clip in range(200):
+        tracks, score = defaultdict(dict), {}
+        for t in range(rng.randint(2, 8)):
+            x, y, s = rng.randint(0, 12), rng.randint(0, 12), rng.choice((0.5, 0.7, 0.9))
+            score[t] = s
+            for f in rng.sample(range(8), rng.randint(1, 6)):
+                box = dict(zip(("x1", "y1", "x2", "y2"), map(float, (x, y, x + rng.randint(2, 14), y + rng.randint(2, 14)))))
+                tracks[t][f] = box
+                rows.append((clip, t, f, s, *box.values()))
+        want += [(clip, k, f, *box.values()) for k, frames in enumerate(merged_by_roots(tracks, score)) for f, box in frames.items()]
+    rows.append((0, 99, 0, 0.1, 3.0, 3.0, 3.0, 9.0))  # an empty box
+    df = spark.createDataFrame(rows, "clip long, track long, frame long, score double, x1 double, y1 double, x2 double, y2 double")
+    for cell in (256.0, 3.0):
+        found = merge_tracks(df, ["clip"], cell=cell).select("clip", "merged", "frame", "x1", "y1", "x2", "y2").collect()
+        assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_components_by_hooking(spark):
+    from keepsight.operators.components import connected_components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(7, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["component"] for r in connected_components(df).collect()} == {x: find(x) for x in {x for e in edges for x in e}}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_clusters_leave_out_rows_without_a_position(spark):
+    from keepsight.operators.resolve import cluster_by_centroid
+
+    rows = [(1, 0, 0.9, 0.0, 0.0, 0.0), (1, 1, 0.8, None, 0.0, 0.0), (1, 2, 0.7, 0.1, 0.0, 0.0), (1, 3, 0.6, float("nan"), 0.0, 0.0), (1, 4, 0.5, 5.0, 0.0, 0.0), (1, 5, 0.4, 0.4, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "label long, pos long, score double, x double, y double, z double")
+    assert sorted((r["pos"], r["cluster"]) for r in cluster_by_centroid(df, ["label"]).collect()) == [(0, 0), (2, 0), (4, 1), (5, 0)]
+
+
 def test_collapsed_identities(spark, obs):
     want = []
     things = {i: (min(r["time_s"] for r in rows), {r["frame"] for r in rows}) for (i,), rows in by(obs, "id").items()}
