@@ -12,9 +12,9 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsight.functions.geometry import distance, iou, point_score
+from keepsight.functions.geometry import point_score
 from keepsight.functions.text import parse_id, parse_markup, parse_reply, plain_question, terms
-from keepsight.operators import joins, places, ranking, relations
+from keepsight.operators import nearest, places, ranking, relations
 from keepsight.plans import contexts
 
 
@@ -110,11 +110,12 @@ def spatial_question(questions: DataFrame, obs: DataFrame, segments: DataFrame,
     """
     m = parse_markup(F.col("question"))
     q = questions.select("qid", "clip", "point", plain_question(F.col("question")).alias("plain"), m["time_s"].alias("t"), m["box"].alias("qbox")).filter("t is not null")
-    near = joins.band_pairs(q, obs, ["clip"], "t", "time_s", dt).select("l.qid", "l.clip", "l.point", "l.qbox", "r.id", "r.name", "r.cam", "r.box")
-    by_point = ranking.rank_distance(near.filter("point is not null"), "qid", "id", distance(F.col("cam"), F.col("point"))).select("qid", "id", "rank")
-    by_box = ranking.rank_overlap(near.filter("point is null and qbox is not null"), "qid", "id", iou(F.col("box"), F.col("qbox"))).select("qid", "id", "rank")
-    named = near.groupBy("qid", "clip", "id").agg(F.min("name").alias("name"))
-    ranked = by_point.unionByName(by_box).join(named, ["qid", "id"])
+    seen = obs.select("clip", "id", "time_s", "box", *[F.col(f"cam.{a}").alias(a) for a in "xyz"])
+    pointed = q.filter("point is not null").select("clip", "qid", "t", *[F.col(f"point.{a}").alias(f"p{a}") for a in "xyz"])
+    by_point = nearest.nearest_objects(pointed, seen, ["clip"], "qid", dt).select("qid", "id", "rank")
+    by_box = nearest.overlapping_objects(q.filter("point is null and qbox is not null"), seen, ["clip"], "qid", dt).select("qid", "id", "rank")
+    names = obs.groupBy("clip", "id").agg(F.min("name").alias("name"))
+    ranked = by_point.unionByName(by_box).join(q.select("qid", "clip"), "qid").join(names, ["clip", "id"])
     told = contexts.history(ranked.join(segments, ["clip", "id"]), ["qid", "id", "rank", "name"]).select("qid", "rank", F.concat_ws(": ", "name", "history").alias("line"))
     return contexts.assembled({"OBJECTS": told}, "qid").join(q.select("qid", "plain"), "qid")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepsight.functions import geometry as geo
 from keepsight.functions import sequences as seq
 from keepsight.functions import text as txt
-from keepsight.operators import aggregates, joins, places, ranges, ranking, relations, sets, snapshots, windows
+from keepsight.operators import aggregates, joins, nearest, places, ranges, ranking, relations, sets, snapshots, windows
 from keepsight.operators.aggregates import quantised
 from keepsight.plans.bindings import OBS_SQL, POINTS_SQL, observations, points, table
 from keepsight.sources import readers
@@ -420,9 +420,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, id) AS rank
 SELECT q, id, distance, floor(1 / (1 + distance) * 1000 + 0.5) / 1000 AS score, rank FROM r WHERE rank <= 4""")
 def retrieve_3d(spark, sf_dir):
     o = observations(spark, sf_dir)
-    q = o.filter("tag = 'signup'").select("clip", F.col("pos").alias("q"), F.col("time_s").alias("t"), F.col("cam").alias("qp"))
-    pairs = joins.band_pairs(q, o, ["clip"], "t", "time_s", 3600.0).select("l.q", "r.id", geo.distance(F.col("r.cam"), F.col("l.qp")).alias("d"))
-    return ranking.rank_distance(pairs, "q", "id", F.col("d")).withColumns(long("rank"))
+    q = o.filter("tag = 'signup'").select("clip", F.col("pos").alias("q"), F.col("time_s").alias("t"), *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    return nearest.nearest_objects(q, o, ["clip"], "q", 3600.0, radii=(0.2, 0.6)).withColumns(long("rank"))
 
 
 @query(f"""WITH {OBS_SQL}, q AS (SELECT pos AS q, time_s AS t, x1 AS a1, y1 AS b1, x2 AS a2, y2 AS b2 FROM obs WHERE tag = 'signup'),
@@ -431,9 +430,8 @@ d AS (SELECT q, id, max(CASE WHEN inter > 0 AND areas - inter > 0 THEN inter / (
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY overlap DESC, id) AS rank FROM d) SELECT q, id, overlap, rank FROM r WHERE rank <= 4""")
 def retrieve_iou(spark, sf_dir):
     o = observations(spark, sf_dir)
-    q = o.filter("tag = 'signup'").select("clip", F.col("pos").alias("q"), F.col("time_s").alias("t"), F.col("box").alias("qb"))
-    pairs = joins.band_pairs(q, o, ["clip"], "t", "time_s", 3600.0).select("l.q", "r.id", geo.iou(F.col("r.box"), F.col("l.qb")).alias("v"))
-    return ranking.rank_overlap(pairs, "q", "id", F.col("v")).withColumns(long("rank"))
+    q = o.filter("tag = 'signup'").select("clip", F.col("pos").alias("q"), F.col("time_s").alias("t"), F.col("box").alias("qbox"))
+    return nearest.overlapping_objects(q, o, ["clip"], "q", 3600.0).withColumns(long("rank"))
 
 
 @query(f"""WITH l AS (SELECT conv_id, turn, length(text) % 5 AS hits FROM conversations),
