@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -115,7 +115,8 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.node, self.silent, self.anchors, self.open = Node("#", None), 0, 0, Counter()
+        self.node, self.silent, self.anchors = Node("#", None), 0, 0
+        self.open: defaultdict[str, list[Node]] = defaultdict(list)  # open elements of each kind, the innermost last
         self.nodes, self.parts, self.linked, self.found = [self.node], [], 0, []
 
     def end_block(self) -> None:
@@ -126,10 +127,7 @@ class Blocks(HTMLParser):
 
     def end_head(self) -> None:
         """Closes an open head, whose end tag may be left out."""
-        node = self.node
-        while node.tag != "head":
-            node = node.up
-        self.pop_to(node)
+        self.pop_to(self.open["head"][-1])
 
     def handle_starttag(self, tag, attrs):
         if self.node.tag == "head" and tag not in HEAD or tag == "body" and self.open["head"] and not self.open["template"]:
@@ -162,32 +160,25 @@ class Blocks(HTMLParser):
             node = self.node.up
             while node and not node.wraps:
                 node.wraps, node = True, node.up
-        self.open[tag] += 1
+        self.open[tag].append(self.node)
         self.silent += self.node.silences
         self.anchors += tag == "a"
 
     def end_nearest(self, tag: str) -> None:
-        node = self.node
-        while node.tag != tag:
-            node = node.up
-        self.pop_to(node)
+        self.pop_to(self.open[tag][-1])
 
     def end_inline(self, tag: str) -> None:
         """Closes an open inline element of the running text."""
-        node = self.node
-        while node.tag in INLINE and node.tag != tag:
-            node = node.up
-        if node.tag == tag:
-            self.pop_to(node)
+        if self.open[tag] and self.open[tag][-1].depth > self.node.block.depth:
+            self.pop_to(self.open[tag][-1])
+
+    def innermost(self, tags) -> Node | None:
+        return max((self.open[t][-1] for t in tags if self.open[t]), key=lambda node: node.depth, default=None)
 
     def end_open(self, tags: set, within: bool) -> None:
-        """Closes the innermost open element of these tags; within: only inside the nearest list or table."""
-        node = self.node
-        while node.up and node.tag not in tags:
-            if within and node.tag in ("ul", "ol", "dl", "table") or not within and node.tag not in INLINE:
-                return
-            node = node.up
-        if node.up:
+        """Closes the innermost open element of these tags; within: only inside the nearest list or table, else only around running text."""
+        node, holder = self.innermost(tags), self.innermost(("ul", "ol", "dl", "table")) if within else self.node.block
+        if node and (holder is None or holder.depth <= node.depth):
             self.pop_to(node)
 
     def pop_to(self, node: Node) -> None:
@@ -195,21 +186,14 @@ class Blocks(HTMLParser):
         while self.node is not end:
             self.silent -= self.node.silences
             self.anchors -= self.node.tag == "a"
-            self.open[self.node.tag] -= 1
+            self.open[self.node.tag].pop()
             self.node = self.node.up
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.end_block()
-        if not self.open[tag]:
-            return
-        node = self.node
-        while node.up and node.tag != tag:
-            if tag in INLINE and node.tag not in INLINE:
-                return
-            node = node.up
-        if node.up:
-            self.pop_to(node)
+        if self.open[tag] and (tag not in INLINE or self.open[tag][-1].depth > self.node.block.depth):
+            self.pop_to(self.open[tag][-1])
 
     def handle_data(self, data):
         if self.node.tag == "head" and data.strip():
@@ -220,9 +204,45 @@ class Blocks(HTMLParser):
                 self.linked += len(data)
 
 
+#: What a scan for comments stops at: declarations, and elements whose content is no markup.
+MARKED_SECTIONS = re.compile(r"<(?:[!?]|(script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]))", re.I)
+COMMENT_END, DOCTYPE = re.compile("--!?>"), re.compile(r"<!doctype[^>\[]*(?:\[[^\]]*\][^>]*)?>", re.I)
+
+
+def without_declarations(html: str) -> str:
+    """html without comments, declarations and processing instructions, closed or not, and without a tag that never ends; one pass."""
+    last = html.rfind(">") + 1
+    if cut := re.compile("<[A-Za-z/]").search(html, last):
+        html = html[: cut.start()]
+    out, at, closings = [], 0, {}
+    while m := MARKED_SECTIONS.search(html, at):
+        start = m.start()
+        out.append(html[at:start])
+        if m[1]:
+            end, inner = closings.get(kind := m[1].lower()), html.find(">", m.end()) + 1
+            if kind not in closings or end and end.start() < inner:
+                end = closings[kind] = re.compile(f"</{kind}(?=[\\s/>])", re.I).search(html, inner) if inner else None
+            if end:
+                out.append(html[start:inner] if kind != "xmp" else html[start : end.start()])
+                at = end.start()
+            elif kind in ("script", "style"):  # the rest of the page is in it
+                at = len(html)
+            else:
+                out.append(html[start : m.end()])
+                at = m.end()
+            continue
+        if html.startswith("<!--", start):
+            short = re.compile("<!---?>").match(html, start)
+            end = short or COMMENT_END.search(html, start + 4)
+        else:
+            end = DOCTYPE.match(html, start) or re.compile(">").search(html, start)
+        at = end.end() if end else len(html)
+    return "".join([*out, html[at:]])
+
+
 def blocks_of(html: str) -> list[Block]:
     parser = Blocks()
-    parser.feed(html)
+    parser.feed(without_declarations(html))
     parser.close()
     parser.end_block()
     total = 0

@@ -198,3 +198,35 @@ def test_damaged_bundles_are_refused(spark):
     data = write_bundles(spark.createDataFrame([(*PAGES[0], 7, "d", 7)], SCHEMA)).first()["data"]
     with pytest.raises(ValueError):
         Bundle(data[:-1])
+
+
+def test_declarations_and_unclosed_markup_are_no_text():
+    """Each of these once stopped a job or stood in the text."""
+    from keepsight.llm.mainhtml import blocks_of
+
+    cases = {
+        "<p>a<![ endif]-->b</p>": "ab", "<p>a<![endif]-->b": "ab", "<p>a<![x": "a", "<p>x<![1]>y": "xy", "<![": "", "<p>a<!-- x</p>": "a", "<p>a<!-->b": "ab", "<p>a<!--->b": "ab", "<p>a<!-- x --!>b": "ab",
+        "<!DOCTYPE html [<!ENTITY a 'b'>]><p>x": "x", "<!doctype html><p>x": "x", "<script><!-- x</script><p>y": "y", "<p>t<title><!--</title>u": "tu", "<?php echo 1 ?><p>z": "z", "<p>k<a href='": "k", "<style>p{</style><p>s": "s", "<p>a<script>x": "a",
+    }
+    for html, want in cases.items():
+        assert "".join(b.text for b in blocks_of(html)) == want, html
+
+
+def test_broken_pages_take_linear_time():
+    """Four times the page takes far less than sixteen times the time."""
+    import time
+
+    from keepsight.llm.mainhtml import blocks_of
+
+    def took(make, n):
+        best = 9.0
+        for _ in range(3):
+            start = time.process_time()
+            blocks_of(make(n))
+            best = min(best, time.process_time() - start)
+        return best
+
+    for make in (
+        lambda n: "<div>" * n + "<td>x</td>" * n, lambda n: "<b><p>" + "<i>" * n + "</b>" * n, lambda n: "<a " * n, lambda n: "<!--" * n, lambda n: "<![x" * n, lambda n: "<title>" * n, lambda n: "<li>" * n + "x", lambda n: "<table>" * n + "<td>x</td>" * n,
+    ):
+        assert took(make, 8000) < 0.05 + 9 * took(make, 2000)
