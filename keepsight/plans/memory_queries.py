@@ -10,6 +10,7 @@ from keepsight.functions import masks
 from keepsight.functions import text as txt
 from keepsight.operators import checks, joins, poses, ranking, sets, windows
 from keepsight.operators.aggregates import quantised
+from keepsight.operators.quantiles import exact_percentiles
 from keepsight.plans import answers, contexts
 from keepsight.plans.bindings import OBS_SQL, POINTS_SQL, observations, points, table
 from keepsight.plans.queries import QUERIES, long, query
@@ -229,7 +230,7 @@ def counting_aids(spark, sf_dir):
     o = observations(spark, sf_dir)
     named = o.join(objects(spark, sf_dir), "id")
     nouns = spark.createDataFrame([("automobile",), ("buildings",), ("machinery",), ("china",)], "qid string")
-    q = nouns.crossJoin(o.agg(F.median("time_s").alias("until"))).withColumn("noun", txt.plural_forms(F.col("qid")))  # four rows and one
+    q = nouns.crossJoin(exact_percentiles(o, [], ["time_s"]).withColumnRenamed("time_s", "until")).withColumn("noun", txt.plural_forms(F.col("qid")))  # four rows and one
     return contexts.counting_aid(named, q, "noun", 86400.0)
 
 

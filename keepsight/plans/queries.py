@@ -12,6 +12,7 @@ from keepsight.functions import sequences as seq
 from keepsight.functions import text as txt
 from keepsight.operators import aggregates, joins, nearest, places, ranges, ranking, relations, sets, snapshots, windows
 from keepsight.operators.aggregates import quantised
+from keepsight.operators.quantiles import exact_percentiles
 from keepsight.plans.bindings import OBS_SQL, POINTS_SQL, observations, points, table
 from keepsight.sources import readers
 
@@ -262,6 +263,13 @@ def median_position(spark, sf_dir):
     return aggregates.median_position(points(spark, sf_dir), ["label"])
 
 
+@query(f"WITH {OBS_SQL} SELECT tag, median(x) AS x, median(y) AS y, median(score) AS score FROM obs GROUP BY tag UNION ALL SELECT NULL, median(x), median(y), median(score) FROM obs")
+def exact_medians(spark, sf_dir):
+    """Medians of groups that are a fifth of the table, and of the whole, narrowed until a task holds 2,000 values."""
+    o, columns = observations(spark, sf_dir), ["x", "y", "score"]
+    return exact_percentiles(o, ["tag"], columns, most=2000).unionByName(exact_percentiles(o, [], columns, most=2000).withColumn("tag", F.lit(None).cast("string")))
+
+
 @query(f"WITH {OBS_SQL} SELECT id, count(*) AS n_obs, min(time_s) AS first_s, max(time_s) AS last_s, median(x) AS x, median(y) AS y, median(z) AS z FROM obs GROUP BY id")
 def object_summary(spark, sf_dir):
     return aggregates.object_summary(observations(spark, sf_dir), ["id"])
@@ -463,7 +471,7 @@ def causal_segments(spark, sf_dir):
 @query(f"WITH {OBS_SQL}, c AS (SELECT median(time_s) AS t0 FROM obs) SELECT id, count(*) AS n_obs, min(time_s) AS first_s, max(time_s) AS last_s FROM obs, c WHERE time_s >= t0 GROUP BY id")
 def scene_filter(spark, sf_dir):
     o = observations(spark, sf_dir)
-    return snapshots.scene_objects(o.join(o.groupBy("clip").agg(F.median("time_s").alias("since")), "clip"), ["id"], "since")
+    return snapshots.scene_objects(o.join(exact_percentiles(o, ["clip"], ["time_s"]).withColumnRenamed("time_s", "since"), "clip"), ["id"], "since")
 
 
 @query(f"""WITH {OBS_SQL}, e AS (SELECT id AS a, id + 1 + k::BIGINT % 3 AS b, CASE WHEN tag = 'view' THEN 'on' ELSE 'near' END AS rel, time_s AS t0, time_s + 600 AS t1 FROM obs),
@@ -477,7 +485,7 @@ def relation_context(spark, sf_dir):
     o = observations(spark, sf_dir)
     e = o.select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("k").cast("long") % 3).alias("b"), F.when(F.col("tag") == "view", "on").otherwise("near").alias("rel"), F.col("time_s").alias("t0"), (F.col("time_s") + 600).alias("t1"))
     q = o.select(F.col("id").alias("q")).distinct().select("q", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).select("q", (F.col("q") + F.col("i")).alias("id"), F.lit("c").alias("clip"))
-    c = q.join(o.groupBy("clip").agg(F.median("time_s").alias("until")), "clip").drop("clip")
+    c = q.join(exact_percentiles(o, ["clip"], ["time_s"]).withColumnRenamed("time_s", "until"), "clip").drop("clip")
     return relations.relation_context(e, c, "q", "until").select("q", "a", "b", "rel", "t0", "t1", F.col("rank").cast("long").alias("rank"), "current")
 
 
