@@ -45,7 +45,7 @@ SENTENCES = {
     "BSD-SOURCE": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "BSD-BINARY": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "BSD-ADVERTS": ["All advertising materials mentioning features or use of this software must display the following acknowledgement:"],
-    "BSD-NAME": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-NAME": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", "The names of the authors may not be used to endorse or promote products derived from this software without specific prior written permission."],
     "APACHE-COPY": ["You may obtain a copy of the License at"],
     "APACHE-TERMS": ["See the License for the specific language governing permissions and limitations under the License."],
     "APACHE-TEXT": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
@@ -106,6 +106,8 @@ GUARD = "licen|permission|redistribut|warrant|reserved|unencumbered|public|adver
 # Patterns, alike in Spark and DuckDB.
 LEADERS = r"(^|[\r\n])[ \t]*(?:[-/*#;%>|!<]+|dnl[ \t])?[ \t]*"
 STOPS = r"([.!?:][\"')\]]*)[ \t\r\n]+"
+#: Stops that end a word, not a sentence, as it goes on in lower case.
+ABBREVIATIONS = r"\b((?i:inc|ltd|corp|co|llc|gmbh|univ|dept|e\.g|i\.e|u\.s|a\.k\.a|et al|etc|jr|dr)|[A-Z])\.([ \t\r\n]+[a-z])"
 EMPTY_LINES, LINE_ENDS = r"[\r\n][ \t]*[\r\n][ \t\r\n]*", r"[\r\n]+"
 #: Asides after a reference: "(the "License")", "- see LICENSE", ", see there".
 ASIDES = r"(?i)[ \t\r\n]*[-–—,(]+[ \t\r\n]*(the[ \t\r\n]+[\"']|see[ \t\r\n])"
@@ -157,7 +159,7 @@ def references() -> dict[str, list[str]]:
 def starters() -> str:
     """Words before which a sentence begins, whatever comes before them."""
     verbs = r"(?:licensed|released|distributed|available|provided|published|offered)\s+under"
-    firsts = ["permission is hereby", "permission to use", "permission is granted", "the above copyright notice and", "the software is provided", "this software is provided", "redistribution and use", "redistributions of", "redistributions in", "all advertising", "neither the name", "you may obtain", "see the license", "you can redistribute it", "this program is distributed", "this source code form", "this is free and", "this work is dedicated", "all rights reserved"]
+    firsts = ["permission is hereby", "permission to use", "permission is granted", "the above copyright notice and", "the software is provided", "this software is provided", "redistribution and use", "redistributions of", "redistributions in", "all advertising", "neither the name", "the names? of the authors?", "you may obtain", "see the license", "you can redistribute it", "this program is distributed", "this source code form", "this is free and", "this work is dedicated", "all rights reserved"]
     return r"(?i)\b((?:" + "|".join([verbs, r"copyright\s+(?:\(c\)|©|[0-9]{4})", *[re.sub(" ", r"\\s+", x) for x in firsts]]) + r")\b|https?://)"
 
 
@@ -167,7 +169,7 @@ def title_lines() -> str:
 
 
 #: Cuts in order: pattern and replacement.
-CUTS = [(r"\r\n?", "\n"), (SHORT_VERSION, "v{1}"), (LEADERS, "{1}"), (title_lines(), "{1}" + BREAK + "{2}" + BREAK + "{3}"), (EMPTY_LINES, BREAK), (STOPS, "{1}" + BREAK), (starters(), BREAK + "{1}"), (ASIDES, BREAK + "{1}"), (LINE_ENDS, " ")]
+CUTS = [(r"\r\n?", "\n"), (SHORT_VERSION, "v{1}"), (LEADERS, "{1}"), (title_lines(), "{1}" + BREAK + "{2}" + BREAK + "{3}"), (EMPTY_LINES, BREAK), (ABBREVIATIONS, "{1}{2}"), (STOPS, "{1}" + BREAK), (starters(), BREAK + "{1}"), (ASIDES, BREAK + "{1}"), (LINE_ENDS, " ")]
 
 
 def normal(sentence: str) -> str:

@@ -97,3 +97,12 @@ def test_every_sentence_is_known_by_itself():
 def test_main_path_has_no_python(spark):
     plan = scan_licences(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("(Python|Arrow|Pandas)(UDF|Eval|Map)|(Eval|Map|Groups)(In)?(Python|Arrow|Pandas)", plan)
+
+
+def test_names_of_holders_stop_no_sentence(spark):
+    """Real holders of three-clause texts: an abbreviated name ends in a stop, and the author may stand for the holder."""
+    start = HEADERS["BSD-3-Clause"][: HEADERS["BSD-3-Clause"].lower().index("neither the name")]
+    thirds = [f"Neither the name of {h} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." for h in ("Google Inc.", "Example Corp.", "the Foo Bar Co., Ltd.", "the University", "The Regents of the Univ. of Somewhere", "copyright holder", "A.B.C. e.g. others")]
+    thirds.append("The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.")
+    got = {r["doc_id"]: r["licences"] for r in scan_licences(spark.createDataFrame(list(enumerate(start + x for x in thirds)), "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(len(thirds)), "BSD-3-Clause")
