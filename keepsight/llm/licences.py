@@ -107,7 +107,7 @@ GUARD = "licen|permission|redistribut|warrant|reserved|unencumbered|public|adver
 LEADERS = r"(^|[\r\n])[ \t]*(?:[-/*#;%>|!<]+|dnl[ \t])?[ \t]*"
 STOPS = r"([.!?:][\"')\]]*)[ \t\r\n]+"
 #: Stops that end a word, not a sentence, as it goes on in lower case.
-ABBREVIATIONS = r"\b((?i:inc|ltd|corp|co|llc|gmbh|univ|dept|e\.g|i\.e|u\.s|a\.k\.a|et al|etc|jr|dr)|[A-Z])\.([ \t\r\n]+[a-z])"
+ABBREVIATIONS = r"\b((?i:inc|ltd|corp|co|llc|gmbh|univ|dept|e\.g|i\.e|u\.s|a\.k\.a|et al|etc|jr|dr)|[A-Z])\.(?=[ \t\r\n]+[a-z])"
 EMPTY_LINES, LINE_ENDS = r"[\r\n][ \t]*[\r\n][ \t\r\n]*", r"[\r\n]+"
 #: Asides after a reference: "(the "License")", "- see LICENSE", ", see there".
 ASIDES = r"(?i)[ \t\r\n]*[-–—,(]+[ \t\r\n]*(the[ \t\r\n]+[\"']|see[ \t\r\n])"
@@ -169,7 +169,7 @@ def title_lines() -> str:
 
 
 #: Cuts in order: pattern and replacement.
-CUTS = [(r"\r\n?", "\n"), (SHORT_VERSION, "v{1}"), (LEADERS, "{1}"), (title_lines(), "{1}" + BREAK + "{2}" + BREAK + "{3}"), (EMPTY_LINES, BREAK), (ABBREVIATIONS, "{1}{2}"), (STOPS, "{1}" + BREAK), (starters(), BREAK + "{1}"), (ASIDES, BREAK + "{1}"), (LINE_ENDS, " ")]
+CUTS = [(r"\r\n?", "\n"), (SHORT_VERSION, "v{1}"), (LEADERS, "{1}"), (title_lines(), "{1}" + BREAK + "{2}" + BREAK + "{3}"), (EMPTY_LINES, BREAK), (ABBREVIATIONS, "{1}"), (STOPS, "{1}" + BREAK), (starters(), BREAK + "{1}"), (ASIDES, BREAK + "{1}"), (LINE_ENDS, " ")]
 
 
 def normal(sentence: str) -> str:
