@@ -102,21 +102,10 @@ def plain_associate(obs, radius):
     return out
 
 
-def test_association_equals_its_twin_in_batch_and_stream(spark, tmp_path):
-    from keepsight.streaming.streams import associate_stream
-
+def test_association_equals_its_twin(spark):
     rng = np.random.default_rng(2)
     obs = [("c", "t", int(f), k, float(rng.random()), *map(float, rng.normal(size=3))) for k, f in enumerate(np.sort(rng.integers(0, 30, 150)))]
-    want = sorted(plain_associate(obs, 1.0).items())
-    df = observations(spark, obs)
-    assert rows(resolve.associate(df, ["clip", "tag"]), "pos", "cluster") == want
-    for part in range(3):
-        df.filter(f"frame >= {10 * part} and frame < {10 * part + 10}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = associate_stream(stream).writeStream.format("memory").queryName("links").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert rows(spark.table("links"), "pos", "cluster") == want
+    assert rows(resolve.associate(observations(spark, obs), ["clip", "tag"]), "pos", "cluster") == sorted(plain_associate(obs, 1.0).items())
 
 
 def test_streamed_sessions_equal_batch(spark, tmp_path):
