@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from keepsight.functions.geometry import iou
 from keepsight.functions.sequences import suppressed
 from keepsight.operators.components import connected_components
+from keepsight.operators.ranges import Ranges
 from keepsight.operators.sets import widened
+from keepsight.operators.windows import gap_islands, top_k
 from keepsight.sources.shared import written
 
 
@@ -62,14 +64,37 @@ def associate(obs: DataFrame, keys: list[str], radius: float = 1.0) -> DataFrame
     return obs.groupBy(*keys).applyInPandas(link, schema)
 
 
-def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6) -> DataFrame:
-    """Offline clusters: best scores first, each to the nearest centroid (median of members) within radius, else its own. Rows without a position are left out."""
-    schema = widened(obs, cluster="int")
+def separate_pieces(obs: DataFrame, keys: list[str], distance: float, ranges: Ranges | None = None, rounds: int = 2) -> tuple[DataFrame, list[str]]:
+    """obs cut where nothing lies between: rows of different pieces are more than distance apart along some axis. Gives obs with the columns that number the pieces."""
+    pieces: list[str] = []
+    for i in range(rounds):
+        for axis in "xyz":
+            obs = gap_islands(obs, [*keys, *pieces], [axis, "pos"], axis, distance, f"_piece{i}{axis}", ranges)
+            pieces.append(f"_piece{i}{axis}")
+            if ranges:  # a step reads its input several times then
+                obs = written(obs, "pieces")
+    return obs, pieces
+
+
+def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6, ranges: Ranges | None = None) -> DataFrame:
+    """Offline clusters: best scores first, each to the nearest centroid (median of members) within radius, else its own. Rows without a position are left out.
+
+    A centroid lies within the bounds of its members, so what is farther than
+    radius from all of them along an axis can't meet it: a label is cut along its
+    gaps, first by x, then each part by y, and so on, and the pieces are
+    clustered apart. Clusters are numbered over the whole label by who opened
+    them, as one pass over it would. ranges cut a label that is too long to sort
+    in one task.
+    """
+    names, placed = obs.columns, obs.filter("not isnan(x + y + z)")
+    cut, pieces = separate_pieces(placed, keys, radius, ranges)
+    cut = cut.withColumn("_piece", F.struct(*keys, *pieces)).drop(*pieces)
+    schema = widened(cut, _local="int", _score="double", _first=cut.schema["pos"].dataType)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["x", "y", "z"]).sort_values(["score", "pos"], ascending=[False, True], kind="stable")
-        members, centroids, out = [], np.empty((0, 3)), []
-        for p in pdf[["x", "y", "z"]].to_numpy(float):
+        pdf = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
+        members, centroids, opened, out = [], np.empty((0, 3)), [], []
+        for row, p in enumerate(pdf[["x", "y", "z"]].to_numpy(float)):
             d = np.linalg.norm(centroids - p, axis=1)
             best = int(d.argmin()) if len(d) else -1
             if best >= 0 and d[best] < radius:
@@ -79,12 +104,18 @@ def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6) ->
                 centroids[best] = [(axis[half] + axis[-1 - half]) / 2 for axis in members[best]]
             else:
                 best = len(members)
+                opened.append(row)
                 members.append([[v] for v in p])
                 centroids = np.vstack([centroids, p])
             out.append(best)
-        return pdf.assign(cluster=np.array(out, np.int32))
+        first = pdf.iloc[[opened[k] for k in out]]
+        return pdf.assign(_local=np.array(out, np.int32), _score=first["score"].to_numpy(float), _first=first["pos"].to_numpy())
 
-    return obs.groupBy(*keys).applyInPandas(link, schema)
+    linked = written(cut.groupBy("_piece").applyInPandas(link, schema), "clusters")
+    opened = linked.groupBy(*keys, "_piece", "_local").agg(F.first("_score").alias("_score"), F.first("_first").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_first")
+    numbered = opened.select((F.row_number().over(w) - 1).alias("cluster"), F.col("_piece").alias("_p"), F.col("_local").alias("_l"))
+    return linked.join(numbered, F.col("_piece").eqNullSafe(F.col("_p")) & (F.col("_local") == F.col("_l"))).select(*names, "cluster")
 
 
 def box_containment(a: np.ndarray, b: np.ndarray) -> float:
@@ -94,29 +125,25 @@ def box_containment(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def cluster_seeds(dets: DataFrame, keys: list[str], limit: float = 0.5, most: int = 40) -> DataFrame:
-    """Seeds of a clip: a detection joins the cluster of its tag whose last box it overlaps most (containment of limit at least). Gives the best-scored detection of each cluster with its support, the best `most` of a clip."""
+    """Seeds of a clip: a detection joins the cluster of its tag whose last box it overlaps most (containment of limit at least). Gives the best-scored detection of each cluster with its support, the best `most` of a clip. Tags are clustered apart from each other."""
     schema = widened(dets, support="long")
 
     def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
-        best, found = [], []
-        for _, group in pdf.sort_values(["tag", "frame", "pos"], kind="stable").groupby("tag", sort=True):
-            clusters: list[dict] = []
-            for i, b in zip(group.index, group[["x1", "y1", "x2", "y2"]].to_numpy(float)):
-                over = [box_containment(c["last"], b) for c in clusters]
-                k = int(np.argmax(over)) if over else -1
-                if k >= 0 and over[k] >= limit:
-                    c = clusters[k]
-                    c["last"], c["n"] = b, c["n"] + 1
-                    if pdf.at[i, "score"] > pdf.at[c["at"], "score"]:
-                        c["at"] = i
-                else:
-                    clusters.append({"last": b, "n": 1, "at": i})
-            best += [c["at"] for c in clusters]
-            found += [c["n"] for c in clusters]
-        out = pdf.loc[best].assign(support=found)
-        return out.sort_values(["support", "score", "pos"], ascending=[False, False, True], kind="stable").head(most)
+        clusters: list[dict] = []
+        pdf = pdf.sort_values(["frame", "pos"], kind="stable")
+        for i, b in zip(pdf.index, pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)):
+            over = [box_containment(c["last"], b) for c in clusters]
+            k = int(np.argmax(over)) if over else -1
+            if k >= 0 and over[k] >= limit:
+                c = clusters[k]
+                c["last"], c["n"] = b, c["n"] + 1
+                if pdf.at[i, "score"] > pdf.at[c["at"], "score"]:
+                    c["at"] = i
+            else:
+                clusters.append({"last": b, "n": 1, "at": i})
+        return pdf.loc[[c["at"] for c in clusters]].assign(support=[c["n"] for c in clusters])
 
-    return dets.groupBy(*keys).applyInPandas(seeds, schema)
+    return top_k(dets.groupBy(*keys, "tag").applyInPandas(seeds, schema), keys, [F.desc("support"), F.desc("score"), "pos"], most)
 
 
 def overlapping_tracks(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:

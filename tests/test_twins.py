@@ -205,6 +205,29 @@ def test_components_by_hooking(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_clusters_of_separate_pieces_are_those_of_one_pass(spark):
+    """Blobs with gaps between them along all axes, in one label: the cut into pieces changes neither clusters nor their numbers, and most pieces are small."""
+    from keepsight.operators import ranges
+    from keepsight.operators.resolve import cluster_by_centroid, separate_pieces
+
+    rng, rows = random.Random(5), []
+    for _ in range(60):
+        centre = [rng.choice((0, 2, 4, 9)) + rng.choice((0, 0.5)) for _ in range(3)]
+        rows += [(1, len(rows) + k, round(rng.random(), 1), *[c + rng.gauss(0, 0.25) for c in centre]) for k in range(rng.randint(1, 14))]
+    clusters, want = [], []
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        d = [math.dist([statistics.median(m[k] for m in c) for k in (3, 4, 5)], r[3:]) for c in clusters]
+        best = d.index(min(d)) if d and min(d) < 0.6 else len(clusters)
+        clusters[best:] = clusters[best:] or [[]]
+        clusters[best].append(r)
+        want.append((r[1], best))
+    df = spark.createDataFrame(rows, "label long, pos long, score double, x double, y double, z double")
+    for cut in (None, ranges.every(1.5)):
+        assert sorted((r["pos"], r["cluster"]) for r in cluster_by_centroid(df, ["label"], ranges=cut).collect()) == sorted(want)
+    cut, pieces = separate_pieces(df, ["label"], 0.6)
+    assert max(r["count"] for r in cut.groupBy(*pieces).count().collect()) < len(rows) / 4
+
+
 def test_clusters_leave_out_rows_without_a_position(spark):
     from keepsight.operators.resolve import cluster_by_centroid
 
