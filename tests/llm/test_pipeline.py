@@ -1,13 +1,20 @@
 """Stages of the corpus pipeline on small documents."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import tokenizers
+from test_text_operators import plain_fingerprint, plain_targets
 
 import corpus_pipeline
 from keepsight.llm import stages
+from keepsight.llm.packing import tokenizer_paths
+from keepsight.llm.tables import text_key
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, row long, text_key long, taken long"
@@ -79,11 +86,63 @@ def test_mix_takes_words_to_the_target(docs):
     assert {s: n for s, n in taken.items() if n} == dict(got)
 
 
+def plain_pipeline(rows):
+    """(doc_id, piece, start, length, ids_crc32) of all pieces, by one plain step after another over lists of rows."""
+    order = lambda r: (r[0] is None, r[0] or 0, text_key(r[1]))
+    docs = [r for r in rows if r[1] and "###" not in r[1] and len(WORD.findall(r[1])) >= 50]
+    groups = defaultdict(list)
+    for r in docs:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1])].append(r)
+    docs = [min(g, key=order) for g in groups.values()]
+    fps = [plain_fingerprint(r[1]) for r in docs]
+    label = list(range(len(docs)))
+    for i, j in ((i, j) for i in range(len(docs)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3):
+        label = [label[j] if x == label[i] else x for x in label]
+    groups = defaultdict(list)
+    for r, x in zip(docs, label, strict=True):
+        groups[x].append(r)
+    docs = [min(g, key=order) for g in groups.values()]
+    sources = defaultdict(list)
+    for r in docs:
+        sources[r[3]].append((hashlib.md5(f"mix-1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, len(WORD.findall(r[1])), text_key(r[1]), r))
+    sizes = {s: sum(x[3] for x in xs) for s, xs in sources.items()}
+    taken = []
+    for s, target in plain_targets(sizes).items():
+        epochs, rest = divmod(int(target), sizes[s])
+        for x in sorted(sources[s], key=lambda x: x[:5]):
+            part = min(x[3], rest)
+            rest -= part
+            taken += [(x[5][0], x[5][1])] * (epochs + (part == x[3]))
+            if 0 < part < x[3]:
+                taken.append((x[5][0], re.match(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){%d}" % part, x[5][1])[0].rstrip(" \t\n\x0b\x0c\r")))
+    whole, pieces = tokenizers.Tokenizer.from_file(tokenizer_paths()[0]), Counter()
+    for doc, text in taken:
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
+        for p, (start, end) in enumerate(zip(cuts, cuts[1:])):
+            pieces[doc, p, start, end - start, zlib.crc32(np.array(ids[start:end], "<u4").tobytes())] += 1
+    return pieces
+
+
 def test_run(spark, docs, tmp_path):
+    """Every piece is the plain version's; sequences are full bins without gaps, as few as best fit needs."""
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in out} <= {1, 4, None, 12, 13, 14}
-    ends = defaultdict(int)
+    out, want = corpus_pipeline.run(spark, str(tmp_path)).collect(), plain_pipeline(corpus())
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want and len(want) > 20
+    bins = defaultdict(list)
     for r in out:
-        ends[r["sequence_id"]] += r["length"]
-    assert max(ends.values()) <= 1024 and len(ends) >= sum(ends.values()) / 1024
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in bins.values():
+        assert [o for o, _ in sorted(placed)] == [0, *np.cumsum([n for _, n in sorted(placed)])[:-1]] and sum(n for _, n in placed) <= 1024
+    room: list[int] = []
+    for n in sorted((k[3] for k, times in want.items() for _ in range(times)), reverse=True):
+        fits = [i for i, free in enumerate(room) if free >= n]
+        i = min(fits, key=room.__getitem__) if fits else len(room)
+        room[i:] = room[i:] or [1024]
+        room[i] -= n
+    assert len(bins) <= len(room)
+
+
+def test_run_on_an_empty_table(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
