@@ -29,12 +29,24 @@ def repaired_groups(groups: DataFrame, vocabulary: DataFrame, key: str, group: s
     return first.unionByName(alone)
 
 
+def frame_masks(seen: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """The set of frames of each key as bitmaps: keys, block, mask, a bit for each of the block's 64 frames. Repeated frames count once."""
+    of = seen.filter(F.col(frame).isNotNull())
+    return of.groupBy(*keys, F.floor(F.col(frame) / 64).alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(frame), F.lit(64)).cast("int"))).alias("mask"))
+
+
+def common_frames(candidates: DataFrame, seen: DataFrame, left: str, right: str, object_id: str, frame: str) -> DataFrame:
+    """left, right and n_common for the pairs of objects that share frames; blocks of frames meet, never single ones."""
+    masks = frame_masks(seen, [object_id], frame)
+    side = lambda name, m: masks.select(F.col(object_id).alias(name), F.col("block").alias("_b"), F.col("mask").alias(m))
+    both = candidates.select(left, right).distinct().join(side(left, "_l"), left).join(side(right, "_r"), [right, "_b"])
+    shared = F.col("_l").bitwiseAND(F.col("_r"))
+    return both.filter(shared != 0).groupBy(left, right).agg(F.sum(F.bit_count(shared)).alias("n_common"))
+
+
 def without_common_frames(candidates: DataFrame, seen: DataFrame, left: str, right: str, object_id: str, frame: str) -> DataFrame:
     """Pairs (left, right) of objects that share no frame."""
-    l = seen.select(F.col(object_id).alias(left), F.col(frame).alias("_f"))  # noqa: E741
-    r = seen.select(F.col(object_id).alias(right), F.col(frame).alias("_f"))
-    together = candidates.select(left, right).join(l, left).join(r, [right, "_f"]).select(left, right).distinct()
-    return candidates.join(together, [left, right], "left_anti")
+    return candidates.join(common_frames(candidates, seen, left, right, object_id, frame), [left, right], "left_anti")
 
 
 def kept_and_sampled(need: DataFrame, optional: DataFrame, keys: list[str], order: str, budget: int) -> DataFrame:

@@ -534,7 +534,18 @@ def frame_disjoint(spark, sf_dir):
     o = observations(spark, sf_dir)
     m = aggregates.median_position(o, ["id"]).withColumn("all", F.lit(1))
     c = joins.within_distance(m, m, ["all"], ["x", "y", "z"], 0.05).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    return sets.without_common_frames(c, o.select("id", "frame").distinct(), "a", "b", "id", "frame")
+    return sets.without_common_frames(c, o, "a", "b", "id", "frame")
+
+
+@query(f"""WITH {OBS_SQL}, f AS (SELECT DISTINCT id, frame FROM obs), m AS (SELECT id, median(x) AS x, median(y) AS y, median(z) AS z FROM obs GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 0.05)
+SELECT a, b, count(*) AS n_common FROM c JOIN f p ON p.id = a JOIN f q ON q.id = b AND q.frame = p.frame GROUP BY a, b""")
+def frames_in_common(spark, sf_dir):
+    """How many frames objects within 5 cm of each other share."""
+    o = observations(spark, sf_dir)
+    m = aggregates.median_position(o, ["id"]).withColumn("all", F.lit(1))
+    c = joins.within_distance(m, m, ["all"], ["x", "y", "z"], 0.05).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return sets.common_frames(c, o, "a", "b", "id", "frame")
 
 
 @query("(SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -108,6 +111,67 @@ def write_stage(df: DataFrame, path: str, partition: str = "clip_uid") -> None:
     df.write.option("partitionOverwriteMode", "dynamic").partitionBy(partition).mode("overwrite").parquet(path)
 
 
+def commit_stage(df: DataFrame, path: str, partition: str = "clip_uid", attempts: int = 20) -> int:
+    """Writes the partitions that df has as a new version of a table of committed versions, and gives the version's number.
+
+    Files are staged in a folder of their own. A version is a manifest, one line
+    for each partition: its folder's number and the folder it stands in. It
+    becomes visible by one rename to a name that must not exist yet, so readers see
+    all of a version or none of it, and a writer that dies leaves the old version as
+    it was. Of two writers the slower takes the next number, on top of the other's
+    partitions; where both wrote a partition, the later commit's stays. The store
+    must refuse to rename onto a name that exists, as HDFS does.
+    """
+    spark = df.sparkSession
+    new = f"data-{uuid.uuid4().hex}"
+    kinds = df.schema[partition].dataType
+    df.withColumn("_part", F.col(partition)).write.partitionBy("_part").parquet(f"{path}/{new}")
+    fresh = {r[0]: new for r in df.sparkSession.read.parquet(f"{path}/{new}").select(F.col("_part").cast(kinds).cast("string")).distinct().collect()}
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(conf)
+    for _ in range(attempts):
+        version, parts = committed(spark, path)
+        staged = hadoop(f"{path}/{new}/manifest-{uuid.uuid4().hex}")
+        out = fs.create(staged, False)
+        out.write(bytearray(json.dumps(sorted((parts | fresh).items(), key=repr)).encode()))
+        out.close()
+        final = hadoop(f"{path}/version-{version + 1:09d}.json")
+        if not fs.exists(final) and fs.rename(staged, final):
+            return version + 1
+        fs.delete(staged, False)
+    raise RuntimeError(f"other writers were faster {attempts} times")
+
+
+def committed(spark: SparkSession, path: str) -> tuple[int, dict[str | None, str]]:
+    """The last committed version of a table and the folder of each of its partitions; (0, {}) without one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.globStatus(hadoop(f"{path}/version-*.json")) or [])
+    if not found:
+        return 0, {}
+    text = spark.read.text(f"{path}/{found[-1]}", wholetext=True).first()[0]
+    return int(found[-1][8:-5]), {k: folder for k, folder in json.loads(text)}
+
+
+def read_stage(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
+    """The last committed version of a table of commit_stage(), or an earlier one; empty without one. What no version names isn't read."""
+    last, parts = committed(spark, path)
+    if version is not None and version != last:
+        text = spark.read.text(f"{path}/version-{version:09d}.json", wholetext=True).first()[0]
+        parts = {k: folder for k, folder in json.loads(text)}
+    folders: dict[str, list] = {}
+    for key, folder in parts.items():
+        folders.setdefault(folder, []).append(key)
+    out = spark.createDataFrame([], schema)
+    names = out.columns
+    for folder, keys in folders.items():
+        rows = spark.read.schema(f"{schema}, _part string").parquet(f"{path}/{folder}")
+        named = F.col("_part").isin([k for k in keys if k is not None])
+        out = out.unionByName(rows.filter(named | F.col("_part").isNull() if None in keys else named).select(*names))
+    return out
+
+
 def remaining(todo: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Units of todo that a stage's table doesn't hold yet."""
     try:

@@ -252,3 +252,16 @@ def test_budget_of_needed_frames(spark):
     rest = spark.createDataFrame([("c", f) for f in range(3, 40)], "k string, f long")
     assert sets.kept_and_sampled(need, rest, ["k"], "f", 10).count() == 10
     assert sets.kept_and_sampled(need, rest, ["k"], "f", 5).count() == 40
+
+
+def test_frame_sets_as_bitmaps(spark):
+    rng = random.Random(9)
+    seen = [(i, rng.choice((-65, -64, -1, 0, 63, 64, rng.randint(-300, 300)))) for i in range(12) for _ in range(30)] + [(3, None), (20, None), (21, 63)]
+    pairs = [(a, b) for a in range(22) for b in range(a)] + [(1, 0)]
+    frames = {i: {f for k, f in seen if k == i and f is not None} for i in range(22)}
+    s, p = spark.createDataFrame(seen, "id long, frame long"), spark.createDataFrame(pairs, "a long, b long")
+    want = sorted((a, b, len(frames[a] & frames[b])) for a, b in set(pairs) if frames[a] & frames[b])
+    assert rows(sets.common_frames(p, s, "a", "b", "id", "frame"), "a", "b", "n_common") == want
+    assert rows(sets.without_common_frames(p, s, "a", "b", "id", "frame"), "a", "b") == sorted((a, b) for a, b in pairs if not frames[a] & frames[b])
+    masks = sets.frame_masks(s, ["id"], "frame")
+    assert masks.count() < s.distinct().count() and masks.agg(F.sum(F.bit_count("mask"))).first()[0] == s.dropna().distinct().count()
