@@ -86,10 +86,11 @@ def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6, ra
     them, as one pass over it would. ranges cut a label that is too long to sort
     in one task.
     """
-    names, placed = obs.columns, obs.filter("not isnan(x + y + z)")
+    names, placed = obs.columns, obs.filter("x is not null and y is not null and z is not null and not isnan(x + y + z)")
     cut, pieces = separate_pieces(placed, keys, radius, ranges)
-    cut = cut.withColumn("_piece", F.struct(*keys, *pieces)).drop(*pieces)
+    cut = cut.withColumn("_piece", F.to_json(F.struct(*keys, *pieces))).drop(*pieces)
     schema = widened(cut, _local="int", _score="double", _first=cut.schema["pos"].dataType)
+    out_names = schema.names
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "pos"], ascending=[False, True], kind="stable")
@@ -111,7 +112,7 @@ def cluster_by_centroid(obs: DataFrame, keys: list[str], radius: float = 0.6, ra
         first = pdf.iloc[[opened[k] for k in out]]
         return pdf.assign(_local=np.array(out, np.int32), _score=first["score"].to_numpy(float), _first=first["pos"].to_numpy())
 
-    linked = written(cut.groupBy("_piece").applyInPandas(link, schema), "clusters")
+    linked = written(in_buckets(cut, "_piece", lambda pdf: link(pdf)[out_names], schema), "clusters")
     opened = linked.groupBy(*keys, "_piece", "_local").agg(F.first("_score").alias("_score"), F.first("_first").alias("_first"))
     w = Window.partitionBy(*keys).orderBy(F.desc("_score"), "_first")
     numbered = opened.select((F.row_number().over(w) - 1).alias("cluster"), F.col("_piece").alias("_p"), F.col("_local").alias("_l"))
@@ -146,6 +147,16 @@ def cluster_seeds(dets: DataFrame, keys: list[str], limit: float = 0.5, most: in
     return top_k(dets.groupBy(*keys, "tag").applyInPandas(seeds, schema), keys, [F.desc("support"), F.desc("score"), "pos"], most)
 
 
+def in_buckets(df: DataFrame, part: str, each, schema) -> DataFrame:
+    """each(pdf) over the rows of each part; many small parts share a group, as a group of its own costs more than most parts do."""
+    buckets = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([each(g) for _, g in pdf.groupby(part, sort=False)])
+
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(part), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, schema)
+
+
 def overlapping_tracks(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Pairs (a, b) of tracks, as structs of keys and track, with a common frame in which their boxes overlap; found by frame and grid cell."""
     span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
@@ -175,7 +186,7 @@ def merge_tracks(boxes: DataFrame, keys: list[str], limit: float = 0.6, cell: fl
         raise ValueError("a limit of 0 merges tracks that never overlap")
     boxes = boxes.filter("x2 > x1 and y2 > y1")
     parts = connected_components(overlapping_tracks(boxes, keys, cell))
-    linked = boxes.join(parts, F.struct(*keys, "track").eqNullSafe(F.col("node")), "left").drop("node").withColumn("_part", F.coalesce("component", F.struct(*keys, "track"))).drop("component")
+    linked = boxes.join(parts, F.struct(*keys, "track").eqNullSafe(F.col("node")), "left").drop("node").withColumn("_part", F.coalesce("component", F.struct(*keys, "track"))).drop("component").withColumn("_part", F.to_json("_part"))
     names, schema = boxes.columns, widened(boxes, _root=boxes.schema["track"].dataType, _score="double")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +218,7 @@ def merge_tracks(boxes: DataFrame, keys: list[str], limit: float = 0.6, cell: fl
         rows = [(i, t) for t in order if root[t] == t for _, (_, i) in tracks[t].items()]
         return pdf.loc[[i for i, _ in rows], names].assign(_root=[t for _, t in rows], _score=[score[t] for _, t in rows])
 
-    merged = written(linked.groupBy("_part").applyInPandas(merge, schema), "merged-tracks")
+    merged = written(in_buckets(linked, "_part", merge, schema), "merged-tracks")
     roots = merged.groupBy(*keys, "_root").agg(F.count("*").alias("_n"), F.first("_score").alias("_s"))
     w = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc("_s"), "_root")
     numbered = roots.select((F.row_number().over(w) - 1).alias("merged"), *[F.col(c).alias(f"_of_{c}") for c in [*keys, "_root"]])
