@@ -394,7 +394,7 @@ def video_metadata(spark, sf_dir):
     return readers.checked_metadata(v, 10.0).select("clip", "width", "height", "n_frames", "off_rate")
 
 
-@query("SELECT s_suppkey::VARCHAR AS clip_uid, (s_suppkey * 37) AS \"N\", 10.0::DOUBLE AS fps, (1 + s_suppkey % 3)::INT AS clip_ratio, 'other' AS source, len(range(0, (s_suppkey * 37) // (1 + s_suppkey % 3), 40))::BIGINT AS n_grid FROM supplier")
+@query("SELECT s_suppkey::VARCHAR AS clip_uid, (s_suppkey * 37) AS \"N\", 10.0::DOUBLE AS fps, (1 + s_suppkey % 3)::INT AS clip_ratio, CASE WHEN length(s_suppkey::VARCHAR) = 5 THEN 'numeric5' ELSE 'other' END AS source, least(len(range(0, (s_suppkey * 37) // (1 + s_suppkey % 3), 40)), 1200)::BIGINT AS n_grid FROM supplier")
 def grid_specs(spark, sf_dir):
     k = F.col("s_suppkey")
     clips = table(spark, sf_dir, "supplier").select(k.cast("string").alias("clip_uid"), (k * 37).alias("n_frames"), (1 + k % 3).alias("clip_ratio"), F.lit(10.0).alias("fps"))

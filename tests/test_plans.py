@@ -110,3 +110,19 @@ def test_stages_resume(spark, tmp_path):
     readers.write_stage(todo.filter("v = 2"), where)
     assert spark.read.parquet(where).count() == 2
     assert readers.work_list("a, ,b", []) == ["a", "b"] and readers.work_list("all", ["z"]) == ["z"]
+
+
+def test_grid_specs_sql_says_the_rule_for_long_clips(spark, tmp_path):
+    """Grids of over 1,200 frames are thinned to 1,200, and five digits name a source: the SQL must say so too."""
+    import duckdb
+
+    from keepsight.plans.memory_queries import grid_specs
+    from keepsight.plans.queries import SQL
+
+    keys = [1, 999, 1299, 1300, 5999, 9999, 10000, 10002, 99999, 100000]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+        want = c.execute(SQL["grid_specs"]).fetchall()
+    got = [tuple(r) for r in grid_specs(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and max(r[-1] for r in got) == 1200 and {r[4] for r in got} == {"other", "numeric5"}
