@@ -111,12 +111,13 @@ def closest_approach(a: DataFrame, b: DataFrame, keys: list[str], pair: list[str
 
 
 def within_distance(a: DataFrame, b: DataFrame, keys: list[str], axes: list[str], radius: float) -> DataFrame:
-    """Pairs (l.*, r.*) closer than radius, by grid cells of the radius."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    l = a.withColumns({f"_c{i}": cell(c) for i, c in enumerate(axes)})  # noqa: E741
-    for i in range(len(axes)):
-        l = l.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + k for k in (-1, 0, 1)])))  # noqa: E741
-    l, r = l.alias("l"), b.withColumns({f"_c{i}": cell(c) for i, c in enumerate(axes)}).alias("r")  # noqa: E741
+    """Pairs (l.*, r.*) closer than radius, by grid cells of twice the radius, of which a row of a looks into one or two along each axis."""
+    side, l, r = 2 * radius, a, b  # noqa: E741
+    for i, c in enumerate(axes):
+        reach = F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-12
+        l = l.withColumn(f"_c{i}", F.explode(F.sequence(F.floor((F.col(c) - reach) / side).cast("long"), F.floor((F.col(c) + reach) / side).cast("long"))))  # noqa: E741
+        r = r.withColumn(f"_c{i}", F.floor(F.col(c) / side).cast("long"))
+    l, r = l.alias("l").hint("merge"), r.alias("r")  # noqa: E741
     on = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, *[f"_c{i}" for i in range(len(axes))]]]
     squares = [(F.col(f"l.{c}") - F.col(f"r.{c}")) * (F.col(f"l.{c}") - F.col(f"r.{c}")) for c in axes]
     return l.join(r, on).filter(F.sqrt(sum(squares[1:], squares[0])) < radius)

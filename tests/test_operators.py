@@ -265,3 +265,18 @@ def test_frame_sets_as_bitmaps(spark):
     assert rows(sets.without_common_frames(p, s, "a", "b", "id", "frame"), "a", "b") == sorted((a, b) for a, b in pairs if not frames[a] & frames[b])
     masks = sets.frame_masks(s, ["id"], "frame")
     assert masks.count() < s.distinct().count() and masks.agg(F.sum(F.bit_count("mask"))).first()[0] == s.dropna().distinct().count()
+
+
+def test_pairs_of_near_objects_never_move(spark, tmp_path):
+    """Frames go with the objects, so pairs are compared where they are made: nothing is shuffled after the join that makes them."""
+    from keepsight.plans import queries
+
+    rows = [(i, 3_600_000_000 * (i // 6 % 9), i % 6, "view", 10.0 * (i % 6 // 3), '{"k": 5}') for i in range(60)]
+    e = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string")
+    e.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("frames_in_common", "frame_disjoint"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan[: plan.index("Join")], plan
+    got = queries.QUERIES["frames_in_common"](spark, str(tmp_path)).collect()
+    seen = {u: {r[1] for r in rows if r[2] == u} for u in range(6)}
+    assert got and all(r["n_common"] == len(seen[r["a"]] & seen[r["b"]]) for r in got)
