@@ -280,3 +280,45 @@ def test_pairs_of_near_objects_never_move(spark, tmp_path):
     got = queries.QUERIES["frames_in_common"](spark, str(tmp_path)).collect()
     seen = {u: {r[1] for r in rows if r[2] == u} for u in range(6)}
     assert got and all(r["n_common"] == len(seen[r["a"]] & seen[r["b"]]) for r in got)
+
+
+def test_nearest_first_takes_pairs_as_a_sort_of_all_would(monkeypatch):
+    """Ties go by detection, then cluster, also where many points are equal; a crowd is matched without all its pairs."""
+
+    def plain(now, last, radius):
+        d = np.linalg.norm(now[:, None] - last[None], axis=2)
+        det, clu = np.nonzero(d < radius)
+        out = np.full(len(now), -1)
+        for k in np.lexsort((clu, det, d[det, clu])):
+            if out[det[k]] < 0 and clu[k] not in out:
+                out[det[k]] = clu[k]
+        return out
+
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        now, last = (np.round(rng.random((n, 3)) * 3, 1) if k % 2 else rng.integers(0, 3, (n, 3)) / 2 for n in rng.integers(0, 50, 2))
+        assert (resolve.nearest_first(now, last, 1.0) == plain(now, last, 1.0)).all()
+    pushed = []
+    monkeypatch.setattr(resolve, "heappush", lambda heap, x: pushed.append(x) or heap.append(x) or heap.sort())
+    now, last = np.zeros((300, 3)) + np.arange(300)[:, None] * 1e-3, np.zeros((300, 3)) + np.arange(300)[:, None] * 1e-3
+    assert (resolve.nearest_first(now, last, 1.0) == np.arange(300)).all() and len(pushed) <= 600
+
+
+def test_seeds_of_many_tags_run_without_a_group_each(spark):
+    rng = random.Random(4)
+    rows = [(c, f"t{t}", f, i, rng.random(), *(x := [rng.choice((0.0, 4.0, 30.0))] * 2), x[0] + 10, x[1] + 9) for i, (c, t, f) in enumerate((c, t, f) for c in range(20) for t in range(3) for f in (2, 0, 1, 1, 0))]
+    dets = spark.createDataFrame(rows, "clip long, tag string, frame long, pos long, score double, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    out = resolve.cluster_seeds(dets, ["clip"], most=100)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for c, t in {r[:2] for r in rows}:
+        clusters = []
+        for r in sorted((r for r in rows if r[:2] == (c, t)), key=lambda r: (r[2], r[3])):
+            over = [resolve.box_containment(np.array(k["last"]), np.array(r[5:])) for k in clusters]
+            if over and max(over) >= 0.5:
+                k = clusters[over.index(max(over))]
+                k.update(last=r[5:], n=k["n"] + 1, at=r if r[4] > k["at"][4] else k["at"])
+            else:
+                clusters.append({"last": r[5:], "n": 1, "at": r})
+        want += [(*k["at"], k["n"]) for k in clusters]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
