@@ -11,6 +11,9 @@ so far. The known ones come from the shortest lists. Of the objects that are
 met, those whose hits and all that was passed over could still get there are
 scored exactly; no pair of a question and an object is made for a list that
 can't matter.
+
+An index pays when many questions use it. A batch of questions that is small
+beside the objects is answered by scan(), which reads each object once.
 """
 
 from __future__ import annotations
@@ -90,3 +93,16 @@ def search(index: TextIndex, questions: DataFrame, question_id: str, terms: str,
     found = read.groupBy(question_id, index.id).agg(F.first("_reached").alias("_reached"), F.sum("weight").alias("_hits"), F.max("bound").alias("bound"))
     enough = F.col("_reached").isNull() | (F.col("_hits") + F.coalesce("_missed", F.lit(0.0)) + F.col("bound") + 1e-3 >= F.col("_reached"))
     return scored(found.join(passed, question_id, "left").filter(enough).select(question_id, index.id))
+
+
+def scan(objects: DataFrame, object_id: str, text_terms: str, name_terms: str, questions: DataFrame, question_id: str, terms: str, completed: Callable[[DataFrame], DataFrame], top_n: int = ranking.TOP_N, name_weight: float = ranking.NAME_WEIGHT) -> DataFrame:
+    """What search() gives, by one pass over the objects (arrays of distinct terms) and no index.
+
+    If objects are partitioned by their id and the questions' terms fit a broadcast,
+    hits are counted where an object lies, and only the best top_n of a task leave it.
+    """
+    held = F.concat(*[F.transform(F.col(c), lambda x: F.struct(x.alias("_term"), F.lit(n).alias("_name"), F.lit(1 - n).alias("_text"))) for c, n in ((name_terms, 1), (text_terms, 0))])  # noqa: B023
+    asked = questions.select(question_id, F.explode(terms).alias("_term"))
+    met = objects.select(object_id, F.explode(held).alias("_h")).select(object_id, "_h.*").join(asked, "_term")
+    hits = met.groupBy(question_id, object_id).agg(F.sum("_name").alias("name_hits"), F.sum("_text").alias("text_hits"))
+    return ranking.rank_text(completed(hits), question_id, object_id, top_n, name_weight=name_weight)

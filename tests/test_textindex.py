@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keepsight.operators import textindex
-from keepsight.operators.textindex import build_index, search
+from keepsight.operators.textindex import build_index, scan, search
 
 
 def corpus(n=300, seed=2):
@@ -59,6 +59,29 @@ def test_common_lists_are_passed_over(spark):
     assert got == [8, 9] and scored[-1] <= 10
 
 
+@pytest.mark.parametrize("top_n", (1, 4, 9))
+def test_a_scan_equals_scoring_every_pair(spark, top_n):
+    objects, asked = corpus()
+    df = spark.createDataFrame(objects, "id long, text array<string>, name array<string>, age double").repartition(3, "id")
+    q = spark.createDataFrame(asked, "q long, terms array<string>")
+    got = scan(df, "id", "text", "name", q, "q", "terms", lambda pairs: pairs.withColumn("best_dt", (F.col("id") % 17).cast("double")), top_n)
+    assert sorted((r["q"], r["id"], r["rank"], r["score"]) for r in got.collect()) == plain(objects, asked, top_n)
+
+
+def test_text_topk_moves_no_pairs(spark):
+    """Documents are laid out by id once; of the pairs of a question and a document only the best of a task leave it."""
+    from keepsight.plans.queries import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["text_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and "item_id" in moved[0] and "doc_id" in moved[1]
+    assert plan.count("WindowGroupLimit") >= 2
+
+
 def test_empty_tables(spark):
     objects, asked = corpus(20)
     df = spark.createDataFrame(objects, "id long, text array<string>, name array<string>, age double")
