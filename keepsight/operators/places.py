@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsight.operators.ranges import Ranges
-from keepsight.operators.windows import first_appearance, label_islands, majority_filter, top_k
+from keepsight.operators.windows import counted_until, first_appearance, label_islands, last_numbers, majority_filter, picked, top_k
 
 
 def visits(frames: DataFrame, keys: list[str], time: str, label: str, half: int = 1, ranges: Ranges | None = None) -> DataFrame:
@@ -35,6 +35,6 @@ def kinds_here(objects: DataFrame, keys: list[str], name: str, n_obs: str, objec
 
 def current_visit(v: DataFrame, questions: DataFrame, keys: list[str], until: str, last: int = 12) -> DataFrame:
     """The last visits begun by a question's time, the end of each clipped to it, newest first."""
-    seen = questions.join(v, keys).filter(F.col("t0") <= F.col(until)).withColumn("t1", F.least("t1", F.col(until)))
-    w = Window.partitionBy(*questions.columns).orderBy(F.desc("t0"))
-    return seen.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= last)
+    counted, numbered = counted_until(questions, v, keys, F.col(until), ["t0"])
+    seen = picked(counted, numbered, keys, last_numbers(F.col("n_before"), last)).withColumn("t1", F.least("t1", F.col(until)))
+    return seen.withColumn("back", (F.col("n_before") - F.col("i") + 1).cast("int")).drop("n_before", "i")

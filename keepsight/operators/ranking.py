@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsight.operators.aggregates import quantised
-from keepsight.operators.windows import top_k
+from keepsight.operators.windows import counted_until, last_numbers, picked, top_k
 
 DT, TOP_N, NAME_WEIGHT = 6.0, 4, 3.0
 
@@ -50,5 +52,24 @@ def recall_events(lines: DataFrame, keys: list[str], time: str, overlap: str, po
     return ranked.filter(F.col("_recent") | ((F.col(overlap) > 0) & (F.col("_rn") <= match))).drop("_recent", "_rn")
 
 
+def recall_until(questions: DataFrame, lines: DataFrame, keys: list[str], question: str, until: Column, time: str, terms: str, text: str, words: Callable[[Column], Column], recent: int = 6, match: int = 10) -> DataFrame:
+    """What recall_events() gives of the lines up to each question's time; overlap is the number of common terms, words(text) a line's.
+
+    Lines of one text are a kind, which matches a question as a whole. Of a kind
+    only the latest recent + match lines can be told, so a question meets as many
+    of each kind that it shares a term with, and not all lines of its key.
+    """
+    asked = questions.select(*keys, question, until.alias("_until"), F.col(terms).alias("_terms"))
+    counted, numbered = counted_until(asked, lines, keys, F.col("_until"), [time])
+    counted, numbered = counted.withColumnRenamed("n_before", "_n"), numbered.withColumnRenamed("i", "_at")
+    fresh = picked(counted, numbered.withColumn("i", F.col("_at")), keys, last_numbers(F.col("_n"), recent))
+    kinds = lines.select(*keys, text).distinct().withColumn("_words", words(F.col(text)))
+    hit = counted.join(kinds, keys).withColumn("_hits", F.size(F.array_intersect("_terms", "_words"))).filter("_hits > 0").drop("_terms", "_words")
+    sought, of_kind = counted_until(hit, numbered, [*keys, text], F.col("_until"), [time, "_at"])
+    old = picked(sought, of_kind, [*keys, text], last_numbers(F.col("n_before"), recent + match)).filter(F.col("_at") <= F.col("_n") - recent)
+    best = top_k(old, [question], [F.desc("_hits"), F.desc("_at")], match)
+    return fresh.select(question, *lines.columns).unionByName(best.select(question, *lines.columns))
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return top_k(df, keys, order, 1)

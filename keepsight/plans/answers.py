@@ -16,6 +16,7 @@ from keepsight.functions.geometry import point_score
 from keepsight.functions.text import parse_id, parse_markup, parse_reply, plain_question, terms
 from keepsight.operators import nearest, places, ranking, relations
 from keepsight.plans import contexts
+from keepsight.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -72,20 +73,20 @@ def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segm
     clip, label, t0, t1. What the profile switches off, or isn't given, is left
     out. Gives qid, context, retrieved (names in rank order), has_path.
     """
-    ranked = text_candidates(questions, objects, obs)
+    ranked = written(text_candidates(questions, objects, obs), "candidates")
     lines = contexts.candidate_lines(ranked.withColumns({"unit": F.lit("scene units"), "ego": F.lit(None).cast("string")}), "qid")
     past = ranked.select("qid", "clip", "id", "rank", "name", "t").join(segments, ["clip", "id"]).filter(F.col("t0") <= F.col("t")).withColumn("t1", F.least("t1", "t"))
     told = contexts.history(past, ["qid", "id", "rank", "name"]).select("qid", "rank", F.concat_ws(": ", "name", "history").alias("line"))
-    heard = questions.select("qid", "clip", "t", terms(F.col("question")).alias("qt")).join(events, "clip").filter(F.col("time_s") <= F.col("t") + 1e-6)
-    heard = heard.withColumn("hits", F.size(F.array_intersect("qt", terms(F.col("text")))))
-    recalled = ranking.recall_events(heard.withColumn("pos", F.col("time_s")), ["qid"], "time_s", "hits", "pos")
-    said = recalled.select("qid", (F.col("time_s") * 10).cast("long").alias("rank"), F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"))
+    heard = events.select("clip", "time_s", F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"), "text")
+    asks = questions.select("qid", "clip", "t", terms(F.col("question")).alias("qt"))
+    recalled = ranking.recall_until(asks, heard, ["clip"], "qid", F.col("t") + 1e-6, "time_s", "qt", "text", terms)
+    said = recalled.select("qid", (F.col("time_s") * 10).cast("long").alias("rank"), "line")
     names = objects.select("clip", F.col("id"), "name")
     asked = ranked.select("qid", "clip", "id", F.col("t").alias("until"))
     known = episodes.join(names.select("clip", F.col("id").alias("a"), F.col("name").alias("a_name")), ["clip", "a"]).join(names.select("clip", F.col("id").alias("b"), F.col("name").alias("b_name")), ["clip", "b"])
     parts, one = {}, lambda df, c="line": df.select("qid", F.lit(0).alias("rank"), F.col(c).alias("line"))
     if centres is not None and profile.path:
-        walked = contexts.wearer_path(questions.select("qid", "clip", "t").join(centres, "clip"), "qid", "time_s", "t")
+        walked = contexts.walked_path(questions.select("qid", "clip", "t"), centres, ["clip"], "qid", "time_s", "t")
         parts["PATH"] = one(walked, "path")
     if visits is not None and profile.places:
         seen = places.current_visit(visits, questions.select("qid", "clip", F.col("t").alias("until")), ["clip"], "until")

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsight.functions.geometry import azimuth, distance, elevation, sector_label
+from keepsight.functions.sequences import even_indices
 from keepsight.functions.text import python_format, terms
-from keepsight.operators.windows import even_sample, top_k
+from keepsight.operators.windows import counted_until, even_sample, picked, top_k
 
 STALE_S, MAX_SEGMENTS, WAYPOINTS = 20.0, 8, 6
 
@@ -46,11 +47,20 @@ def relation_lines(context: DataFrame, question: str) -> DataFrame:
 
 def wearer_path(centres: DataFrame, question: str, time: str, until: str, n: int = WAYPOINTS) -> DataFrame:
     """Up to n evenly spaced positions of the wearer up to each question's time; questions with fewer than two are absent."""
-    seen = centres.filter(F.col(time) <= F.col(until))
-    picked = even_sample(seen, [question], [time], n)
+    return path_text(even_sample(centres.filter(F.col(time) <= F.col(until)), [question], [time], n), question, time)
+
+
+def walked_path(questions: DataFrame, centres: DataFrame, keys: list[str], question: str, time: str, until: str, n: int = WAYPOINTS) -> DataFrame:
+    """wearer_path() of recordings and questions: a question meets the n positions that it tells, not all up to its time."""
+    counted, numbered = counted_until(questions, centres, keys, F.col(until), [time])
+    wanted = F.transform(even_indices(F.col("n_before"), n), lambda k: k.cast("long") + 1)
+    return path_text(picked(counted, numbered, keys, wanted), question, time)
+
+
+def path_text(points: DataFrame, question: str, time: str) -> DataFrame:
     number = python_format(".1f")
     line = F.concat(seconds(F.col(time)), F.lit(" ("), F.concat_ws(", ", number("x"), number("y"), number("z")), F.lit(")"))
-    path = picked.withColumn("_l", line).groupBy(question).agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(time, "_l"))), lambda x: x["_l"]), " -> ").alias("path"))
+    path = points.withColumn("_l", line).groupBy(question).agg(F.count("*").alias("_n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(time, "_l"))), lambda x: x["_l"]), " -> ").alias("path"))
     return path.filter("_n >= 2").drop("_n")
 
 

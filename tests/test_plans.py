@@ -126,3 +126,36 @@ def test_grid_specs_sql_says_the_rule_for_long_clips(spark, tmp_path):
         want = c.execute(SQL["grid_specs"]).fetchall()
     got = [tuple(r) for r in grid_specs(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and max(r[-1] for r in got) == 1200 and {r[4] for r in got} == {"other", "numeric5"}
+
+
+def test_recall_until_is_recall_of_all_lines(spark):
+    """Lines are taken by number, also where a kind has more than can be told, and where the recent ones are of it; null texts match nothing."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from keepsight.functions.text import terms
+    from keepsight.operators import ranking
+
+    rng = random.Random(4)
+    said = ["took red cup", "red lamp", "blue lamp", "nothing", None]
+    lines = spark.createDataFrame([(c, float(t), rng.choice(said)) for c in range(3) for t in rng.sample(range(400), 120)] + [(3, 5.0, "red lamp")], "clip long, t double, text string")
+    asked = spark.createDataFrame([(c, 10 * c + k, float(rng.randint(-5, 420)), rng.choice(["red cup", "lamp", "red red lamp", "absent"])) for c in range(5) for k in range(10)], "clip long, q long, until double, question string").withColumn("qt", terms(F.col("question")))
+    all_lines = asked.join(lines, "clip").filter("t <= until").withColumn("hits", F.coalesce(F.size(F.array_intersect("qt", terms(F.col("text")))), F.lit(0)))
+    want = ranking.recall_events(all_lines, ["q"], "t", "hits", "t")
+    got = ranking.recall_until(asked, lines, ["clip"], "q", F.col("until"), "t", "qt", "text", terms)
+    assert sorted((r["q"], r["t"]) for r in got.collect()) == sorted((r["q"], r["t"]) for r in want.collect())
+
+
+def test_walked_path_is_the_path_of_all_positions(spark):
+    from pyspark.sql import functions as F
+
+    from keepsight.plans import contexts
+
+    centres = spark.createDataFrame([(c, float(t), t / 7, 1.0, c / 3) for c in range(2) for t in range(1, 40, c + 1)], "clip long, time_s double, x double, y double, z double")
+    asked = spark.createDataFrame([(c, 10 * c + k, 4.5 * k) for c in range(3) for k in range(10)], "clip long, q long, t double")
+    want = contexts.wearer_path(asked.join(centres, "clip"), "q", "time_s", "t")
+    got = contexts.walked_path(asked, centres, ["clip"], "q", "time_s", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # What is read for a question doesn't grow with the recording: six rows of it, and no join by clip alone.
+    assert got.count() and "_asks" in got._jdf.queryExecution().optimizedPlan().toString()
