@@ -190,6 +190,19 @@ def test_merged_tracks_of_random_clips(spark):
         assert sorted(map(tuple, found)) == sorted(want)
 
 
+def test_lone_tracks_are_not_merged_in_python(spark, monkeypatch):
+    """A track that meets no other stays as it is in columns, with null and NaN scores too; linked ones go through one run of rows."""
+    from keepsight.operators import resolve
+
+    given = []
+    monkeypatch.setattr(resolve, "in_runs", lambda each, of, schema: given.append(of) or (lambda batches: iter(())))
+    rows = [(1, "a", 0, 0.5, 0.0, 0.0, 4.0, 4.0), (1, "a", 1, None, 0.0, 0.0, 4.0, 4.0), (1, "b", 0, float("nan"), 9.0, 9.0, 12.0, 12.0), (1, "c", 5, 0.9, 0.0, 0.0, 4.0, 4.0)]
+    linked = [(2, "a", 0, 0.5, 0.0, 0.0, 4.0, 4.0), (2, "b", 0, 0.5, 1.0, 1.0, 3.0, 3.0)]
+    df = spark.createDataFrame(rows + linked, "clip long, track string, frame long, score double, x1 double, y1 double, x2 double, y2 double")
+    found = resolve.merge_tracks(df, ["clip"]).select("clip", "track", "frame", "merged").collect()
+    assert sorted(map(tuple, found)) == [(1, "a", 0, 0), (1, "a", 1, 0), (1, "b", 0, 2), (1, "c", 5, 1)] and given
+
+
 def test_components_by_hooking(spark):
     from keepsight.operators.components import connected_components
 
