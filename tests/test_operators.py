@@ -322,3 +322,43 @@ def test_seeds_of_many_tags_run_without_a_group_each(spark):
                 clusters.append({"last": r[5:], "n": 1, "at": r})
         want += [(*k["at"], k["n"]) for k in clusters]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_disjoint_pairs_in_blocks(spark):
+    """Blocks of a key meet each other once and themselves; objects without frames share none; far and negative frames too."""
+    import random
+
+    from keepsight.operators import sets
+
+    rng = random.Random(6)
+    objects = [(rng.randint(0, 1), i, sorted(rng.sample([*range(-70, 90), 10**9, 10**9 + 1], rng.choice((0, 1, 5, 12))))) for i in range(90)] + [(None, 200, [1]), (None, 201, [2]), (None, 202, [1, 2])]
+    df = spark.createDataFrame(objects, "g long, id long, frames array<long>")
+    want = sorted((str(g), i, j) for g, i, f in objects for h, j, e in objects if g == h and i < j and not set(f) & set(e))
+    for block in (4096, 7, 1):
+        found = sets.disjoint_pairs(df, ["g"], "id", "frames", block).collect()
+        assert sorted((str(r["g"]), r["a"], r["b"]) for r in found) == want
+    assert sets.disjoint_pairs(df.limit(0), ["g"], "id", "frames").count() == 0
+
+
+def test_identities_collapse_as_seeds_in_turn(spark):
+    """Random matches, in both orders, of objects that share frames, are far, or have no first time."""
+    import random
+
+    rng = random.Random(7)
+    things = {i: (rng.choice((None, float(rng.randint(0, 20)))), set(rng.sample(range(12), rng.randint(0, 3)))) for i in range(120)}
+    scores = {(a, b) if rng.random() < 0.5 else (b, a): (rng.choice((0.1, 0.3, 0.8)), rng.choice((None, 0.5, 1.0, 1.5))) for a in range(120) for b in range(a) if a // 40 == b // 40 and rng.random() < 0.15}
+    left, want = sorted(things, key=lambda i: (1e9 if things[i][0] is None else things[i][0], i)), []
+    while left:
+        seed, rest = left[0], []
+        want.append((seed, seed))
+        for c in left[1:]:
+            overlap, far = scores.get((seed, c), scores.get((c, seed), (0.0, None)))
+            if overlap >= 0.3 and not things[seed][1] & things[c][1] and (far is None or far <= 1.0):
+                want.append((c, seed))
+            else:
+                rest.append(c)
+        left = rest
+    objects = spark.createDataFrame([(1, i, t, sorted(f)) for i, (t, f) in things.items()], "g int, id long, first_s double, frames array<long>")
+    pairs = spark.createDataFrame([(1, *p, *s) for p, s in scores.items()], "g int, a long, b long, match_iou double, distance double")
+    found = resolve.collapse_identities(objects, pairs, ["g"]).select("id", "member_of").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
