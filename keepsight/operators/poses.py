@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsight.functions.geometry import robust_similarity, similarity_fit
+from keepsight.operators.resolve import in_runs
 from keepsight.operators.sets import widened
 
 
@@ -19,12 +23,14 @@ def chain_chunks(poses: DataFrame, keys: list[str], min_shared: int = 3) -> Data
     frames. Gives frame, x, y, z, epoch, seam (rms of the chunk's fit).
     """
     schema = widened(poses.select(*keys, "frame", "x", "y", "z"), epoch="int", seam="double")
+    n = len(keys)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(rows: list[tuple]) -> list[tuple]:
         placed: dict[int, tuple] = {}
         epoch = 0
-        for chunk, g in pdf.sort_values(["chunk", "frame"]).groupby("chunk", sort=True):
-            points, frames, seam = g[["x", "y", "z"]].to_numpy(float), g["frame"].tolist(), 0.0
+        for _, g in groupby(rows, key=itemgetter(n)):
+            chunk = list(g)
+            frames, points, seam = [r[n + 1] for r in chunk], np.array([r[n + 2 :] for r in chunk], float), 0.0
             shared = [k for k, f in enumerate(frames) if f in placed]
             if placed and len(shared) < min_shared:
                 continue
@@ -38,12 +44,14 @@ def chain_chunks(poses: DataFrame, keys: list[str], min_shared: int = 3) -> Data
                     seam = float(np.sqrt(((points[shared] - target) ** 2).sum(1).mean()))
                 except np.linalg.LinAlgError:
                     epoch += 1
-            for f, p in zip(frames, points):
+            for f, p in zip(frames, points.tolist()):
                 placed[f] = (*p, epoch, seam)
-        first = pdf.iloc[0]
-        return pd.DataFrame([(*(first[k] for k in keys), f, *v) for f, v in sorted(placed.items())], columns=[*keys, "frame", "x", "y", "z", "epoch", "seam"])
+        return [(*rows[0][:n], f, *v) for f, v in sorted(placed.items())]
 
-    return poses.groupBy(*keys).applyInPandas(chain, schema)
+    # Rows come clip by clip and in order, so a clip costs its fits and no group of its own.
+    laid = poses.select(*keys, "chunk", "frame", *[F.col(a).cast("double") for a in "xyz"]).filter("chunk is not null")
+    laid = laid.repartition(int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "chunk", "frame")
+    return laid.mapInArrow(in_runs(chain, list(range(n)), schema), schema)
 
 
 def anchor_track(poses: DataFrame, anchors: DataFrame, keys: list[str], min_anchors: int = 8) -> DataFrame:

@@ -362,3 +362,28 @@ def test_identities_collapse_as_seeds_in_turn(spark):
     pairs = spark.createDataFrame([(1, *p, *s) for p, s in scores.items()], "g int, a long, b long, match_iou double, distance double")
     found = resolve.collapse_identities(objects, pairs, ["g"]).select("id", "member_of").collect()
     assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_clips_are_chained_in_one_stream(spark):
+    """Clips cost no group of their own, and batches may end within one: chunks of a moved and scaled copy come back, a chunk with too few shared frames is dropped."""
+    import random
+
+    from keepsight.operators import poses
+
+    rng, rows_, want = random.Random(9), [], []
+    for clip in (None, 1, 2, 3):
+        track = [[rng.gauss(0, 1) for _ in "xyz"] for _ in range(30)]
+        for chunk, (low, high) in enumerate(((0, 12), (8, 24), (23, 30))):
+            rows_ += [(clip, chunk, f, *[v * (1 + chunk) + chunk for v in track[f]]) for f in range(low, high)]
+        want += [(str(clip), f, *[round(v, 6) for v in track[f]], 0) for f in range(24)]
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "clip int, chunk int, frame int, x double, y double, z double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = poses.chain_chunks(df, ["clip"])
+        found = [(str(r["clip"]), r["frame"], *[round(r[a], 6) + 0.0 for a in "xyz"], r["epoch"]) for r in out.collect()]
+        assert poses.chain_chunks(df.limit(0), ["clip"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(found) == sorted(want)
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
