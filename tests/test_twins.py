@@ -267,6 +267,39 @@ def test_collapsed_identities(spark, obs):
     assert got(spark, "collapse_identities", "g", "id", "member_of") == sorted(want)
 
 
+def test_identities_are_merged_by_every_stage(spark, tmp_path):
+    """Short tracks, so that objects of a group can be the same: matches merge some, and score, distance and frames each keep others apart."""
+    import datetime
+
+    rng, start = random.Random(8), datetime.datetime(2024, 1, 1)
+    rows = [(6 * u + k, start + datetime.timedelta(hours=rng.randrange(40), seconds=rng.randrange(3600)), u, "view", 1.0, '{"k": 1}') for u in range(240) for k in range(3)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    things = {}
+    for _, t, u, *_ in rows:
+        first, frames = things.get(u, (t, set()))
+        things[u] = min(first, t), frames | {(t - start) // datetime.timedelta(hours=1)}
+
+    def collapsed(scored, near, apart):
+        out = []
+        for g in range(30):
+            left = sorted((i for i in things if i % 30 == g), key=lambda i: (things[i][0], i))
+            while left:
+                seed, rest = left[0], []
+                out.append((g, seed, seed))
+                for c in left[1:]:
+                    a, b = min(seed, c) // 30, max(seed, c) // 30
+                    ok = ((a * 7 + b * 3) % 10 / 10 >= 0.3 or not scored) and ((a + b) % 4 / 2 <= 1.0 or not near) and (not things[seed][1] & things[c][1] or not apart)
+                    out += [(g, c, seed)] if ok else []
+                    rest += [] if ok else [c]
+                left = rest
+        return sorted(out)
+
+    want = collapsed(True, True, True)
+    found = sorted(tuple(r) for r in queries.QUERIES["collapse_identities"](spark, str(tmp_path)).collect())
+    assert found == want and any(i != of for _, i, of in found)
+    assert all(want != collapsed(*(k != off for k in range(3))) for off in range(3))
+
+
 def test_chained_poses(spark, obs):
     """Chunks are moved and scaled copies of one track, so chaining brings every frame back to the first chunk's frame of reference."""
     tracks = {i: sorted(rows, key=lambda r: r["time_s"]) for (i,), rows in by(obs, "id").items()}
