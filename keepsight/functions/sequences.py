@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 def even_indices(n: Column, m: int) -> Column:
     """Up to m evenly spaced indices of 0..n-1, the ends among them.
 
-    The step is a double, multiplied and truncated; the last index is exact.
+    The step is a double, multiplied and truncated; the last index is exact. It is
+    over 1 where indices are spaced, so none comes twice.
     """
     step = (n - 1).cast("double") / F.lit(float(max(m - 1, 1)))
     spaced = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.when(i == m - 1, n - 1).otherwise((i * step).cast("int")).cast("int"))
-    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= m, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array_distinct(spaced))
+    return F.when(n <= 0, F.array().cast("array<int>")).when(n <= m, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(spaced)
 
 
 def frame_video(clip_frame: Column, ratio: Column, offset: Column) -> Column:

@@ -91,14 +91,19 @@ def lift_budgets(n_frames: Column) -> Column:
     return F.struct(budget.alias("scene"), F.greatest(F.lit(25), F.floor(n_frames / 4).cast("int")).alias("per_tag"))
 
 
-def sampling_grid(clips: DataFrame, stride: int = 40, max_frames: int = 1200) -> DataFrame:
-    """Frames of each clip (clip_uid, n_frames, clip_ratio) at a stride, evenly thinned to max_frames."""
+def grid_frames(n_frames: Column, clip_ratio: Column, stride: int, max_frames: int) -> Column:
+    """Frames of a clip at a stride, evenly thinned to max_frames, as an array in order; a long clip's are counted, never listed."""
     from keepsight.functions.sequences import even_indices
 
-    last = F.floor(F.col("n_frames") / F.col("clip_ratio")) - 1
-    grid = clips.withColumn("_g", F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    kept = F.when(F.size("_g") <= max_frames, F.col("_g")).otherwise(F.transform(even_indices(F.size("_g"), max_frames), lambda i: F.element_at("_g", i + 1)))
-    return grid.select(*clips.columns, F.explode(kept).alias("clip_frame"))
+    last = F.floor(n_frames / clip_ratio) - 1
+    count = F.when(last >= 0, F.floor(last / stride) + 1).otherwise(0)
+    # Bound to a name of the inner lambda: else each element would count anew.
+    return F.element_at(F.transform(F.array(count), lambda n: F.transform(even_indices(n, max_frames), lambda i: i.cast("long") * stride)), 1)
+
+
+def sampling_grid(clips: DataFrame, stride: int = 40, max_frames: int = 1200) -> DataFrame:
+    """Frames of each clip (clip_uid, n_frames, clip_ratio) at a stride, evenly thinned to max_frames."""
+    return clips.withColumn("clip_frame", F.explode(grid_frames(F.col("n_frames"), F.col("clip_ratio"), stride, max_frames)))
 
 
 def work_list(spec: str, catalog: list[str]) -> list[str]:
@@ -189,8 +194,8 @@ def checked_metadata(videos: DataFrame, fps: float, tolerance: float = 0.05) ->
 
 def grid_spec(clips: DataFrame, stride: int = 40, max_frames: int = 1200) -> DataFrame:
     """The grid document of each clip (clip_uid, n_frames, clip_ratio, fps): its frames in order, their number in the video, rate, ratio and source."""
-    frames = sampling_grid(clips, stride, max_frames).groupBy("clip_uid").agg(F.array_sort(F.collect_list("clip_frame")).alias("grid_clip_frames"))
-    return clips.join(frames, "clip_uid", "left").select("clip_uid", F.col("n_frames").alias("N"), "fps", F.col("clip_ratio").cast("int").alias("clip_ratio"), source_of(F.col("clip_uid")).alias("source"), F.coalesce("grid_clip_frames", F.array().cast("array<bigint>")).alias("grid_clip_frames"))
+    frames = grid_frames(F.col("n_frames"), F.col("clip_ratio"), stride, max_frames)
+    return clips.select("clip_uid", F.col("n_frames").alias("N"), "fps", F.col("clip_ratio").cast("int").alias("clip_ratio"), source_of(F.col("clip_uid")).alias("source"), frames.alias("grid_clip_frames"))
 
 
 def empty_truth(clips: DataFrame) -> DataFrame:

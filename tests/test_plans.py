@@ -128,6 +128,25 @@ def test_grid_specs_sql_says_the_rule_for_long_clips(spark, tmp_path):
     assert sorted(got) == sorted(want) and max(r[-1] for r in got) == 1200 and {r[4] for r in got} == {"other", "numeric5"}
 
 
+def test_grids_are_made_within_a_row(spark):
+    """The frames that listing all and thinning them would give, also of a clip too long to list; no join or exchange that many clips could fill."""
+    from keepsight.sources import readers
+
+    clips = [("a", 40 * 1200, 1), ("b", 40 * 1200 + 1, 1), ("c", 300_007, 2), ("d", 0, 1), ("e", 2, 3), ("f", 1, 1), ("g", 41, 1), ("h", None, 1), (None, 81, 1), ("i", 80_000_000_000, 1)]
+    df = spark.createDataFrame([(*c, 10.0) for c in clips], "clip_uid string, n_frames long, clip_ratio long, fps double")
+    spec = readers.grid_spec(df)
+    found = {r["clip_uid"]: r["grid_clip_frames"] for r in spec.collect()}
+
+    def thinned(n, ratio):
+        grid = range(0, n // ratio, 40)
+        return list(grid) if len(grid) <= 1200 else [grid[int(k * ((len(grid) - 1) / 1199))] for k in range(1199)] + [grid[-1]]
+
+    assert found == {c: thinned(n or 0, ratio) for c, n, ratio in clips}
+    plan = spec._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+    assert sorted(r["clip_frame"] for r in readers.sampling_grid(df.filter("clip_uid = 'i'")).collect()) == thinned(80_000_000_000, 1)
+
+
 def test_recall_until_is_recall_of_all_lines(spark):
     """Lines are taken by number, also where a kind has more than can be told, and where the recent ones are of it; null texts match nothing."""
     import random
