@@ -282,6 +282,32 @@ def test_pairs_of_near_objects_never_move(spark, tmp_path):
     assert got and all(r["n_common"] == len(seen[r["a"]] & seen[r["b"]]) for r in got)
 
 
+def test_near_objects_meet_as_bitmaps_in_blocks(spark, tmp_path):
+    """Near pairs by shared frames, whatever the blocks, across cells, without positions or frames, far and negative frames; a crowd in one place is never a join's rows."""
+    import random
+
+    from keepsight.operators import sets
+    from keepsight.plans import queries
+
+    rng = random.Random(9)
+    where = {i: tuple(round(rng.uniform(-0.12, 0.12), 2) for _ in range(3)) for i in range(150)} | {150: (None, 0.0, 0.0), 151: (float("nan"), 0.0, 0.0), 152: (7.0, 7.0, 7.0)}
+    frames = {i: set(rng.sample([*range(-70, 90), 10**9], rng.choice((0, 1, 4, 12)))) for i in where}
+    objects = spark.createDataFrame([(i, *p) for i, p in where.items()], "id long, x double, y double, z double")
+    seen = spark.createDataFrame([(i, f) for i, fs in frames.items() for f in [*fs, *fs]] + [(3, None)], "id long, frame long")
+    near = [(i, j, len(frames[i] & frames[j])) for i in range(150) for j in range(i + 1, 150) if sum((p - q) * (p - q) for p, q in zip(where[i], where[j])) ** 0.5 < 0.05]
+    for block in (2048, 13, 1):
+        args = objects, seen, "id", "frame", ["x", "y", "z"], 0.05
+        assert sorted(map(tuple, sets.near_frame_pairs(*args, True, block).collect())) == [p for p in near if p[2]]
+        assert sorted(map(tuple, sets.near_frame_pairs(*args, False, block).collect())) == [p[:2] for p in near if not p[2]]
+    rows = [(7 * i, 3_600_000_000 * (i // 300), i % 300, "view", 10.0, '{"k": 5}') for i in range(600)]
+    e = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double, props string")
+    e.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    crowd = queries.QUERIES["frames_in_common"](spark, str(tmp_path))
+    plan = crowd._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join"), plan
+    assert crowd.count() == 300 * 299 // 2
+
+
 def test_nearest_first_takes_pairs_as_a_sort_of_all_would(monkeypatch):
     """Ties go by detection, then cluster, also where many points are equal; a crowd is matched without all its pairs."""
 
