@@ -40,13 +40,13 @@ def relation_context(episodes: DataFrame, candidates: DataFrame, question: str,
     candidates: question, id, until. Episodes begun after `until` don't count,
     and ends are clipped to it.
     """
-    c = candidates.select(question, F.col("id").alias("cid")).distinct()
     ends = candidates.select(question, until, "id").distinct()
-    e = episodes.join(ends.withColumnRenamed("id", "a"), "a").unionByName(episodes.join(ends.withColumnRenamed("id", "b"), "b")).distinct()
-    e = e.filter(F.col("t0") <= F.col(until)).withColumn("t1", F.least("t1", F.col(until)))
-    both = e.join(c.withColumnRenamed("cid", "a"), [question, "a"], "left_semi").join(c.withColumnRenamed("cid", "b"), [question, "b"], "left_semi")
-    kept = both.unionByName(e.filter("rel = 'on'")).distinct()
-    latest = top_k(kept, [question, "a", "b", "rel"], [F.desc("t0"), F.desc("t1")], 1)
+    # Met by both of its ends, an episode is between candidates: no question needs to look them up again, and only the latest leaves a task.
+    met = [episodes.join(ends.withColumnRenamed("id", end), end).filter(F.col("t0") <= F.col(until)).withColumns({"t1": F.least("t1", F.col(until)), "_end": F.lit(end)}) for end in "ab"]
+    own = [question, "a", "b", "rel"]
+    of = ["t0", "t1", *[c for c in met[0].columns if c not in (*own, "t0", "t1", "_end")]]
+    e = met[0].unionByName(met[1]).groupBy(*own).agg(F.max(F.struct(*of)).alias("_e"), F.count_if(F.col("_end") == "a").alias("_a"), F.count_if(F.col("_end") == "b").alias("_b"))
+    latest = e.filter("rel = 'on' or (_a > 0 and _b > 0)").select(*own, "_e.*")
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("rel")), F.lit(9))
     w = Window.partitionBy(question).orderBy(rank, F.desc("t1"), "a", "b", "rel")
     return latest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_lines).withColumn("current", F.col("t1") >= F.col(until) - gap)

@@ -53,8 +53,7 @@ def text_candidates(questions: DataFrame, objects: DataFrame, obs: DataFrame) ->
     tracks = obs.groupBy("clip", "id").agg(F.array_sort(F.collect_list(F.struct("time_s", "x", "y", "z"))).alias("_p")).join(o, ["clip", "id"])
     hits = lambda c: F.size(F.array_intersect("qt", c))
     asked = q.join(tracks, "clip").withColumns({"name_hits": hits("nt"), "text_hits": hits("dt"), "_p": F.filter("_p", lambda p: p["time_s"] <= F.col("t"))})
-    asked = asked.withColumn("n_obs", F.size("_p").cast("long")).filter("n_obs > 0").withColumn("best_dt", F.col("t") - F.element_at("_p", -1)["time_s"])
-    told = ranking.rank_text(asked, "qid", "id")
+    asked = asked.withColumn("n_obs", F.size("_p").cast("long")).filter("n_obs > 0").withColumn("best_dt", F.col("t") - F.try_element_at("_p", F.lit(-1))["time_s"])
 
     def middle(axis):
         v = F.array_sort(F.transform("_p", lambda p: p[axis]))
@@ -62,7 +61,9 @@ def text_candidates(questions: DataFrame, objects: DataFrame, obs: DataFrame) ->
         low, high = F.get(v, half), F.get(v, F.size(v) - 1 - half)
         return low * 0.5 + high * 0.5
 
-    return told.withColumns({a: middle(a) for a in "xyz"}).drop("qt", "nt", "dt", "_p")
+    # Tracks stay where they are read: what is ranked is one small row for each.
+    placed = asked.filter((F.col("name_hits") > 0) | (F.col("text_hits") > 0) | (F.col("best_dt") <= ranking.DT)).withColumns({a: middle(a) for a in "xyz"})
+    return ranking.rank_text(placed.drop("qt", "nt", "dt", "_p"), "qid", "id")
 
 
 def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segments: DataFrame, events: DataFrame, episodes: DataFrame, centres: DataFrame | None = None, visits: DataFrame | None = None, profile: Profile = Profile()) -> DataFrame:
@@ -77,10 +78,10 @@ def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segm
     lines = contexts.candidate_lines(ranked.withColumns({"unit": F.lit("scene units"), "ego": F.lit(None).cast("string")}), "qid")
     past = ranked.select("qid", "clip", "id", "rank", "name", "t").join(segments, ["clip", "id"]).filter(F.col("t0") <= F.col("t")).withColumn("t1", F.least("t1", "t"))
     told = contexts.history(past, ["qid", "id", "rank", "name"]).select("qid", "rank", F.concat_ws(": ", "name", "history").alias("line"))
-    heard = events.select("clip", "time_s", F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"), "text")
+    heard = events.select("clip", "time_s", "text")
     asks = questions.select("qid", "clip", "t", terms(F.col("question")).alias("qt"))
     recalled = ranking.recall_until(asks, heard, ["clip"], "qid", F.col("t") + 1e-6, "time_s", "qt", "text", terms)
-    said = recalled.select("qid", (F.col("time_s") * 10).cast("long").alias("rank"), "line")
+    said = recalled.select("qid", (F.col("time_s") * 10).cast("long").alias("rank"), F.concat(contexts.seconds(F.col("time_s")), F.lit(" "), F.col("text")).alias("line"))
     names = objects.select("clip", F.col("id"), "name")
     asked = ranked.select("qid", "clip", "id", F.col("t").alias("until"))
     known = episodes.join(names.select("clip", F.col("id").alias("a"), F.col("name").alias("a_name")), ["clip", "a"]).join(names.select("clip", F.col("id").alias("b"), F.col("name").alias("b_name")), ["clip", "b"])
@@ -97,10 +98,8 @@ def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segm
         parts["RELATIONS"] = contexts.relation_lines(relations.relation_context(pairs, asked.select("qid", "until", F.struct("clip", "id").alias("id")), "qid", "until", profile.max_relations), "qid")
     if profile.events:
         parts["EVENTS"] = said
-    trace = ranked.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("retrieved"))
-    out = contexts.assembled(parts, "qid").join(trace, "qid", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
-    has_path = parts["PATH"].select("qid", F.lit(True).alias("has_path")) if "PATH" in parts else None
-    return out.withColumn("has_path", F.lit(False)) if has_path is None else out.join(has_path, "qid", "left").withColumn("has_path", F.coalesce("has_path", F.lit(False)))
+    out = contexts.assembled(parts, "qid", ranked.select("qid", "rank", F.col("name").alias("line")))
+    return out.select("qid", "context", F.col("traced").alias("retrieved"), F.array_contains("told", "PATH").alias("has_path"))
 
 
 def spatial_question(questions: DataFrame, obs: DataFrame, segments: DataFrame, dt: float = ranking.DT) -> DataFrame:

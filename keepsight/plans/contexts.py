@@ -114,14 +114,21 @@ def counting_aid(obs: DataFrame, questions: DataFrame, noun: str, recent: float
     return seen.groupBy("qid").agg(F.count_distinct("id").alias("n_objects"), F.count_distinct(F.when(F.col("time_s") >= F.col("until") - recent, F.col("id"))).alias("n_recent")).join(frames, "qid")
 
 
-def assembled(parts: dict[str, DataFrame], question: str) -> DataFrame:
-    """Lines of several parts as one text for each question, in the order given."""
+def assembled(parts: dict[str, DataFrame], question: str, trace: DataFrame | None = None) -> DataFrame:
+    """Lines of several parts as one text for each question, in the order given. With a trace (question, rank, line) also its lines (`traced`) and the titles that have any (`told`)."""
     rows = None
-    for k, (title, lines) in enumerate(parts.items()):
-        part = lines.select(question, F.lit(k).alias("_k"), F.lit(title).alias("_t"), F.col("rank").cast("long").alias("rank"), "line")
+    for k, lines in enumerate([*parts.values(), *([] if trace is None else [trace])]):
+        part = lines.select(question, F.lit(k).alias("_k"), F.col("rank").cast("long").alias("rank"), "line")
         rows = part if rows is None else rows.unionByName(part)
-    blocks = rows.groupBy(question, "_k", "_t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("_b"))
-    return blocks.groupBy(question).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", F.concat("_t", F.lit(":\n"), "_b").alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
+    # One exchange brings all lines of a question together.
+    all_ = rows.groupBy(question).agg(F.array_sort(F.collect_list(F.struct("_k", "rank", "line"))).alias("_all"))
+    of = lambda k: F.transform(F.filter("_all", lambda x: x["_k"] == k), lambda x: x["line"])
+    each = all_.select(question, *[of(k).alias(f"_{k}") for k in range(len(parts) + (trace is not None))])
+    some = [F.size(f"_{k}") > 0 for k in range(len(parts))]
+    context = F.concat_ws("\n\n", *[F.when(s, F.concat(F.lit(f"{title}:\n"), F.array_join(f"_{k}", "\n"))) for k, (s, title) in enumerate(zip(some, parts))])
+    if trace is None:
+        return each.select(question, context.alias("context"))
+    return each.select(question, context.alias("context"), F.col(f"_{len(parts)}").alias("traced"), F.array_compact(F.array(*[F.when(s, title) for s, title in zip(some, map(F.lit, parts))])).alias("told"))
 
 
 def point_answer(picks: DataFrame, candidates: DataFrame, obs: DataFrame) -> DataFrame:

@@ -166,6 +166,40 @@ def test_recall_until_is_recall_of_all_lines(spark):
     assert sorted((r["q"], r["t"]) for r in got.collect()) == sorted((r["q"], r["t"]) for r in want.collect())
 
 
+def test_relations_of_a_question_meet_its_candidates_once(spark):
+    """Two joins, one for each end of an episode, and one row of an (a, b, rel) leaves a task."""
+    import random
+
+    from keepsight.operators.relations import PRIORITY, relation_context
+
+    rng = random.Random(11)
+    eps = [(rng.randrange(6), rng.randrange(6), f"n{k % 3}", rng.choice(["on", "near", "left of"]), float(rng.randrange(40)), float(rng.randrange(40, 60))) for k in range(150)]
+    eps = [(a, b, f"n{a}", r, t0, t1) for a, b, _, r, t0, t1 in eps]
+    cand = [(q, float(10 * q), i) for q in range(6) for i in rng.sample(range(6), 1 + q % 3)]
+    got = relation_context(spark.createDataFrame(eps + eps[:9], "a long, b long, a_name string, rel string, t0 double, t1 double"), spark.createDataFrame(cand + cand[:3], "q long, until double, id long"), "q", "until", 4)
+    want = []
+    for q in range(6):
+        own, until, latest = {i for x, _, i in cand if x == q}, 10.0 * q, {}
+        for a, b, name, rel, t0, t1 in eps:
+            if t0 <= until and (rel == "on" and {a, b} & own or {a, b} <= own):
+                latest[a, b, rel] = max(latest.get((a, b, rel), (-1, -1)), (t0, min(t1, until)))
+        first = sorted((PRIORITY[rel], -t1, a, b, rel, t0) for (a, b, rel), (t0, t1) in latest.items())[:4]
+        want += [(q, a, b, f"n{a}", rel, t0, -t1, k) for k, (_, t1, a, b, rel, t0) in enumerate(first, 1)]
+    assert sorted((r["q"], r["a"], r["b"], r["a_name"], r["rel"], r["t0"], r["t1"], r["rank"]) for r in got.collect()) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_lines_are_assembled_in_one_exchange(spark):
+    from keepsight.plans import contexts
+
+    part = lambda rows: spark.createDataFrame(rows, "q long, rank int, line string")
+    parts = {"A": part([(1, 2, "two"), (1, 1, "one"), (2, 1, None)]), "B": part([(1, 5, "b"), (3, 1, "c")])}
+    got = contexts.assembled(parts, "q", part([(1, 2, "y"), (1, 1, "x"), (4, 1, "z")]))
+    assert sorted(map(tuple, got.collect())) == [(1, "A:\none\ntwo\n\nB:\nb", ["x", "y"], ["A", "B"]), (2, "A:\n", [], ["A"]), (3, "B:\nc", [], ["B"]), (4, "", ["z"], [])]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    assert sorted(map(tuple, contexts.assembled(parts, "q").collect())) == [(1, "A:\none\ntwo\n\nB:\nb"), (2, "A:\n"), (3, "B:\nc")]
+
+
 def test_walked_path_is_the_path_of_all_positions(spark):
     from pyspark.sql import functions as F
 
