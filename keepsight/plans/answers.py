@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,10 @@ from keepsight.functions.geometry import point_score
 from keepsight.functions.text import parse_id, parse_markup, parse_reply, plain_question, terms
 from keepsight.operators import nearest, places, ranking, relations
 from keepsight.plans import contexts
-from keepsight.sources.shared import written
+from keepsight.sources.shared import passing, written
+
+#: Observations of the recordings whose questions are answered at a time.
+AT_A_TIME = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -73,7 +78,25 @@ def text_question(questions: DataFrame, objects: DataFrame, obs: DataFrame, segm
     episodes: clip, a, b, rel, t0, t1; centres: clip, time_s, x, y, z; visits:
     clip, label, t0, t1. What the profile switches off, or isn't given, is left
     out. Gives qid, context, retrieved (names in rank order), has_path.
+
+    Recordings are answered in shares of about AT_A_TIME observations, one after
+    another, so what lies on disk at a time but for the answers doesn't grow with
+    the table.
     """
+    given = [questions, objects, obs, segments, events, episodes, centres, visits]
+    shares = ceil(obs.count() / AT_A_TIME)
+    if shares <= 1:
+        return question_context(*given, profile)
+    told = []
+    for k in range(shares):
+        of = [None if df is None else df.filter(F.pmod(F.xxhash64("clip"), F.lit(shares)) == k) for df in given]
+        with passing(obs.sparkSession):
+            told.append(written(question_context(*of, profile), "answers", stays=True))
+    return reduce(DataFrame.unionByName, told)
+
+
+def question_context(questions: DataFrame, objects: DataFrame, obs: DataFrame, segments: DataFrame, events: DataFrame, episodes: DataFrame, centres: DataFrame | None, visits: DataFrame | None, profile: Profile) -> DataFrame:
+    """text_question() of recordings that are answered at once."""
     ranked = written(text_candidates(questions, objects, obs), "candidates")
     lines = contexts.candidate_lines(ranked.withColumns({"unit": F.lit("scene units"), "ego": F.lit(None).cast("string")}), "qid")
     past = ranked.select("qid", "clip", "id", "rank", "name", "t").join(segments, ["clip", "id"]).filter(F.col("t0") <= F.col("t")).withColumn("t1", F.least("t1", "t"))

@@ -189,6 +189,22 @@ def test_relations_of_a_question_meet_its_candidates_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
 
 
+def test_questions_are_answered_in_shares(spark, monkeypatch):
+    """Each recording's questions once, as when all are answered at a time; of a share only its answers stay on disk."""
+    from keepsight.plans import answers, memory_queries
+    from keepsight.sources.shared import shared_dir
+
+    sf = "/root/testdata/sf0.001"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda: {f.getPath().getName() for f in store.listStatus(folder)} if store.exists(folder) else set()
+    rows = lambda: sorted(map(tuple, memory_queries.text_prompts(spark, sf).collect()))
+    want, before = rows(), names()
+    monkeypatch.setattr(answers, "AT_A_TIME", 400)
+    assert rows() == want
+    assert sorted(n.split("-")[0] for n in names() - before) == ["answers"] * 3
+
+
 def test_lines_are_assembled_in_one_exchange(spark):
     from keepsight.plans import contexts
 
